@@ -43,8 +43,10 @@ class Dialect:
         return f"list_transform(string_split({text}, chr(10)), lambda line, i: {shifted})"
 
     def join_lines(self, lines: str, separator: str) -> str:
-        joiner = "array_join" if self.name == "spark" else "array_to_string"
-        return f"{joiner}({lines}, {separator})"
+        """Join lines that hold no LF; the separator may be a column."""
+        if self.name == "spark":
+            return f"array_join({lines}, {separator})"
+        return f"replace(array_to_string({lines}, chr(10)), chr(10), {separator})"
 
     def props_number(self) -> str:
         """The number in props, which reads {"k": n}."""
