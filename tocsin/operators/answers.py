@@ -53,7 +53,9 @@ def strip_fences(answers: DataFrame, raw: str = "raw_answer", name: str = "answe
     A trailing fence is looked for only in what the leading ones have left.
     """
     fences = rf"\A(?:{FENCE_JSON})?(?:{FENCE})?|{FENCE}\z"
-    return answers.withColumn(name, strip(F.regexp_replace(strip(F.col(raw)), fences, "")))
+    trimmed = strip(F.col(raw))
+    bare = F.when(trimmed.contains(FENCE), strip(F.regexp_replace(trimmed, fences, "")))
+    return answers.withColumn(name, F.coalesce(bare, trimmed))
 
 
 def fill_tokens(answers: DataFrame) -> DataFrame:
@@ -96,11 +98,10 @@ def first_valid_attempts(answers: DataFrame, key: str = "incident_id") -> DataFr
         .agg(
             F.min(F.when(valid, F.col("attempt"))).alias("attempt"),
             F.min_by("answer_text", F.when(valid, F.col("attempt"))).alias("answer_text"),
-            F.max_by("errors", "attempt").alias("_last"),
+            F.max_by("errors", "attempt").alias("last_error"),
             F.count("*").alias("tried"),
         )
-        .withColumn("last_error", F.when(F.col("attempt").isNull(), F.array_join("_last", ",")))
-        .drop("_last")
+        .withColumn("last_error", F.when(F.col("attempt").isNull(), F.col("last_error")))
     )
 
 

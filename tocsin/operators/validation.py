@@ -118,41 +118,46 @@ SQL_TYPE = {TEXT: "string", NUMBER: "double", FLAG: "boolean", TEXTS: "array<str
 _END = "end of answer"
 
 
-def parse_object(text: Column) -> Column:
-    """The JSON object in a text as VARIANT, null unless the text is exactly one.
+def parse_object(rows: DataFrame, text: str, name: str = "_parsed") -> DataFrame:
+    """Add the JSON object in a text as VARIANT, null unless the text is exactly one.
 
     The parser by itself would ignore what follows a complete value.  The text
-    is therefore read as the first element of an array that ends in a marker.
+    is therefore read as the first element of an array that ends in a marker;
+    ``part_of`` finds a field of that first element.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_END}"]')))
-    whole = F.try_variant_get(listed, "$[1]", "string") == _END
-    first = F.try_variant_get(listed, "$[0]", "variant")
-    return F.when(whole & F.schema_of_variant(first).startswith("OBJECT"), first)
+    ended = F.concat(F.lit("["), F.col(text), F.lit(f', "{_END}"]'))
+    listed = computed_once(
+        rows, {name: F.when(F.col(text).startswith("{"), F.try_parse_json(ended))}
+    )
+    whole = F.try_variant_get(name, "$[1]", "string") == _END
+    return computed_once(listed, {name: F.when(whole, F.col(name))})
+
+
+def part_of(parsed: Column, field: str) -> Column:
+    return F.try_variant_get(parsed, f"$[0].{field}", "variant")
 
 
-def _raw(parsed: Column, field: Field) -> Column:
-    return F.try_variant_get(parsed, f"$.{field.name}", "variant")
+def as_text(value: Column, kind: Column) -> Column:
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def _number(value: Column, kind: Column) -> Column:
-    as_text = strip(F.try_variant_get(value, "$", "string"))
-    return F.when(
-        kind == "STRING", F.when(as_text.rlike(NUMBER_TEXT), as_text.try_cast("double"))
-    ).when(
+    text = strip(F.try_variant_get(value, "$", "string"))
+    return F.when(kind == "STRING", F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))).when(
         (kind == "BIGINT") | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT", "BOOLEAN"),
         F.try_variant_get(value, "$", "double"),
     )
 
 
 def _flag(value: Column, kind: Column) -> Column:
-    as_text = F.lower(F.try_variant_get(value, "$", "string"))
-    as_number = F.try_variant_get(value, "$", "double")
+    text = F.lower(F.try_variant_get(value, "$", "string"))
+    number = F.try_variant_get(value, "$", "double")
     return (
         F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", F.when(as_text.isin(YES), True).when(as_text.isin(NO), False))
+        .when(kind == "STRING", F.when(text.isin(YES), True).when(text.isin(NO), False))
         .when(
             (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"),
-            F.when(as_number == 1, True).when(as_number == 0, False),
+            F.when(number == 1, True).when(number == 0, False),
         )
     )
 
@@ -165,22 +170,17 @@ def _texts(value: Column, kind: Column) -> Column:
     )
 
 
-def read_field(parsed: Column, field: Field) -> Column:
-    """The typed value by the lax rules: null where missing or of the wrong type."""
-    value = _raw(parsed, field)
-    kind = F.schema_of_variant(value)
+def typed_value(field: Field, value: Column, kind: Column) -> Column:
+    """The value by the lax rules: null where of the wrong type or required and absent."""
     if field.kind == NUMBER:
         return _number(value, kind)
     if field.kind == FLAG:
         return _flag(value, kind)
     if field.kind == TEXTS:
-        return F.when(value.isNull() & parsed.isNotNull(), F.array().cast("array<string>")).otherwise(
-            _texts(value, kind)
-        )
-    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(_texts(value, kind))
     if field.required:
-        return text
-    return F.when(value.isNull() & parsed.isNotNull(), F.lit(field.default)).otherwise(text)
+        return as_text(value, kind)
+    return F.when(value.isNull(), F.lit(field.default)).otherwise(as_text(value, kind))
 
 
 def is_wrong(field: Field, value: Column) -> Column:
@@ -207,21 +207,34 @@ def check_answers(
     Every row is parsed once and read by its own agent's rules; fields the agent
     does not answer are null.  A text that is no JSON object has error ``json``.
     """
-    cleaned = computed_once(answers, {text: F.col(text)})
-    parsed = computed_once(cleaned, {"_parsed": parse_object(F.col(text))})
-    values = {}
-    for field in all_fields(agents):
+    fields = all_fields(agents)
+    parsed = parse_object(computed_once(answers, {text: F.col(text)}), text)
+
+    def mine(field: Field, value: Column) -> Column:
         owners = [a for a in agents if any(f.name == field.name for f in ANSWERS[a])]
-        value = read_field(F.col("_parsed"), field)
-        owned = value if owners == agents else F.when(F.col(agent).isin(owners), value)
-        values[field.name] = owned.cast(SQL_TYPE[field.kind])
-    typed = computed_once(parsed, values)
+        read = F.col("_parsed").isNotNull()
+        return F.when(read if owners == agents else read & F.col(agent).isin(owners), value)
+
+    parts = computed_once(
+        parsed, {f"_v_{f.name}": mine(f, part_of(F.col("_parsed"), f.name)) for f in fields}
+    )
+    kinds = computed_once(
+        parts, {f"_k_{f.name}": F.schema_of_variant(F.col(f"_v_{f.name}")) for f in fields}
+    )
+    values = {
+        f.name: mine(f, typed_value(f, F.col(f"_v_{f.name}"), F.col(f"_k_{f.name}"))).cast(
+            SQL_TYPE[f.kind]
+        )
+        for f in fields
+    }
+    typed = computed_once(kinds, values)
     by_agent = None
     for name in agents:
         errors = gather(*((f.name, is_wrong(f, F.col(f.name))) for f in ANSWERS[name]))
         ladder = F if by_agent is None else by_agent
         by_agent = ladder.when(F.col(agent) == name, errors)
     unreadable = F.array(F.lit("json"))
-    return typed.withColumn(
-        "errors", F.when(F.col("_parsed").isNull(), unreadable).otherwise(by_agent)
-    ).drop("_parsed")
+    judged = computed_once(
+        typed, {"errors": F.when(F.col("_parsed").isNull(), unreadable).otherwise(by_agent)}
+    )
+    return judged.select(*answers.columns, *values, "errors")

@@ -335,6 +335,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row.
+
+    A file with a single row group is a single task.  Only where a table has
+    fewer splits than there are cores, its rows are spread by their unique key.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def _select(source: DataFrame, columns: dict[str, str]) -> DataFrame:
     return source.selectExpr(*(f"{sql} AS {name}" for name, sql in columns.items()))
 
@@ -342,7 +353,7 @@ def _select(source: DataFrame, columns: dict[str, str]) -> DataFrame:
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """The payload is made once per row, as if it were stored."""
     columns = request_columns(SPARK)
-    source = table(spark, folder, "documents")
+    source = spread_table(spark, folder, "documents", "doc_id")
     made = computed_once(source, {"log_payload": F.expr(columns["log_payload"])})
     return _select(made, columns | {"log_payload": "log_payload"})
 
@@ -359,13 +370,13 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, folder: str) -> DataFrame:
-    return _select(table(spark, folder, "events"), command_columns(SPARK))
+    return _select(spread_table(spark, folder, "events", "event_id"), command_columns(SPARK))
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """The answer text is made once per row, as if it were stored."""
     columns = answer_columns(SPARK)
-    source = table(spark, folder, "events")
+    source = spread_table(spark, folder, "events", "event_id")
     for step in ANSWER_STEPS:
         source = computed_once(source, {name: F.expr(columns.pop(name)) for name in step})
     return _select(source, columns)

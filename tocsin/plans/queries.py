@@ -382,7 +382,9 @@ def parse_answers(spark, folder):
 
 @query
 def first_valid_attempt(spark, folder):
-    return answers.first_valid_attempts(_read(spark, folder))
+    return answers.first_valid_attempts(_read(spark, folder)).withColumn(
+        "last_error", _joined("last_error")
+    )
 
 
 @query

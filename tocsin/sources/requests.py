@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin import schemas
-from tocsin.operators.validation import check_requests, parse_object, with_default_window
+from tocsin.functions.rows import computed_once
+from tocsin.operators.validation import (
+    as_text,
+    check_requests,
+    parse_object,
+    part_of,
+    with_default_window,
+)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -28,30 +35,24 @@ def read_requests_exactly(spark: SparkSession, path: str) -> DataFrame:
     Lines are parsed one by one, so a line that is no JSON object is kept with
     the error ``json`` instead of being lost.
     """
-    parsed = spark.read.text(path).withColumn("_parsed", parse_object(F.col("value")))
-
-    def part(name: str) -> Column:
-        return F.try_variant_get("_parsed", f"$.{name}", "variant")
-
-    def text(name: str) -> Column:
-        value = part(name)
-        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-
-    window = part("max_context_lines")
+    names = ["request_id", "service_name", "environment", "log_payload", "max_context_lines"]
+    parsed = parse_object(spark.read.text(path), "value")
+    parts = computed_once(parsed, {f"_{n}": part_of(F.col("_parsed"), n) for n in names})
+    window = F.col("_max_context_lines")
     given = F.try_variant_get(window, "$", "double")
     whole = F.when(
         F.schema_of_variant(window).rlike("^(BIGINT|DECIMAL.*|DOUBLE|BOOLEAN|STRING)$")
         & (given == F.floor(given)),
         given.try_cast("bigint"),
     )
-    read = parsed.select(
-        F.try_variant_get("_parsed", "$.request_id", "bigint").alias("request_id"),
-        *(text(n).alias(n) for n in ("service_name", "environment", "log_payload")),
-        F.when(window.isNull() & F.col("_parsed").isNotNull(), schemas.WINDOW_DEFAULT)
-        .otherwise(whole)
-        .alias("max_context_lines"),
-        F.col("_parsed").isNull().alias("_broken"),
-    )
+    values = {
+        "request_id": F.try_variant_get("_request_id", "$", "bigint"),
+        **{n: as_text(F.col(f"_{n}"), F.schema_of_variant(F.col(f"_{n}"))) for n in names[1:4]},
+        "max_context_lines": F.when(
+            window.isNull() & F.col("_parsed").isNotNull(), schemas.WINDOW_DEFAULT
+        ).otherwise(whole),
+    }
+    read = computed_once(parts, values).select(*names, F.col("_parsed").isNull().alias("_broken"))
     checked = check_requests(read)
     return checked.withColumn(
         "errors",
