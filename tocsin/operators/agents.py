@@ -39,6 +39,8 @@ def ask_model(
     ``attempts`` times, and every attempt is a row.  Spark may run a task twice,
     so write the result to a table before joining it to anything.
     """
+    # Plain values, so that the shipped function needs no module of this package.
+    columns, retried = list(schemas.ATTEMPT.names), RETRIED
 
     def replies(ask: Model | None, texts: list[str]) -> list[Reply | Exception]:
         if ask is None or not texts:
@@ -69,14 +71,14 @@ def ask_model(
                     # A failed primary leads to the fallback; only the fallback's
                     # own failure can be one that is not worth another attempt.
                     failure = next((r for r in (two, one) if isinstance(r, Exception)), None)
-                    final = isinstance(two, Exception) and not isinstance(two, RETRIED)
+                    final = isinstance(two, Exception) and not isinstance(two, retried)
                     one = (None, 0, 0) if isinstance(one, Exception) else one
                     two = (None, None, None) if isinstance(two, Exception) else two
                     text = one[0] or two[0]
                     rows.append((incident, agent, attempt, prompt, *one, *two, ms, failure and repr(failure)))
                     good = bool(text) and (accept is None or accept(agent, text))
                     again.append(not good and not final)
-                yield pd.DataFrame(rows, columns=schemas.ATTEMPT.names)
+                yield pd.DataFrame(rows, columns=columns)
                 open_rows = open_rows[again]
 
     return prompts.select("incident_id", "agent", "prompt").mapInPandas(run, schemas.ATTEMPT)

@@ -491,22 +491,24 @@ def metadata_json(spark, folder):
     )
 
 
-def sample_model(asked: list[str]) -> list[agents.Reply | Exception]:
-    """A stand-in for a model: the answer tells the length of the prompt."""
-    return [
-        ConnectionError("no route")
-        if len(prompt) % 3 == 0
-        else (f'{{"severity_detected": "ERROR", "severity_reasoning": "{len(prompt)}"}}', 0, 0)
-        for prompt in asked
-    ]
+def sample_models() -> tuple[agents.Model, agents.Model]:
+    """Stand-ins for a model and its fallback: answers tell the prompt's length."""
 
+    def model(asked):
+        return [
+            ConnectionError("no route")
+            if len(prompt) % 3 == 0
+            else (f'{{"severity_detected": "ERROR", "severity_reasoning": "{len(prompt)}"}}', 0, 0)
+            for prompt in asked
+        ]
 
-def sample_fallback(asked: list[str]) -> list[agents.Reply | Exception]:
-    """Fails where the prompt's length can be divided by nine."""
-    return [
-        ConnectionError("no route") if len(prompt) % 9 == 0 else (f"length {len(prompt)}", 1, 2)
-        for prompt in asked
-    ]
+    def fallback(asked):
+        return [
+            ConnectionError("no route") if len(prompt) % 9 == 0 else (f"length {len(prompt)}", 1, 2)
+            for prompt in asked
+        ]
+
+    return model, fallback
 
 
 @query
@@ -517,7 +519,7 @@ def agent_map(spark, folder):
         prompts.severity_prompt().alias("prompt"),
     )
     path = shared_folder(spark, "attempts")
-    agents.ask_model(asked, sample_model, sample_fallback).write.parquet(path)
+    agents.ask_model(asked, *sample_models()).write.parquet(path)
     return answers.choose_transport(spark.read.parquet(path)).select(
         "incident_id", "attempt", "raw_answer", "transport", "reported_prompt_tokens", "error"
     )
