@@ -19,6 +19,11 @@ SPACES = (
 )
 
 
+def sql_text(text: str) -> str:
+    """A text as a literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def line_pieces(payload: Column) -> Column:
     """Pieces between line breaks; a trailing break leaves one empty last piece.
 

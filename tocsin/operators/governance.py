@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tocsin import schemas
 from tocsin.functions.rows import computed_once
-from tocsin.functions.text import strip
+from tocsin.functions.text import sql_text, strip
 
 DENY, ALLOW = "deny", "allow"
 
@@ -119,31 +119,28 @@ def is_noop(command: Column, command_type: Column) -> Column:
     return F.coalesce(command_type == "none", F.lit(False)) | (command == "")
 
 
-def first_denied(command: Column, rules: Rules) -> Column:
-    """Position (from 1) of the first deny pattern found in the command, or null."""
-    if not rules.deny:
-        return F.lit(None).cast("int")
-    ladder = F
-    for n, pattern in enumerate(rules.deny, 1):
-        ladder = ladder.when(command.rlike(engine_pattern(pattern)), F.lit(n))
-    return ladder
+def first_denied(rules: Rules) -> Column:
+    """Position (from 1) of the first deny pattern found in ``cmd``, or null."""
+    tests = [
+        f"WHEN cmd RLIKE {sql_text(engine_pattern(p))} THEN {n}" for n, p in enumerate(rules.deny, 1)
+    ]
+    return F.expr(f"CASE {' '.join(tests)} END" if tests else "CAST(NULL AS INT)")
 
 
-def denied_pattern(command: Column, rules: Rules) -> Column:
-    if not rules.deny:
-        return F.lit(None).cast("string")
-    return F.try_element_at(
-        F.array(*(F.lit(p) for p in rules.deny)), first_denied(command, rules)
-    )
+def denied_pattern(rules: Rules) -> Column:
+    """The text of that pattern."""
+    texts = F.expr(f"array({', '.join(map(sql_text, rules.deny))})").cast("array<string>")
+    return F.try_element_at(texts, first_denied(rules))
 
 
-def allowed_verb(command: Column, command_type: Column, rules: Rules) -> Column:
-    """The first prefix of the command's own type that it starts with, or null."""
-    ladder = F
-    for kind, prefixes in rules.allow.items():
-        for prefix in prefixes:
-            ladder = ladder.when((command_type == kind) & command.startswith(prefix), F.lit(prefix))
-    return F.lit(None).cast("string") if ladder is F else ladder
+def allowed_verb(rules: Rules) -> Column:
+    """The first prefix of ``command_type`` that ``cmd`` starts with, or null."""
+    tests = [
+        f"WHEN command_type = {sql_text(kind)} AND startswith(cmd, {sql_text(p)}) THEN {sql_text(p)}"
+        for kind, prefixes in rules.allow.items()
+        for p in prefixes
+    ]
+    return F.expr(f"CASE {' '.join(tests)} END" if tests else "CAST(NULL AS STRING)")
 
 
 def judge(commands: DataFrame, rules: Rules) -> DataFrame:
@@ -156,9 +153,9 @@ def judge(commands: DataFrame, rules: Rules) -> DataFrame:
     clean = commands.withColumn("cmd", normalised(F.col("remediation_command")))
     denied = computed_once(
         clean.withColumn("noop", is_noop(cmd, kind)),
-        {"cmd": cmd, "noop": noop, "deny_pattern": F.when(~noop, denied_pattern(cmd, rules))},
+        {"cmd": cmd, "noop": noop, "deny_pattern": F.when(~noop, denied_pattern(rules))},
     )
-    allowed = F.when(~noop & F.col("deny_pattern").isNull(), allowed_verb(cmd, kind, rules))
+    allowed = F.when(~noop & F.col("deny_pattern").isNull(), allowed_verb(rules))
     return computed_once(denied, {"verb": allowed})
 
 
@@ -173,27 +170,25 @@ def decide(commands: DataFrame, rules: Rules) -> DataFrame:
     judged = judge(commands, rules)
     none = F.array().cast("array<string>")
     steps = F.coalesce("runbook_steps", none)
-    denied = F.col("deny_pattern").isNotNull()
+    noop, denied = F.col("noop"), F.col("deny_pattern").isNotNull()
     held = F.col("verb").isNull() | F.coalesce("requires_human_approval", F.lit(False))
-    null_text = F.lit(None).cast("string")
-
-    def choose(noop: Column, on_deny: Column, on_hold: Column, approved: Column) -> Column:
-        return F.when(F.col("noop"), noop).when(denied, on_deny).when(held, on_hold).otherwise(approved)
-
+    blocked = ~noop & (denied | held)
     prefix, suffix = DENIED.split("{}")
-    quoted_pattern = F.concat(F.lit(prefix), F.col("deny_pattern"), F.lit(suffix))
-    approved, blocked = F.lit(schemas.APPROVED), F.lit(schemas.BLOCKED)
+    reason = (
+        F.when(denied, F.concat(F.lit(prefix), F.col("deny_pattern"), F.lit(suffix)))
+        .when(blocked, F.lit(NOT_ALLOWED))
+    )
     remediation = F.struct(
-        choose(null_text, null_text, null_text, F.col("cmd")).alias("command"),
-        F.when(F.col("noop"), F.lit("none")).otherwise(F.col("command_type")).alias("command_type"),
-        choose(approved, blocked, blocked, approved).alias("status"),
-        choose(null_text, quoted_pattern, F.lit(NOT_ALLOWED), null_text).alias("block_reason"),
-        choose(steps, steps, none, steps).alias("runbook_steps"),
+        F.when(~noop & ~blocked, F.col("cmd")).alias("command"),
+        F.when(noop, F.lit("none")).otherwise(F.col("command_type")).alias("command_type"),
+        F.when(blocked, F.lit(schemas.BLOCKED)).otherwise(F.lit(schemas.APPROVED)).alias("status"),
+        reason.alias("block_reason"),
+        F.when(blocked & ~denied, none).otherwise(steps).alias("runbook_steps"),
     )
     governance = F.struct(
-        choose(F.lit(False), F.lit(True), F.lit(True), F.lit(False)).alias("guardrail_triggered"),
+        blocked.alias("guardrail_triggered"),
         F.col("deny_pattern").alias("matched_denylist_pattern"),
-        choose(null_text, null_text, null_text, F.col("verb")).alias("allowlist_verb"),
+        F.when(~noop & ~blocked, F.col("verb")).alias("allowlist_verb"),
     )
     return (
         judged.withColumn("remediation", remediation)
@@ -210,7 +205,7 @@ def denied_by_table(commands: DataFrame, rules: Rules, spark: SparkSession) -> D
     """
     clean = commands.withColumn("cmd", normalised(F.col("remediation_command")))
     positioned = (
-        computed_once(clean, {"ordinal": first_denied(F.col("cmd"), rules)})
+        computed_once(clean, {"ordinal": first_denied(rules)})
         .filter(F.col("ordinal").isNotNull() & ~is_noop(F.col("cmd"), F.col("command_type")))
     )
     deny_rows = rules.table(spark).filter(F.col("kind") == DENY).select("ordinal", "pattern")

@@ -47,8 +47,9 @@ def timing_block(
     preprocessing: Column, inference: Column, governance: Column, total: Column
 ) -> Column:
     """The four supplied times, each rounded to two decimals."""
-    values = [preprocessing, inference, governance, total]
-    return F.struct(*(round_cents(v).alias(n) for n, v in zip(TIMINGS, values)))
+    values = F.array(*(v.cast("double") for v in (preprocessing, inference, governance, total)))
+    rounded = F.transform(values, round_cents)
+    return F.struct(*(rounded[i].alias(n) for i, n in enumerate(TIMINGS)))
 
 
 def has_anchor() -> Column:

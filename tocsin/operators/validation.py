@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tocsin import schemas
 from tocsin.functions.rows import computed_once
-from tocsin.functions.text import strip
+from tocsin.functions.text import SPACES, sql_text
 
 
 def gather(*wrong: tuple[str, Column]) -> Column:
@@ -114,7 +114,6 @@ YES = ["1", "on", "t", "true", "y", "yes"]
 NO = ["0", "off", "f", "false", "n", "no"]
 NUMBER_TEXT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
-SQL_TYPE = {TEXT: "string", NUMBER: "double", FLAG: "boolean", TEXTS: "array<string>"}
 _END = "end of answer"
 
 
@@ -133,65 +132,59 @@ def parse_object(rows: DataFrame, text: str, name: str = "_parsed") -> DataFrame
     return computed_once(listed, {name: F.when(whole, F.col(name))})
 
 
-def part_of(parsed: Column, field: str) -> Column:
-    return F.try_variant_get(parsed, f"$[0].{field}", "variant")
+def part_of(parsed: str, field: str) -> str:
+    """SQL for a field of the object in a parsed column, as VARIANT."""
+    return f"try_variant_get({parsed}, '$[0].{field}', 'variant')"
 
 
-def as_text(value: Column, kind: Column) -> Column:
-    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+def as_text(value: str, kind: str) -> str:
+    """SQL for the text in a VARIANT column, null where it is of another type."""
+    return f"CASE WHEN {kind} = 'STRING' THEN try_variant_get({value}, '$', 'string') END"
 
 
-def _number(value: Column, kind: Column) -> Column:
-    text = strip(F.try_variant_get(value, "$", "string"))
-    return F.when(kind == "STRING", F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))).when(
-        (kind == "BIGINT") | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT", "BOOLEAN"),
-        F.try_variant_get(value, "$", "double"),
-    )
-
-
-def _flag(value: Column, kind: Column) -> Column:
-    text = F.lower(F.try_variant_get(value, "$", "string"))
-    number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", F.when(text.isin(YES), True).when(text.isin(NO), False))
-        .when(
-            (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"),
-            F.when(number == 1, True).when(number == 0, False),
-        )
-    )
-
-
-def _texts(value: Column, kind: Column) -> Column:
-    items = F.try_variant_get(value, "$", "array<string>")
-    return F.when(
-        kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(items, lambda item: item.isNull()),
-        items,
-    )
+def typed_value(field: Field, value: str, kind: str) -> str:
+    """SQL for a value by the lax rules, from a VARIANT column and its type's name.
 
-
-def typed_value(field: Field, value: Column, kind: Column) -> Column:
-    """The value by the lax rules: null where of the wrong type or required and absent."""
+    Null where the value is of the wrong type, or absent though required.
+    """
+    text, number = (f"try_variant_get({value}, '$', '{t}')" for t in ("string", "double"))
+    numeric = f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL'))"
     if field.kind == NUMBER:
-        return _number(value, kind)
+        bare = f"btrim({text}, {sql_text(SPACES)})"
+        return (
+            f"CASE WHEN {kind} = 'STRING' THEN CASE WHEN {bare} RLIKE {sql_text(NUMBER_TEXT)} "
+            f"THEN try_cast({bare} AS DOUBLE) END WHEN {numeric} OR {kind} = 'BOOLEAN' THEN {number} END"
+        )
     if field.kind == FLAG:
-        return _flag(value, kind)
+        yes, no = (", ".join(map(sql_text, words)) for words in (YES, NO))
+        return (
+            f"CASE WHEN {kind} = 'BOOLEAN' THEN try_variant_get({value}, '$', 'boolean') "
+            f"WHEN {kind} = 'STRING' THEN CASE WHEN lower({text}) IN ({yes}) THEN true "
+            f"WHEN lower({text}) IN ({no}) THEN false END "
+            f"WHEN {numeric} THEN CASE {number} WHEN 1 THEN true WHEN 0 THEN false END END"
+        )
     if field.kind == TEXTS:
-        return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(_texts(value, kind))
+        items = f"try_variant_get({value}, '$', 'array<string>')"
+        return (
+            f"CASE WHEN {value} IS NULL THEN CAST(array() AS ARRAY<STRING>) "
+            f"WHEN {kind} IN ('ARRAY<STRING>', 'ARRAY<VOID>') AND NOT exists({items}, x -> x IS NULL) "
+            f"THEN {items} END"
+        )
     if field.required:
         return as_text(value, kind)
-    return F.when(value.isNull(), F.lit(field.default)).otherwise(as_text(value, kind))
+    return f"CASE WHEN {value} IS NULL THEN {sql_text(field.default)} ELSE {as_text(value, kind)} END"
 
 
-def is_wrong(field: Field, value: Column) -> Column:
-    """Whether a typed value breaks its field's rule; null always does."""
+def wrong_name(field: Field) -> str:
+    """SQL for the field's name where its value breaks the rule, else null."""
+    bad = f"{field.name} IS NULL"
     if field.allowed:
-        return ~value.isin(list(field.allowed))
+        bad += f" OR {field.name} NOT IN ({', '.join(map(sql_text, field.allowed))})"
     if field.longest:
-        return F.length(value) > field.longest
+        bad += f" OR length({field.name}) > {field.longest}"
     if field.kind == NUMBER:
-        return ~value.between(0.0, 1.0)
-    return value.isNull()
+        bad += f" OR NOT {field.name} BETWEEN 0 AND 1"
+    return f"CASE WHEN {bad} THEN '{field.name}' END"
 
 
 def all_fields(agents: list[str]) -> list[Field]:
@@ -210,31 +203,22 @@ def check_answers(
     fields = all_fields(agents)
     parsed = parse_object(computed_once(answers, {text: F.col(text)}), text)
 
-    def mine(field: Field, value: Column) -> Column:
-        owners = [a for a in agents if any(f.name == field.name for f in ANSWERS[a])]
-        read = F.col("_parsed").isNotNull()
-        return F.when(read if owners == agents else read & F.col(agent).isin(owners), value)
+    def mine(field: Field, sql: str) -> Column:
+        """Only where an answer could be read, and by an agent that has the field."""
+        owners = [sql_text(a) for a in agents if field in ANSWERS[a]]
+        owned = "" if len(owners) == len(agents) else f" AND {agent} IN ({', '.join(owners)})"
+        return F.expr(f"CASE WHEN _parsed IS NOT NULL{owned} THEN {sql} END")
 
-    parts = computed_once(
-        parsed, {f"_v_{f.name}": mine(f, part_of(F.col("_parsed"), f.name)) for f in fields}
-    )
+    parts = computed_once(parsed, {f"_v_{f.name}": mine(f, part_of("_parsed", f.name)) for f in fields})
     kinds = computed_once(
-        parts, {f"_k_{f.name}": F.schema_of_variant(F.col(f"_v_{f.name}")) for f in fields}
+        parts, {f"_k_{f.name}": F.expr(f"schema_of_variant(_v_{f.name})") for f in fields}
     )
-    values = {
-        f.name: mine(f, typed_value(f, F.col(f"_v_{f.name}"), F.col(f"_k_{f.name}"))).cast(
-            SQL_TYPE[f.kind]
-        )
-        for f in fields
-    }
+    values = {f.name: mine(f, typed_value(f, f"_v_{f.name}", f"_k_{f.name}")) for f in fields}
     typed = computed_once(kinds, values)
-    by_agent = None
-    for name in agents:
-        errors = gather(*((f.name, is_wrong(f, F.col(f.name))) for f in ANSWERS[name]))
-        ladder = F if by_agent is None else by_agent
-        by_agent = ladder.when(F.col(agent) == name, errors)
-    unreadable = F.array(F.lit("json"))
-    judged = computed_once(
-        typed, {"errors": F.when(F.col("_parsed").isNull(), unreadable).otherwise(by_agent)}
+    by_agent = " ".join(
+        f"WHEN {sql_text(a)} THEN array_compact(array({', '.join(map(wrong_name, ANSWERS[a]))}))"
+        for a in agents
     )
+    errors = f"CASE WHEN _parsed IS NULL THEN array('json') ELSE CASE {agent} {by_agent} END END"
+    judged = computed_once(typed, {"errors": F.expr(errors)})
     return judged.select(*answers.columns, *values, "errors")

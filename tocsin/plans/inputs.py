@@ -256,7 +256,7 @@ def answer_columns(d: Dialect) -> dict[str, str]:
             "', \"extra\": {\"a\": [1]}}')"
         ),
         "remediation": (
-            f"concat('{{\"remediation_command\": \"', {command}, '\", \"command_type\": \"', {kind}, "
+            f"concat('{{\"remediation_command\": \"', proposed, '\", \"command_type\": \"', proposed_type, "
             f"'\", \"requires_human_approval\": ', {approval}, CASE WHEN user_id % 5 = 0 THEN '' ELSE "
             f"concat(', \"runbook_steps\": ', {steps}) END, '}}')"
         ),
@@ -269,7 +269,7 @@ def answer_columns(d: Dialect) -> dict[str, str]:
         "unified": (
             f"concat('{{\"severity_detected\": \"', {severity}, '\", \"root_cause\": ', {cause}, "
             f"', \"confidence_score\": ', {confidence}, ', \"explanation\": ', {explanation}, "
-            f"', \"remediation_command\": \"', {command}, '\", \"command_type\": \"', {kind}, "
+            f"', \"remediation_command\": \"', proposed, '\", \"command_type\": \"', proposed_type, "
             f"'\", \"requires_human_approval\": ', {approval}, '}}')"
         ),
     }
@@ -284,6 +284,8 @@ def answer_columns(d: Dialect) -> dict[str, str]:
     )
     return {
         "flaw": f"{k} % 25",
+        "proposed": command,
+        "proposed_type": kind,
         "wrapping": f"({k} + user_id) % 17",
         "body": body,
         "answer": wrapped,
@@ -307,7 +309,7 @@ def answer_columns(d: Dialect) -> dict[str, str]:
     }
 
 
-ANSWER_STEPS = [["flaw", "wrapping"], ["body"], ["answer"]]
+ANSWER_STEPS = [["flaw", "wrapping", "proposed", "proposed_type"], ["body"], ["answer"]]
 
 # --- request metrics: every event is one finished request -------------------
 

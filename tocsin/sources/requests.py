@@ -37,7 +37,7 @@ def read_requests_exactly(spark: SparkSession, path: str) -> DataFrame:
     """
     names = ["request_id", "service_name", "environment", "log_payload", "max_context_lines"]
     parsed = parse_object(spark.read.text(path), "value")
-    parts = computed_once(parsed, {f"_{n}": part_of(F.col("_parsed"), n) for n in names})
+    parts = computed_once(parsed, {f"_{n}": F.expr(part_of("_parsed", n)) for n in names})
     window = F.col("_max_context_lines")
     given = F.try_variant_get(window, "$", "double")
     whole = F.when(
@@ -47,7 +47,7 @@ def read_requests_exactly(spark: SparkSession, path: str) -> DataFrame:
     )
     values = {
         "request_id": F.try_variant_get("_request_id", "$", "bigint"),
-        **{n: as_text(F.col(f"_{n}"), F.schema_of_variant(F.col(f"_{n}"))) for n in names[1:4]},
+        **{n: F.expr(as_text(f"_{n}", f"schema_of_variant(_{n})")) for n in names[1:4]},
         "max_context_lines": F.when(
             window.isNull() & F.col("_parsed").isNotNull(), schemas.WINDOW_DEFAULT
         ).otherwise(whole),
