@@ -8,6 +8,7 @@ from test_answers import attempt, chain, table
 from tocsin import schemas
 from tocsin.operators import answers, prompts, reports
 from tocsin.operators.governance import Rules
+from tocsin.operators.validation import accepted, check_requests, quarantined, with_default_window
 from tocsin.plans import inputs, triage
 from tocsin.sources.requests import read_requests, read_requests_exactly, scan_log_files, stream_requests
 from tocsin.sources.sinks import write_escalations, write_report_texts, write_reports
@@ -30,9 +31,12 @@ def requests(spark):
 
 
 def test_requests_checked_and_quarantined(spark):
-    checked = triage.check_requests(triage.with_default_window(requests(spark)))
+    checked = check_requests(with_default_window(requests(spark)))
     errors = {r.request_id: r.errors for r in checked.collect()}
     assert [n for n, e in errors.items() if not e] == [1, 2, 3, 6]
+    kept = accepted(with_default_window(requests(spark))).collect()
+    assert sorted(r.request_id for r in kept) == [1, 2, 3, 6]
+    assert quarantined(checked).filter("request_id = 7").count() == 3
     assert errors[5] == ["environment", "max_context_lines"]
     assert errors[7] == ["service_name", "log_payload", "max_context_lines"]
 
@@ -41,7 +45,7 @@ def test_payload_limit(spark):
     frame = spark.createDataFrame(
         [(n, "a", "prod", "é" * n, 10) for n in (2_000_000, 2_000_001)], schemas.REQUEST
     )
-    assert [r.request_id for r in triage.accepted(triage.check_requests(frame)).collect()] == [2_000_000]
+    assert [r.request_id for r in accepted(frame).collect()] == [2_000_000]
 
 
 def test_json_requests(spark, tmp_path):

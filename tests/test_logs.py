@@ -134,3 +134,29 @@ def test_one_long_incident(spark):
     row = logs.preprocess_lines(lines, 50).collect()[0]
     assert (row.anchor, row.n_context, row.n_lines) == (10239, 101, 20000)
     assert row.context.startswith("l10189\n") and row.context.endswith("\nl10289")
+
+
+def test_line_form_without_broadcast(spark):
+    """The shuffled plan gives the same rows and is keyed by incident and block."""
+    lines = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2).alias("incident_id"),
+        F.col("id").alias("raw_id"),
+    )
+    order = Window.partitionBy("incident_id").orderBy("raw_id")
+    lines = lines.select(
+        "incident_id",
+        (F.row_number().over(order) - 1).cast("bigint").alias("line_no"),
+        F.when(F.col("raw_id") % 997 == 3, "ERROR e").otherwise(F.concat(F.lit("l"), "raw_id")).alias("raw"),
+    )
+    usual = sorted(map(str, logs.preprocess_lines(lines, 7).collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = logs.preprocess_lines(lines, 7)
+        assert sorted(map(str, shuffled.collect())) == usual
+        assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        window = logs.context_window(lines, logs.crash_anchors(logs.tag_severity(lines)), 7)
+        plan = window._jdf.queryExecution().executedPlan().toString()
+        assert "_block" in plan[plan.index("SortMergeJoin") :].splitlines()[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -17,13 +17,6 @@ from tocsin.functions.rows import computed_once
 from tocsin.functions.text import SPACES, sql_text
 
 
-def gather(*wrong: tuple[str, Column]) -> Column:
-    """Names whose condition is not certainly false (null counts as wrong)."""
-    return F.array_compact(
-        F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in wrong))
-    )
-
-
 # --- requests ---------------------------------------------------------------
 
 
@@ -33,21 +26,32 @@ def with_default_window(requests: DataFrame) -> DataFrame:
     )
 
 
-def check_requests(requests: DataFrame) -> DataFrame:
-    """Adds ``errors``; lengths are in code points and limits are inclusive."""
-    wrong = {
-        "service_name": ~F.length("service_name").between(1, schemas.SERVICE_NAME_MAX),
-        "environment": ~F.col("environment").isin(schemas.ENVIRONMENTS),
-        "log_payload": ~F.length("log_payload").between(1, schemas.PAYLOAD_MAX),
-        "max_context_lines": ~F.col("max_context_lines").between(
+def request_tests() -> dict[str, Column]:
+    """What must hold of each field; lengths are in code points, limits inclusive."""
+    return {
+        "service_name": F.length("service_name").between(1, schemas.SERVICE_NAME_MAX),
+        "environment": F.col("environment").isin(schemas.ENVIRONMENTS),
+        "log_payload": F.length("log_payload").between(1, schemas.PAYLOAD_MAX),
+        "max_context_lines": F.col("max_context_lines").between(
             schemas.WINDOW_MIN, schemas.WINDOW_MAX
         ),
     }
-    return requests.withColumn("errors", gather(*wrong.items()))
 
 
-def accepted(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.size("errors") == 0).drop("errors")
+def check_requests(requests: DataFrame) -> DataFrame:
+    """Adds ``errors``; a null field is wrong."""
+    names = [
+        F.when(F.coalesce(test, F.lit(False)), None).otherwise(F.lit(name))
+        for name, test in request_tests().items()
+    ]
+    return requests.withColumn("errors", F.array_compact(F.array(*names)))
+
+
+def accepted(requests: DataFrame) -> DataFrame:
+    """Requests without errors, as plain predicates that reach the scan."""
+    for test in request_tests().values():
+        requests = requests.filter(test)
+    return requests
 
 
 def quarantined(checked: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def _checked_requests(spark, folder) -> DataFrame:
 
 @query
 def validate_requests(spark, folder):
-    return validation.accepted(_checked_requests(spark, folder))
+    return validation.accepted(validation.with_default_window(inputs.requests(spark, folder)))
 
 
 @query

@@ -9,12 +9,12 @@ from tocsin.operators.answers import CHAIN, agent_chains, read_answers, unavaila
 from tocsin.operators.governance import Rules
 from tocsin.operators.logs import preprocess_dumps
 from tocsin.operators.reports import all_reports, has_anchor, request_key
-from tocsin.operators.validation import accepted, check_requests, with_default_window
+from tocsin.operators.validation import accepted, with_default_window
 
 
 def incidents_of(requests: DataFrame) -> DataFrame:
     """Accepted requests after the log stage, one row each, payload dropped."""
-    valid = accepted(check_requests(with_default_window(requests)))
+    valid = accepted(with_default_window(requests))
     return preprocess_dumps(valid, F.col("max_context_lines")).withColumn(
         "incident_key", request_key()
     )
