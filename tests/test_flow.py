@@ -54,6 +54,7 @@ def test_json_requests(spark, tmp_path):
         '{"service_name": "b", "environment": "prod", "log_payload": "x", "max_context_lines": null}',
         '{"service_name": "c", "environment": "prod", "log_payload": "x", "max_context_lines": "7"}',
         '{"service_name": "d", "environment": "prod", "log_payload": 5, "max_context_lines": 7.5}',
+        '{"service_name": "e", "environment": "prod", "log_payload": "x", "max_context_lines": "1e1"}',
         "broken",
     ]
     (tmp_path / "a.json").write_text("\n".join(lines))
@@ -62,7 +63,9 @@ def test_json_requests(spark, tmp_path):
     assert got["b"].errors == ["max_context_lines"]
     assert got["c"].errors == [] and got["c"].max_context_lines == 7
     assert got["d"].errors == ["log_payload", "max_context_lines"]
+    assert got["e"].errors == ["max_context_lines"]
     assert got[None].errors == ["json"]
+    assert len({r.request_id for r in got.values()}) == len(got)
     assert read_requests(spark, str(tmp_path)).filter("max_context_lines = 10").count() >= 2
 
 
@@ -74,6 +77,8 @@ def test_log_files(spark, tmp_path):
     assert set(got) == {"oom", "disk.full"}
     assert got["oom"].log_payload == "INFO a\nFATAL b\n" and got["oom"].environment == "prod"
     assert got["oom"].max_context_lines == 10
+    found = {r.service_name: r.severity for r in triage.incidents_of(scan_log_files(spark, str(tmp_path))).collect()}
+    assert found == {"oom": "FATAL", "disk.full": "ERROR"}
 
 
 def test_prompts_are_filled_once(spark):

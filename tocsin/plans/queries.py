@@ -389,7 +389,8 @@ def first_valid_attempt(spark, folder):
 
 @query
 def token_fallback(spark, folder):
-    return _read(spark, folder).select(
+    chosen = answers.choose_transport(inputs.answers(spark, folder))
+    return answers.fill_tokens(answers.strip_fences(chosen)).select(
         "incident_id", "agent", "attempt", "prompt_tokens", "completion_tokens"
     )
 

@@ -16,9 +16,19 @@ from tocsin.operators.validation import (
 )
 
 
+# Texts read as a whole number.
+WHOLE_TEXT = r"\A\s*[+-]?[0-9]+(\.0+)?\s*\z"
+
+
+def with_request_id(requests: DataFrame) -> DataFrame:
+    """A key for requests that come without one, made from what they say."""
+    made = F.xxhash64("service_name", "environment", "log_payload", "max_context_lines")
+    return requests.withColumn("request_id", F.coalesce("request_id", made))
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Requests from JSON lines with the fixed type; an absent window is 10."""
-    return with_default_window(spark.read.schema(schemas.REQUEST).json(path))
+    return with_request_id(with_default_window(spark.read.schema(schemas.REQUEST).json(path)))
 
 
 def stream_requests(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -26,7 +36,7 @@ def stream_requests(spark: SparkSession, path: str, files_per_batch: int | None
     reader = spark.readStream.schema(schemas.REQUEST)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return with_default_window(reader.json(path))
+    return with_request_id(with_default_window(reader.json(path)))
 
 
 def read_requests_exactly(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +50,9 @@ def read_requests_exactly(spark: SparkSession, path: str) -> DataFrame:
     parts = computed_once(parsed, {f"_{n}": F.expr(part_of("_parsed", n)) for n in names})
     window = F.col("_max_context_lines")
     given = F.try_variant_get(window, "$", "double")
-    whole = F.when(
-        F.schema_of_variant(window).rlike("^(BIGINT|DECIMAL.*|DOUBLE|BOOLEAN|STRING)$")
-        & (given == F.floor(given)),
-        given.try_cast("bigint"),
-    )
+    kind, text = F.schema_of_variant(window), F.try_variant_get(window, "$", "string")
+    numeric = kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE|BOOLEAN)$") & (given == F.rint(given))
+    whole = F.when(numeric | ((kind == "STRING") & text.rlike(WHOLE_TEXT)), given.try_cast("bigint"))
     values = {
         "request_id": F.try_variant_get("_request_id", "$", "bigint"),
         **{n: F.expr(as_text(f"_{n}", f"schema_of_variant(_{n})")) for n in names[1:4]},
@@ -53,7 +61,7 @@ def read_requests_exactly(spark: SparkSession, path: str) -> DataFrame:
         ).otherwise(whole),
     }
     read = computed_once(parts, values).select(*names, F.col("_parsed").isNull().alias("_broken"))
-    checked = check_requests(read)
+    checked = check_requests(with_request_id(read))
     return checked.withColumn(
         "errors",
         F.when(F.col("_broken"), F.array(F.lit("json"))).otherwise(F.col("errors")),
@@ -68,6 +76,7 @@ def scan_log_files(spark: SparkSession, folder: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .text(folder, wholetext=True)
         .select(
+            F.xxhash64("_metadata.file_path").alias("request_id"),
             stem.alias("service_name"),
             F.lit("prod").alias("environment"),
             F.col("value").alias("log_payload"),
