@@ -2,6 +2,74 @@
 
 from __future__ import annotations
 
+# Control strings of the template add 5 characters before and 12 after a role and a text, 1 for each escape.
+CHATS = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -7, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, r)
+)
+SELECT
+    conv_id,
+    count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length('<s>[INST]  [/INST]</s>') + length(role) + length(text)
+        + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+CONTAMINATION = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(list_slice(w, k, k + least(13, len(w)) - 1), ' ') AS gram
+    FROM items, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS r(k) WHERE len(w) > 0
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), hits AS (
+    SELECT doc_id, k, s.size, item_id
+    FROM (SELECT doc_id, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ') AS gram
+          FROM words, sizes, unnest(range(1, len(w) - size + 2)) AS r(k) WHERE len(w) >= size) AS s
+    JOIN windows AS b ON s.size = b.size AND s.gram = b.gram
+), places AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + size)) AS r(p) GROUP BY doc_id
+), owners AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT
+    doc_id,
+    len(w)::BIGINT AS n_words,
+    coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN places USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+RECORDS = """
+WITH sized AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), named AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+    FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM named
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_chat_formats": CHATS,
+        "op4_contamination": CONTAMINATION,
+        "op5_warc_records": RECORDS,
+    }
