@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import chat, contamination, packing, simhash, tokens, warc
+from tocsin.llm import chat, contamination, langid, lm, packing, quality, simhash, tokens, warc
 from tocsin.session import shared_folder
 
 
@@ -82,9 +82,28 @@ def op5_warc_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_languages(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fitted(documents.where(langid.remainder(documents, 4) != 2))
+    found = langid.identified(documents.select("doc_id", "text"), model)
+    held = F.coalesce(langid.remainder(found, 4) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), vocabulary())
 
 
+def op10_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(langid.remainder(documents, 7) == 2, F.lit(False))
+    found = lm.scored(documents.withColumn("training", ~held), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), *found.columns[2:])
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

@@ -86,3 +86,29 @@ def mapped(frame: DataFrame, schema: str, make: Callable[[], Callable[..., Itera
             yield packed(rows)
 
     return arrow_mapped(frame, schema, run)
+
+
+def extended(frame: DataFrame, added: str, make: Callable[[], Callable[[list], Iterable[tuple]]]) -> DataFrame:
+    """All columns of a frame, and columns made from ``text``, a few rows at a time.
+
+    The function gets a list of texts and returns a row of added values for
+    each.  Columns of the added names are replaced.
+    """
+    new = T.StructType.fromDDL(added)
+    base = frame.drop(*new.names)
+    fields = T.StructType([*base.schema.fields, *new.fields])
+    arrow, position = to_arrow_schema(new), [c.lower() for c in base.columns].index("text")
+    full = to_arrow_schema(fields)
+
+    def run(batches):
+        step = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                rows = zip(*step(part.column(position).to_pylist()))
+                columns = [pa.array(c, f.type) for c, f in zip(rows, arrow)]
+                old = [c.cast(f.type) for c, f in zip(part.columns, full)]
+                yield pa.RecordBatch.from_arrays([*old, *columns], schema=full)
+
+    ship(frame.sparkSession)
+    return base.mapInArrow(run, fields)

@@ -33,7 +33,9 @@ BEFORE_WORD = re.compile(r"(?= [^\s\x1c-\x1f])")
 # Chunks in the frequent tier, chunks each task proposes for it, and the longest such chunk.
 FREQUENT, PROPOSED, LONGEST = 32_768, 1_024, 64
 # Chunks a worker keeps, and those it counts at one time while looking for frequent ones.
-KEPT, COUNTED = 300_000, 200_000
+KEPT, COUNTED = 800_000, 200_000
+# Marks that the pre-tokenizer always cuts off the letters before them; an apostrophe may begin a contraction.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 _loaded: dict[str, object] = {}
 
@@ -71,7 +73,11 @@ def spelt(chunk: str) -> str:
 
 
 class Encoder:
-    """Values of chunks (lengths or ids), kept per worker process in bounded memory."""
+    """Values of chunks (lengths or ids), kept per worker process in bounded memory.
+
+    Values of neighbouring chunks must add up.  A new word with marks behind it
+    is looked up as the word and the marks.
+    """
 
     kept: dict[tuple, Encoder] = {}
 
@@ -100,13 +106,21 @@ class Encoder:
     def _of(self, keys: list[str]) -> list:
         found = list(map(self.known.get, keys))
         if None in found:
-            missing = list({k for k, v in zip(keys, found) if v is None})
-            if len(self.known) + len(missing) > KEPT:
+            if len(self.known) > KEPT:
                 self.known = dict(self.frequent)
-                missing = list({k for k in keys if k not in self.known})
-            encoded = tokenizer(self.path).encode_batch_fast([spelt(k) for k in missing], add_special_tokens=False)
-            self.known.update((k, self.value(e)) for k, e in zip(missing, encoded))
-            found = list(map(self.known.get, keys))
+            known, ends, missing = self.known, {}, set()
+            for key in {k for k in keys if k not in known}:
+                word = key.rstrip(MARKS)
+                if word != key and word.isalpha():
+                    ends[key] = (word, WHOLE + key[len(word) :])
+                    missing.update(ends[key])
+                else:
+                    missing.add(key)
+            new = [k for k in missing if k not in known]
+            encoded = tokenizer(self.path).encode_batch_fast([spelt(k) for k in new], add_special_tokens=False)
+            known.update((k, self.value(e)) for k, e in zip(new, encoded))
+            known.update((k, known[word] + known[marks]) for k, (word, marks) in ends.items())
+            found = list(map(known.get, keys))
         return found
 
 
