@@ -67,9 +67,32 @@ FROM named
 """
 
 
+PASSAGES = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, k, sha256(array_to_string(list_slice(w, k, k + 34), ' ')) AS gram
+    FROM words, unnest(range(1, len(w) - 33)) AS r(k) WHERE len(w) >= 35
+), twice AS (
+    SELECT doc_id, k FROM windows WHERE gram IN (SELECT gram FROM windows GROUP BY gram HAVING count(*) > 1)
+), gone AS (
+    SELECT DISTINCT doc_id, p FROM twice, unnest(range(k, k + 35)) AS r(p)
+), placed AS (
+    SELECT doc_id, p, w[p] AS word FROM words, unnest(range(1, len(w) + 1)) AS r(p)
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+    FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op3_chat_formats": CHATS,
         "op4_contamination": CONTAMINATION,
         "op5_warc_records": RECORDS,
+        "op9_repeated_passages": PASSAGES,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import chat, contamination, langid, lm, packing, quality, simhash, tokens, warc
+from tocsin.llm import chat, contamination, langid, lm, packing, quality, simhash, substrings, tokens, warc
 from tocsin.session import shared_folder
 
 
@@ -98,6 +98,14 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), vocabulary())
 
 
+def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op10_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     held = F.coalesce(langid.remainder(documents, 7) == 2, F.lit(False))

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.llm.components import components
@@ -216,3 +216,16 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents whose id is their component's, columns as they are.
+
+    Of rows that share an id one stays, the first by text.  Rows without an id
+    cannot be told apart and all stay.
+    """
+    first = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text")
+    kept = documents.join(first, "doc_id", "left_semi").withColumn("_order_in_id", F.row_number().over(order))
+    kept = kept.where("_order_in_id = 1").drop("_order_in_id")
+    return kept.select(*[f"`{c}`" for c in documents.columns]).unionByName(documents.where("doc_id is null"))
