@@ -25,7 +25,7 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     loss of any executor, since the folder is shared.
     """
     path = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

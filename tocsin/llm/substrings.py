@@ -21,6 +21,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,7 +278,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
     those of the input.  Null texts have no words and an empty kept_text; rows
     that repeat one another lose all words that such windows cover.
     """
-    names = ("n_words", "removed_spans", "kept_text", "_th", "_runs", "_unclear")
+    names = ("n_words", "removed_spans", "kept_text", "_th", "_runs", "_packed")
     base = documents.drop(*names)
     base = base.withColumn("_th", doc_key(F.col("text")))
     marks = stored(all_segments(documents, window), "substrings-segments")
@@ -287,6 +288,8 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         .where("total > 1")
         .select("anchor", (F.col("least") != F.col("most")).alias("varied"))
     )
+    # Written first, so that both sides of the join are shuffled for it and Spark can split hot anchors.
+    several = stored(several, "substrings-anchors")
     met = marks.join(several, "anchor")
     run = F.struct("first", "number", "varied", "anchor", "seg")
     lists = met.groupBy("doc_id", "th").agg(F.collect_set(run).alias("_runs"))
@@ -304,27 +307,32 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         return [{"start": a, "length": n} for a, n in found]
 
     def first_pass():
+        pack = zstandard.ZstdCompressor(3).compress
+
         def step(*row):
             text, runs = row[position], row[-1] or []
             if any(r["varied"] for r in runs):
-                return [(*row[:-1], None, None, None, runs)]
+                left = (*row[:position], None, *row[position + 1 : -1])
+                return [(*left, None, None, None, pack(text.encode()), runs)]
             words = (text or "").encode().split()
             found = _covered([(r["first"], r["number"]) for r in runs], window)
-            return [(*row[:-1], len(words), spanned(found), b" ".join(_kept(words, found)).decode(), None)]
+            return [(*row[:-1], len(words), spanned(found), b" ".join(_kept(words, found)).decode(), None, None)]
 
         return step
 
     runs_kind = "array<struct<first: long, number: int, varied: boolean, anchor: long, seg: long>>"
-    read = stored(mapped(joined, f"{kinds}, {more}, _runs {runs_kind}", first_pass), "substrings-first")
-    done = read.where("_runs is null").drop("_runs")
+    read = stored(mapped(joined, f"{kinds}, {more}, _packed binary, _runs {runs_kind}", first_pass), "substrings-first")
+    done = read.where("_runs is null").drop("_runs", "_packed")
     unclear = read.where("_runs is not null")
 
     # One text for each distinct segment of an anchor whose segments differ.
     varied = unclear.select("doc_id", "_th", F.explode("_runs").alias("r")).where("r.varied").select("r.*", "doc_id", "_th")
 
     def cut():
-        def step(text, runs):
-            words = text.encode().split()
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def step(packed, runs):
+            words = unpack(packed).split()
             return [
                 (r["anchor"], r["seg"], b" ".join(words[r["first"] : r["first"] + r["number"] + window - 1]))
                 for r in runs
@@ -333,7 +341,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
 
         return step
 
-    texts = mapped(unclear.select("text", "_runs"), "anchor long, seg long, text binary", cut)
+    texts = mapped(unclear.select("_packed", "_runs"), "anchor long, seg long, text binary", cut)
     shards = texts.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     shards = shards.select("anchor", "seg", "n", "text").repartition("anchor").sortWithinPartitions("anchor")
     judged = arrow_mapped(shards, "anchor long, seg long, offset int, hashed long, n long", _judged(window, limit))
@@ -347,17 +355,21 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         F.collect_set(F.struct("first", "offsets")).alias("_found")
     )
     starts = starts.withColumnsRenamed({"doc_id": "_doc", "_th": "_key"})
-    second = unclear.select(*[f"`{n}`" for n, _ in fields], "_runs").join(
+    second = unclear.select(*[f"`{n}`" for n, _ in fields], "_packed", "_runs").join(
         starts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_key")), "left"
     )
 
     def last_pass():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def step(*row):
-            words = row[position].encode().split()
+            data = unpack(row[-3])
+            words = data.split()
             own = [(r["first"], r["number"]) for r in row[-2] if not r["varied"]]
             own += [(f["first"] + o, 1) for f in row[-1] or [] for o in f["offsets"]]
             found = _covered(own, window)
-            return [(*row[:-2], len(words), spanned(found), b" ".join(_kept(words, found)).decode())]
+            left = (*row[:position], data.decode(), *row[position + 1 : -3])
+            return [(*left, len(words), spanned(found), b" ".join(_kept(words, found)).decode())]
 
         return step
 
