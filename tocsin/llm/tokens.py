@@ -25,15 +25,14 @@ from tocsin.llm.shared import SLICE, arrow_mapped, mapped
 # The string that the vocabulary turns into its special token wherever it stands.
 SPECIAL = "<|endoftext|>"
 # White space that makes the quick cut unsafe: all but single inner blanks and line ends.
-BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
-ODD = re.compile("[" + re.escape(BLANKS) + r"]|  | \n|\n[ \n]|\A[ \n]|[ \n]\Z")
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
 # Marks a chunk that is spelt out; no other chunk begins like this.
 WHOLE = "\n\n"
 BEFORE_WORD = re.compile(r"(?= [^\s\x1c-\x1f])")
 # Chunks in the frequent tier, chunks each task proposes for it, and the longest such chunk.
 FREQUENT, PROPOSED, LONGEST = 32_768, 1_024, 64
 # Chunks a worker keeps, and those it counts at one time while looking for frequent ones.
-KEPT, COUNTED = 800_000, 200_000
+KEPT, COUNTED = 1_200_000, 200_000
 # Marks that the pre-tokenizer always cuts off the letters before them; an apostrophe may begin a contraction.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -58,7 +57,7 @@ def chunks(text: str) -> list[str]:
     """
     if not text:
         return []
-    if ODD.search(text):
+    if text[0] in " \n" or text[-1] in " \n" or any(odd in text for odd in ODD):
         return [WHOLE + c for c in BEFORE_WORD.split(text) if c]
     parts = text.replace("\n", " \n").split(" ")
     parts[0] = WHOLE + parts[0]
