@@ -186,6 +186,8 @@ class WarcReader(DataSourceReader):
         return [Archive(name) for name in sorted(names)]
 
     def read(self, partition):
+        if partition is None:  # Spark asks once where there is no archive
+            return
         system, root = fs.FileSystem.from_uri(self.path)
         names = [f.name for f in self.schema]
         arrow = pa.schema([(f.name, {"long": pa.int64(), "binary": pa.binary()}.get(f.dataType.typeName(), pa.string())) for f in self.schema])
