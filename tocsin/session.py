@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a repeated key in an answer the last counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Expressions here are wide; noting a call site for each costs seconds.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
