@@ -281,6 +281,9 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
     names = ("n_words", "removed_spans", "kept_text", "_th", "_runs", "_packed")
     base = documents.drop(*names)
     base = base.withColumn("_th", doc_key(F.col("text")))
+    fields = [(f.name, f.dataType.simpleString()) for f in base.schema]
+    position = [n.lower() for n, _ in fields].index("text")
+    kinds = ", ".join(f"`{n}` {k}" for n, k in fields)
     marks = stored(all_segments(documents, window), "substrings-segments")
     several = (
         marks.groupBy("anchor")
@@ -291,15 +294,27 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
     # Written first, so that both sides of the join are shuffled for it and Spark can split hot anchors.
     several = stored(several, "substrings-anchors")
     met = marks.join(several, "anchor")
-    run = F.struct("first", "number", "varied", "anchor", "seg")
+    # Only segments still to be judged need a name.
+    named = [F.when(F.col("varied"), F.col(n)).alias(n) for n in ("anchor", "seg")]
+    run = F.struct("first", "number", "varied", *named)
     lists = met.groupBy("doc_id", "th").agg(F.collect_set(run).alias("_runs"))
     lists = lists.withColumnsRenamed({"doc_id": "_doc", "th": "_key"})
+
+    def packed():
+        pack = zstandard.ZstdCompressor(3).compress
+
+        def step(*row):
+            text = row[position]
+            data = None if text is None else pack(text.encode())
+            return [(*row[:position], None, *row[position + 1 :], data)]
+
+        return step
+
+    # Texts cross both shuffles packed.
+    base = mapped(base, f"{kinds}, _packed binary", packed)
     joined = base.join(lists, base["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_key")), "left")
     joined = joined.drop("_doc", "_key")
 
-    fields = [(f.name, f.dataType.simpleString()) for f in base.schema]
-    position = [n.lower() for n, _ in fields].index("text")
-    kinds = ", ".join(f"`{n}` {k}" for n, k in fields)
     spans = "array<struct<start: long, length: long>>"
     more = f"n_words long, removed_spans {spans}, kept_text string"
 
@@ -307,16 +322,17 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         return [{"start": a, "length": n} for a, n in found]
 
     def first_pass():
-        pack = zstandard.ZstdCompressor(3).compress
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def step(*row):
-            text, runs = row[position], row[-1] or []
+            data, runs = row[-2], row[-1] or []
             if any(r["varied"] for r in runs):
-                left = (*row[:position], None, *row[position + 1 : -1])
-                return [(*left, None, None, None, pack(text.encode()), runs)]
-            words = (text or "").encode().split()
+                return [(*row[:-2], None, None, None, data, runs)]
+            whole = b"" if data is None else unpack(data)
+            words = whole.split()
             found = _covered([(r["first"], r["number"]) for r in runs], window)
-            return [(*row[:-1], len(words), spanned(found), b" ".join(_kept(words, found)).decode(), None, None)]
+            left = (*row[:position], data if data is None else whole.decode(), *row[position + 1 : -2])
+            return [(*left, len(words), spanned(found), b" ".join(_kept(words, found)).decode(), None, None)]
 
         return step
 
@@ -351,11 +367,14 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
     clear = judged.where("hashed is null").select("anchor", "seg", "offset")
     clear = clear.unionByName(handed.join(twice, ["anchor", "hashed"], "left_semi").select("anchor", "seg", "offset"))
     clear = clear.groupBy("anchor", "seg").agg(F.collect_set("offset").alias("offsets"))
+    # Written first, as above: a hot segment's rows can then be split.
+    clear = stored(clear, "substrings-clear")
     starts = varied.join(clear, ["anchor", "seg"]).groupBy("doc_id", "_th").agg(
         F.collect_set(F.struct("first", "offsets")).alias("_found")
     )
     starts = starts.withColumnsRenamed({"doc_id": "_doc", "_th": "_key"})
-    second = unclear.select(*[f"`{n}`" for n, _ in fields], "_packed", "_runs").join(
+    settled = F.expr("transform(filter(_runs, r -> not r.varied), r -> struct(r.first, r.number))")
+    second = unclear.select(*[f"`{n}`" for n, _ in fields], "_packed", settled.alias("_runs")).join(
         starts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_key")), "left"
     )
 
@@ -365,7 +384,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         def step(*row):
             data = unpack(row[-3])
             words = data.split()
-            own = [(r["first"], r["number"]) for r in row[-2] if not r["varied"]]
+            own = [(r["first"], r["number"]) for r in row[-2]]
             own += [(f["first"] + o, 1) for f in row[-1] or [] for o in f["offsets"]]
             found = _covered(own, window)
             left = (*row[:position], data.decode(), *row[position + 1 : -3])
