@@ -152,3 +152,21 @@ def test_counts_add_up(spark):
     )
     counts = governance.decision_counts(governance.decide(frame, RULES))
     assert counts.agg(F.sum("commands")).collect()[0][0] == len(rows)
+
+
+def test_long_rule_table_is_judged_whole(spark):
+    rows = [("deny", None, n, rf"\bword{n}\b") for n in range(1, 5001)]
+    rows += [("allow", "shell", n, f"verb{n} ") for n in range(1, 301)]
+    rules = rules_from(spark.createDataFrame(rows, schemas.RULE))
+    commands = ["word5000 now", "word201 word7", "verb300 it", "verb301 it"]
+    frame = spark.createDataFrame(
+        [(c, "shell", False) for c in commands],
+        "remediation_command string, command_type string, requires_human_approval boolean",
+    )
+    got = {r.remediation_command: r.governance for r in governance.decide(frame, rules).collect()}
+    assert got["word5000 now"].matched_denylist_pattern == r"\bword5000\b"
+    assert got["word201 word7"].matched_denylist_pattern == r"\bword7\b"
+    assert got["verb300 it"].allowlist_verb == "verb300 "
+    assert got["verb301 it"].guardrail_triggered and got["verb301 it"].allowlist_verb is None
+    found = governance.denied_by_table(frame, rules, spark).collect()
+    assert sorted(r.ordinal for r in found) == [7, 5000]

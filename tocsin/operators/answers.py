@@ -81,19 +81,17 @@ def read_answers(attempts: DataFrame, agents: list[str] | None = None) -> DataFr
     )
 
 
-def _counts(answers: DataFrame) -> Column:
-    return F.col("attempt") <= ATTEMPTS
-
-
-def first_valid_attempts(answers: DataFrame, key: str = "incident_id") -> DataFrame:
-    """Per incident and agent the first valid answer within the allowed attempts.
+def first_valid_attempts(
+    answers: DataFrame, key: str = "incident_id", attempts: int = ATTEMPTS
+) -> DataFrame:
+    """Per incident and agent the first valid answer within the allowed ``attempts``.
 
     Without one, ``attempt`` is null and ``last_error`` holds the reasons of the
     last allowed attempt.
     """
     valid = F.size("errors") == 0
     return (
-        answers.filter(_counts(answers))
+        answers.filter(F.col("attempt") <= attempts)
         .groupBy(key, "agent")
         .agg(
             F.min(F.when(valid, F.col("attempt"))).alias("attempt"),
@@ -105,9 +103,11 @@ def first_valid_attempts(answers: DataFrame, key: str = "incident_id") -> DataFr
     )
 
 
-def agent_chains(answers: DataFrame, key: str = "incident_id") -> DataFrame:
+def agent_chains(answers: DataFrame, key: str = "incident_id", attempts: int = ATTEMPTS) -> DataFrame:
     """One row per incident with a struct per agent, null where the agent failed.
 
+    ``attempts`` is the number that ``ask_model`` was given; later ones do not count.
+
     All four agents' first valid answers come out of the same aggregate, so the
     chain costs one shuffle and no joins.
     """
@@ -119,7 +119,7 @@ def agent_chains(answers: DataFrame, key: str = "incident_id") -> DataFrame:
         picked.append(
             F.min_by(F.when(mine, F.struct(*fields)), F.when(mine, F.col("attempt"))).alias(name)
         )
-    good = answers.filter(_counts(answers) & (F.size("errors") == 0) & F.col("agent").isin(CHAIN))
+    good = answers.filter((F.col("attempt") <= attempts) & (F.size("errors") == 0) & F.col("agent").isin(CHAIN))
     return good.groupBy(key).agg(*picked)
 
 

@@ -79,6 +79,10 @@ NOT_ALLOWED = (
 )
 
 
+# Rules of one expression; longer tables take more steps, each for the rows still open.
+CHUNK = 200
+
+
 @dataclass(frozen=True)
 class Rules:
     """A rule set in order: deny patterns, and allowed prefixes by command type."""
@@ -119,10 +123,31 @@ def is_noop(command: Column, command_type: Column) -> Column:
     return F.coalesce(command_type == "none", F.lit(False)) | (command == "")
 
 
-def first_denied(rules: Rules) -> Column:
-    """Position (from 1) of the first deny pattern found in ``cmd``, or null."""
+def chunks(rules: Rules) -> list[tuple[int, Rules]]:
+    """Rule sets of at most ``CHUNK`` rules of a kind, in order, and the deny patterns before each."""
+    allowed = [(kind, p) for kind, prefixes in rules.allow.items() for p in prefixes]
+    out = []
+    for start in range(0, max(len(rules.deny), len(allowed), 1), CHUNK):
+        allow: dict[str, list[str]] = {}
+        for kind, prefix in allowed[start : start + CHUNK]:
+            allow.setdefault(kind, []).append(prefix)
+        out.append((start, Rules(rules.deny[start : start + CHUNK], allow)))
+    return out
+
+
+def decided_in_steps(frame: DataFrame, name: str, steps: list[Column]) -> DataFrame:
+    """Column ``name`` from the first step that gives a value; later ones see only rows left open."""
+    frame = computed_once(frame, {name: steps[0]})
+    for step in steps[1:]:
+        frame = computed_once(frame, {name: F.coalesce(F.col(name), step)})
+    return frame
+
+
+def first_denied(rules: Rules, before: int = 0) -> Column:
+    """Position (from 1, after ``before`` others) of the first deny pattern found in ``cmd``, or null."""
     tests = [
-        f"WHEN cmd RLIKE {sql_text(engine_pattern(p))} THEN {n}" for n, p in enumerate(rules.deny, 1)
+        f"WHEN cmd RLIKE {sql_text(engine_pattern(p))} THEN {n}"
+        for n, p in enumerate(rules.deny, before + 1)
     ]
     return F.expr(f"CASE {' '.join(tests)} END" if tests else "CAST(NULL AS INT)")
 
@@ -151,12 +176,16 @@ def judge(commands: DataFrame, rules: Rules) -> DataFrame:
     """
     cmd, kind, noop = F.col("cmd"), F.col("command_type"), F.col("noop")
     clean = commands.withColumn("cmd", normalised(F.col("remediation_command")))
+    first, *others = [part for _, part in chunks(rules)]
     denied = computed_once(
         clean.withColumn("noop", is_noop(cmd, kind)),
-        {"cmd": cmd, "noop": noop, "deny_pattern": F.when(~noop, denied_pattern(rules))},
+        {"cmd": cmd, "noop": noop, "deny_pattern": F.when(~noop, denied_pattern(first))},
     )
-    allowed = F.when(~noop & F.col("deny_pattern").isNull(), allowed_verb(rules))
-    return computed_once(denied, {"verb": allowed})
+    if others:
+        later = [F.when(~noop, denied_pattern(part)) for part in others]
+        denied = decided_in_steps(denied, "deny_pattern", [F.col("deny_pattern"), *later])
+    still = ~noop & F.col("deny_pattern").isNull()
+    return decided_in_steps(denied, "verb", [F.when(still, allowed_verb(part)) for part in [first, *others]])
 
 
 def decide(commands: DataFrame, rules: Rules) -> DataFrame:
@@ -205,7 +234,7 @@ def denied_by_table(commands: DataFrame, rules: Rules, spark: SparkSession) -> D
     """
     clean = commands.withColumn("cmd", normalised(F.col("remediation_command")))
     positioned = (
-        computed_once(clean, {"ordinal": first_denied(rules)})
+        decided_in_steps(clean, "ordinal", [first_denied(part, start) for start, part in chunks(rules)])
         .filter(F.col("ordinal").isNotNull() & ~is_noop(F.col("cmd"), F.col("command_type")))
     )
     deny_rows = rules.table(spark).filter(F.col("kind") == DENY).select("ordinal", "pattern")

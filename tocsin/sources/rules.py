@@ -9,24 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tocsin import schemas
 from tocsin.operators.governance import ALLOW, DENY, Rules
 
-# Rules become one expression, so their number must stay small.
-MOST_RULES = 1000
-
 
 def read_rules(spark: SparkSession, path: str, file_format: str = "parquet") -> Rules:
     """Rules from a table with columns kind, command_type, ordinal and pattern.
 
-    A missing path fails in the reader; a table with wrong rows, wrong patterns
-    or too many rows is refused.  A kind without rows is an empty section.
+    A missing path fails in the reader; a table with wrong rows or patterns is
+    refused.  Rules become expressions, so the driver reads the table whole.  A kind without rows is an empty section.
     """
     table = spark.read.format(file_format).schema(schemas.RULE).load(path)
     return rules_from(table)
 
 
 def rules_from(table: DataFrame) -> Rules:
-    rows = table.select(*schemas.RULE.names).limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"rule table has more than {MOST_RULES} rows")
+    rows = table.select(*schemas.RULE.names).collect()
     deny, allow = [], {}
     for row in sorted(rows, key=lambda r: (r.ordinal is None, r.ordinal or 0)):
         if row.pattern is None or row.ordinal is None:
