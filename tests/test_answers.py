@@ -193,6 +193,16 @@ def test_first_valid_attempt(spark):
     assert got[3].last_error == [answers.NO_ANSWER]
 
 
+def test_attempts_limit_is_shared(spark):
+    rows = [attempt(1, "severity", n, "bad") for n in (1, 2, 3, 4)]
+    rows.append(attempt(1, "severity", 5, json.dumps(GOOD["severity"])))
+    read = answers.read_answers(table(spark, rows), ["severity"])
+    assert answers.first_valid_attempts(read).collect()[0].attempt is None
+    assert answers.first_valid_attempts(read, attempts=5).collect()[0].attempt == 5
+    read = answers.read_answers(table(spark, rows), answers.CHAIN)
+    assert answers.agent_chains(read, attempts=5).collect()[0].severity.severity_detected == "FATAL"
+
+
 def test_chain_usage_and_dead_letters(spark):
     rows = chain(1) + chain(2, skip="remediation") + chain(3, skip="severity")
     chains = answers.agent_chains(answers.read_answers(table(spark, rows), answers.CHAIN))
