@@ -170,3 +170,13 @@ def test_long_rule_table_is_judged_whole(spark):
     assert got["verb301 it"].guardrail_triggered and got["verb301 it"].allowlist_verb is None
     found = governance.denied_by_table(frame, rules, spark).collect()
     assert sorted(r.ordinal for r in found) == [7, 5000]
+
+
+def test_rules_must_compile_in_the_engine(spark):
+    named = rules_from(spark.createDataFrame([("deny", None, 1, r"(?P<x>rm)\s")], schemas.RULE))
+    frame = spark.createDataFrame(
+        [("rm x", "shell", False)], "remediation_command string, command_type string, requires_human_approval boolean"
+    )
+    assert governance.decide(frame, named).collect()[0].governance.guardrail_triggered
+    with pytest.raises(ValueError):
+        rules_from(spark.createDataFrame([("deny", None, 1, r"(?P<x>a)(?P=x)")], schemas.RULE))

@@ -107,12 +107,10 @@ def engine_pattern(pattern: str) -> str:
     """A deny pattern with the meaning it has for Python, ignoring case.
 
     Letters fold by Unicode, only LF ends a line, and white space includes the
-    four separators 0x1C to 0x1F.
+    four separators 0x1C to 0x1F.  Groups may have names.
     """
-    spaced = re.sub(
-        r"\\(.)", lambda m: r"[\s\x1c-\x1f]" if m.group(1) == "s" else m.group(0), pattern, flags=re.S
-    )
-    return "(?iUd)" + spaced
+    meant = {r"\s": r"[\s\x1c-\x1f]", "(?P<": "(?<"}
+    return "(?iUd)" + re.sub(r"\\.|\(\?P<", lambda m: meant.get(m[0], m[0]), pattern, flags=re.S)
 
 
 def normalised(command: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from tocsin import schemas
-from tocsin.operators.governance import ALLOW, DENY, Rules
+from tocsin.operators.governance import ALLOW, DENY, Rules, engine_pattern
 
 
 def read_rules(spark: SparkSession, path: str, file_format: str = "parquet") -> Rules:
@@ -36,6 +38,13 @@ def rules_from(table: DataFrame) -> Rules:
             allow.setdefault(row.command_type, []).append(row.pattern)
         else:
             raise ValueError(f"rule of unknown kind or without command type: {row}")
+    if deny:
+        # Python and the engine differ in what they compile; a job must not find out in a task.
+        tried = table.sparkSession.createDataFrame([(engine_pattern(p),) for p in deny], "pattern string")
+        try:
+            tried.filter("'' RLIKE pattern").count()
+        except (PySparkException, Py4JJavaError) as failure:
+            raise ValueError(f"deny pattern does not compile in the engine: {failure}") from failure
     return Rules(deny=deny, allow=allow)
 
 
