@@ -50,8 +50,21 @@ def test_rows_that_share_ids_and_parts_of_long_texts(spark, monkeypatch):
     rows = sorted(substrings.deduplicated(frame).collect(), key=lambda r: r.doc_id or 0)
     assert [r.kept_text for r in rows][:2] == ["", ""] and rows[2].kept_text.startswith("other")
     monkeypatch.setattr(substrings, "PART", 16)
-    cut = substrings.segments(text.encode().split(), 35)
-    assert sum(s[1].sum() for s in cut) == 26 and len(cut) == 2
+    cut = substrings.segments([text.encode()], 35)
+    assert sum(s[2].sum() for s in cut) == 26 and len(cut) == 2
+
+
+def test_segments_do_not_depend_on_neighbours():
+    texts = [t and t.encode() for t in corpus(random.Random(13))]
+    alone = [[] for _ in texts]
+    for n, text in enumerate(texts):
+        for s in substrings.segments([text]):
+            alone[n] += zip(*(c.tolist() for c in s[1:]))
+    together = [[] for _ in texts]
+    for s in substrings.segments(texts):
+        for n, *rest in zip(*(c.tolist() for c in s)):
+            together[n].append(tuple(rest))
+    assert alone == together and sum(map(len, alone)) > 100
 
 
 def test_automaton_counts_occurrences():

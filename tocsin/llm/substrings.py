@@ -29,22 +29,22 @@ from tocsin.llm.shared import SLICE, arrow_mapped, mapped, stored
 
 # Words of a window and of an anchor, windows handled at one time, and segments of an automaton.
 WINDOW, GRAM, PART, SEGMENTS = 35, 6, 1 << 18, 64
-# Words whose hashes a worker process keeps.
-KEPT = 500_000
 
-_hashes: dict[bytes, int] = {}
 
+def word_hashes(text: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of words by their first and last eight bytes and their length.
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    found = list(map(_hashes.get, words))
-    if None in found:
-        if len(_hashes) > KEPT:
-            _hashes.clear()
-        for word in set(words):
-            if word not in _hashes:
-                _hashes[word] = xxhash.xxh64_intdigest(word, 1)
-        found = list(map(_hashes.get, words))
-    return np.array(found, np.uint64)
+    They only choose anchors, so words that share a hash do no harm.
+    """
+    padded = text + bytes(8)
+    eight = np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))
+    size = stops - starts
+    spare = (8 * np.maximum(8 - size, 0)).astype(np.uint64)
+    first = eight[starts] << spare
+    last = eight[np.maximum(stops - 8, starts)] << spare
+    total = first * np.uint64(0x9E3779B97F4A7C15) + last * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)
+    total ^= total >> np.uint64(32)
+    return total * np.uint64(0xD6E8FEB86659FD93)
 
 
 def gram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -71,21 +71,48 @@ def anchors(grams: np.ndarray, window: int) -> np.ndarray:
     return (low - (least & low)).astype(np.int64)
 
 
-def segments(words: list[bytes], window: int) -> list[tuple[np.ndarray, ...]]:
-    """(first word, number of windows, anchor hash, text hash) of all segments, part by part."""
-    total, out = len(words) - window + 1, []
-    for start in range(0, max(total, 0), PART):
-        part = words[start : min(len(words), start + PART + window - 1)]
-        grams = gram_hashes(word_hashes(part), GRAM)
+def parts(texts: list[bytes | None], window: int):
+    """Texts with single blanks, put together or cut to about ``PART`` words.
+
+    Yields lists of (number of the text, place of its first word, words).  The
+    pieces of a long text share ``window - 1`` words, so each window is in one.
+    """
+    wait, size = [], 0
+    for n, text in enumerate(texts):
+        words = (text or b"").split()
+        for start in range(0, max(len(words) - window + 1, 0), PART):
+            wait.append((n, start, words[start : start + PART + window - 1]))
+            size += len(wait[-1][2])
+            if size >= PART:
+                yield wait
+                wait, size = [], 0
+    if wait:
+        yield wait
+
+
+def segments(texts: list[bytes | None], window: int = WINDOW) -> list[tuple[np.ndarray, ...]]:
+    """(number of the text, first word, number of windows, anchor hash, text hash) of all segments."""
+    out = []
+    for pieces in parts(texts, window):
+        text = b" ".join([b" ".join(words) for _, _, words in pieces])
+        sizes = np.array([len(words) for _, _, words in pieces])
+        stops = np.r_[np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text)]
+        starts = np.r_[0, stops[:-1] + 1]
+        grams = gram_hashes(word_hashes(text, starts, stops), GRAM)
         at = anchors(grams, window)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        number = np.diff(np.r_[first, len(at)])
-        text = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-        starts = np.r_[0, ends[:-1]][first].tolist()
-        stops = (ends[first + number + window - 2] - 1).tolist()
-        own = np.fromiter((xxhash.xxh64_intdigest(text[a:b], 2) for a, b in zip(starts, stops)), np.uint64, len(first))
-        out.append((first + start, number, grams[at[first]], own))
+        # Windows that reach from one text into the next are none.
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+        good = np.arange(len(at)) + window <= (begin + sizes)[owner]
+        new = np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]
+        edges = np.flatnonzero(np.r_[new | ~good, True])
+        first, number = edges[:-1], np.diff(edges)
+        first, number = first[good[first]], number[good[first]]
+        low, high = starts[first].tolist(), stops[first + number + window - 2].tolist()
+        own = np.fromiter((xxhash.xxh64_intdigest(text[a:b], 2) for a, b in zip(low, high)), np.uint64, len(first))
+        mine = owner[first]
+        number_of, shift = (np.array([p[k] for p in pieces]) for k in (0, 1))
+        out.append((number_of[mine], first - begin[mine] + shift[mine], number, grams[at[first]], own))
     return out
 
 
@@ -103,15 +130,11 @@ def all_segments(documents: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                found = [
-                    (n, s)
-                    for n, text in enumerate(part.column(2).to_pylist())
-                    for s in segments((text or b"").split(), window)
-                ]
+                found = segments(part.column(2).to_pylist(), window)
                 if not found:
                     continue
-                rows = pa.array(np.repeat([n for n, _ in found], [len(s[0]) for _, s in found]))
-                first, number, anchor, own = (np.concatenate([s[k] for _, s in found]) for k in range(4))
+                rows, first, number, anchor, own = (np.concatenate(c) for c in zip(*found))
+                rows = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(rows),
