@@ -13,7 +13,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tocsin import schemas
 from tocsin.operators.answers import ATTEMPTS
@@ -23,6 +24,13 @@ Model = Callable[[list[str]], "list[Reply | Exception]"]
 
 # Failures worth another attempt; any other ends the prompt's attempts.
 RETRIED = (ConnectionError, ValueError)
+# Start of ``error`` where the failure ended the attempts.
+FINAL = "final: "
+
+
+def worth_another() -> Column:
+    """Whether an attempt's failure, if any, allows another attempt."""
+    return ~F.coalesce(F.startswith("error", F.lit(FINAL)), F.lit(False))
 
 
 def ask_model(
@@ -37,10 +45,11 @@ def ask_model(
     ``accept(agent, text)`` may end the attempts of a prompt early; without it a
     non-empty text does.  A failed or refused prompt is asked again, up to
     ``attempts`` times, and every attempt is a row.  Spark may run a task twice,
-    so write the result to a table before joining it to anything.
+    so write the result to a table before joining it to anything.  To repeat
+    answers that break an agent's rules, see ``tocsin.plans.triage.run_agents``.
     """
     # Plain values, so that the shipped function needs no module of this package.
-    columns, retried = list(schemas.ATTEMPT.names), RETRIED
+    columns, retried, last = list(schemas.ATTEMPT.names), RETRIED, FINAL
 
     def replies(ask: Model | None, texts: list[str]) -> list[Reply | Exception]:
         if ask is None or not texts:
@@ -75,7 +84,8 @@ def ask_model(
                     one = (None, 0, 0) if isinstance(one, Exception) else one
                     two = (None, None, None) if isinstance(two, Exception) else two
                     text = one[0] or two[0]
-                    rows.append((incident, agent, attempt, prompt, *one, *two, ms, failure and repr(failure)))
+                    error = failure and (last if final else "") + repr(failure)
+                    rows.append((incident, agent, attempt, prompt, *one, *two, ms, error))
                     good = bool(text) and (accept is None or accept(agent, text))
                     again.append(not good and not final)
                 yield pd.DataFrame(rows, columns=columns)

@@ -18,6 +18,7 @@ from tocsin.operators.validation import ANSWERS, check_answers
 # attempts each has, and the message of a failed incident.
 CHAIN = ["severity", "diagnostic", "remediation", "postmortem"]
 ATTEMPTS = 3
+USAGE = ["prompt_tokens", "completion_tokens", "ms"]
 UNAVAILABLE = "Triage agent triad unavailable or failed to generate valid JSON output."
 NO_ANSWER = "no transport gave an answer"
 
@@ -103,24 +104,50 @@ def first_valid_attempts(
     )
 
 
-def agent_chains(answers: DataFrame, key: str = "incident_id", attempts: int = ATTEMPTS) -> DataFrame:
+def _good(answers: DataFrame, attempts: int, agents: list[str]) -> DataFrame:
+    usable = (F.col("attempt") <= attempts) & (F.size("errors") == 0)
+    return answers.filter(usable & F.col("agent").isin(agents))
+
+
+def agent_chains(
+    answers: DataFrame,
+    key: str = "incident_id",
+    attempts: int = ATTEMPTS,
+    agents: list[str] | None = None,
+) -> DataFrame:
     """One row per incident with a struct per agent, null where the agent failed.
 
     ``attempts`` is the number that ``ask_model`` was given; later ones do not count.
+    ``agents`` names those wanted, all four by default.
 
-    All four agents' first valid answers come out of the same aggregate, so the
+    All agents' first valid answers come out of the same aggregate, so the
     chain costs one shuffle and no joins.
     """
-    usage = ["prompt_tokens", "completion_tokens", "ms"]
-    picked = []
-    for name in CHAIN:
+    agents, picked = agents or CHAIN, []
+    for name in agents:
         mine = F.col("agent") == name
-        fields = [f.name for f in ANSWERS[name]] + usage
+        fields = [f.name for f in ANSWERS[name]] + USAGE
         picked.append(
             F.min_by(F.when(mine, F.struct(*fields)), F.when(mine, F.col("attempt"))).alias(name)
         )
-    good = answers.filter((F.col("attempt") <= attempts) & (F.size("errors") == 0) & F.col("agent").isin(CHAIN))
-    return good.groupBy(key).agg(*picked)
+    return _good(answers, attempts, agents).groupBy(key).agg(*picked)
+
+
+def chain_usage(answers: DataFrame, key: str = "incident_id", attempts: int = ATTEMPTS) -> DataFrame:
+    """``agent_chains`` with tokens and times only: numbers fit a hash aggregate, no text is moved."""
+    picked = []
+    for name in CHAIN:
+        attempt = F.when(F.col("agent") == name, F.col("attempt"))
+        picked.append(F.min(attempt).alias(f"_{name}"))
+        picked += [F.min_by(part, attempt).alias(f"_{name}_{part}") for part in USAGE]
+    found = _good(answers, attempts, CHAIN).groupBy(key).agg(*picked)
+    structs = [
+        F.when(
+            F.col(f"_{name}").isNotNull(), F.struct(*(F.col(f"_{name}_{part}").alias(part) for part in USAGE))
+        ).alias(name)
+        for name in CHAIN
+    ]
+    return found.select(key, *structs)
 
 
 def is_complete() -> Column:

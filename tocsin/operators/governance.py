@@ -186,11 +186,12 @@ def judge(commands: DataFrame, rules: Rules) -> DataFrame:
     return decided_in_steps(denied, "verb", [F.when(still, allowed_verb(part)) for part in [first, *others]])
 
 
-def decide(commands: DataFrame, rules: Rules) -> DataFrame:
+def decide(commands: DataFrame, rules: Rules, verdicts: bool = False) -> DataFrame:
     """Add the nested ``remediation`` and ``governance`` blocks.
 
     A blocked command is withheld.  Runbook steps survive a no-op, a denial and
-    an approval, but not a missing prefix or a pending approval.
+    an approval, but not a missing prefix or a pending approval.  ``verdicts``
+    keeps the columns of ``judge``.
     """
     if "runbook_steps" not in commands.columns:
         commands = commands.withColumn("runbook_steps", F.lit(None).cast("array<string>"))
@@ -217,11 +218,8 @@ def decide(commands: DataFrame, rules: Rules) -> DataFrame:
         F.col("deny_pattern").alias("matched_denylist_pattern"),
         F.when(~noop & ~blocked, F.col("verb")).alias("allowlist_verb"),
     )
-    return (
-        judged.withColumn("remediation", remediation)
-        .withColumn("governance", governance)
-        .drop("cmd", "noop", "deny_pattern", "verb")
-    )
+    decided = judged.withColumn("remediation", remediation).withColumn("governance", governance)
+    return decided if verdicts else decided.drop("cmd", "noop", "deny_pattern", "verb")
 
 
 def denied_by_table(commands: DataFrame, rules: Rules, spark: SparkSession) -> DataFrame:

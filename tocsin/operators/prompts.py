@@ -1,15 +1,16 @@
 """Prompts as projections over incident columns.
 
-Templates are data: rows ``(agent, body)`` with placeholders in braces.  A body
-is cut at its placeholders once, on the driver, and becomes one ``concat`` of
-literals and columns; text that arrives in a column is never expanded again.
+Templates are data: a body per agent with placeholders in braces, and every
+prompt takes another body as an argument.  A body is cut at its placeholders
+once, on the driver, and becomes one ``concat`` of literals and columns; text
+that arrives in a column is never expanded again.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tocsin.functions.text import json_quote
@@ -64,10 +65,6 @@ TEMPLATES = {
 }
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES.items()), "agent string, body string")
-
-
 def pieces(body: str) -> list[tuple[str, str | None]]:
     """Literal text and the placeholder after it, in order."""
     parts = re.split(r"\{(\w+)\}", body)

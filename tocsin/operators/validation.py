@@ -55,10 +55,14 @@ def accepted(requests: DataFrame) -> DataFrame:
 
 
 def quarantined(checked: DataFrame) -> DataFrame:
-    """One row per rejected record and reason."""
-    return checked.filter(F.size("errors") > 0).select(
-        *[c for c in checked.columns if c != "errors"], F.explode("errors").alias("error")
+    """One row per rejected record and reason, with the payload's size and hash in its place."""
+    payload = F.col("log_payload")
+    slim = checked.filter(F.size("errors") > 0).select(
+        *[c for c in checked.columns if c != "log_payload"],
+        F.octet_length(payload).cast("bigint").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
     )
+    return slim.select(*[c for c in slim.columns if c != "errors"], F.explode("errors").alias("error"))
 
 
 # --- agent answers ----------------------------------------------------------

@@ -647,6 +647,53 @@ check(
     "n % 9 = 0 THEN 4 ELSE 2 END)) AS attempt FROM sized)",
 )
 
+# The four agents in turn, over the lengths of their prompts.
+_FINE = "n % 7 <> 0 AND n % 5 <> 0"
+_GIVEN = {
+    "severity": "'\"severity_detected\": \"' || CASE n % 2 WHEN 1 THEN 'FATAL' ELSE 'ERROR' END || '\"'",
+    "diagnostic": (
+        "'\"root_cause\": \"cause ' || n || '\", \"confidence_score\": 0.5, \"explanation\": \"seen ' || n || '\"'"
+    ),
+    "remediation": (
+        "'\"remediation_command\": \"df -h /' || n || '\", \"command_type\": \"shell\", "
+        "\"requires_human_approval\": false'"
+    ),
+    "postmortem": "'\"summary\": \"review ' || n || '\"'",
+}
+_SAID = {
+    "severity": "CASE n % 2 WHEN 1 THEN 'FATAL' ELSE 'ERROR' END AS said_severity",
+    "diagnostic": "'cause ' || n AS said_cause, 'seen ' || n AS said_why",
+    "remediation": "'df -h /' || n AS said_command",
+}
+_RUN_VALUES = _BASE | {
+    "service_name": "service_name",
+    "environment": "environment",
+    "severity": "said_severity",
+    "root_cause": "said_cause",
+    "explanation": "said_why",
+    "command": "said_command",
+}
+view("run_severity", ["anchored"], f"SELECT *, length({_prompt('severity', _RUN_VALUES)}) AS n FROM anchored")
+for _before, _agent in zip(answers.CHAIN, answers.CHAIN[1:]):
+    view(
+        f"run_{_agent}",
+        [f"run_{_before}"],
+        f"SELECT * REPLACE (length({_prompt(_agent, _RUN_VALUES)}) AS n) FROM (SELECT *, {_SAID[_before]} "
+        f"FROM run_{_before} WHERE {_FINE})",
+    )
+check(
+    "agent_run",
+    [f"run_{a}" for a in answers.CHAIN],
+    " UNION ALL ".join(
+        f"SELECT request_id AS incident_id, '{a}' AS agent, CAST(unnest(range(1, CASE WHEN {_FINE} THEN 2 "
+        f"ELSE 4 END)) AS INTEGER) AS attempt, n AS prompt_length, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 5 = 0 "
+        "THEN '{\"confidence_score\": \"high\", \"severity_detected\": 5, \"summary\": []}' ELSE "
+        f"'{{' || {_GIVEN[a]} || '}}' END AS raw_answer, {_FINE} AS valid, CASE WHEN n % 7 = 0 THEN "
+        f"'ConnectionError(''no route'')' END AS error FROM run_{a}"
+        for a in answers.CHAIN
+    ),
+)
+
 # --- reports -----------------------------------------------------------------
 
 _ALL = (

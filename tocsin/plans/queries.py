@@ -236,7 +236,7 @@ def gov_allow(spark, folder):
 def gov_approval(spark, folder):
     """Commands that wait for a human, with what would have allowed them."""
     return (
-        governance.judge(_decided(spark, folder), RULES)
+        governance.decide(inputs.commands(spark, folder), RULES, verdicts=True)
         .filter("requires_human_approval AND NOT noop AND deny_pattern IS NULL")
         .select(
             "command_id",
@@ -416,7 +416,7 @@ def agent_chain(spark, folder):
 
 @query
 def usage_totals(spark, folder):
-    return answers.usage_totals(_chains(spark, folder))
+    return answers.usage_totals(triage.usage_of(inputs.answers(spark, folder)))
 
 
 @query
@@ -435,18 +435,9 @@ def _anchored(spark, folder) -> DataFrame:
 
 
 def _with_chain(spark, folder, *needed: str) -> DataFrame:
-    """Anchored incidents whose needed agents have answered."""
-    chains = _chains(spark, folder)
-    for agent in needed:
-        chains = chains.filter(F.col(agent).isNotNull())
-    upstream = chains.select(
-        F.col("incident_id").alias("request_id"),
-        F.col("severity.severity_detected").alias("agent_severity"),
-        F.col("diagnostic.root_cause").alias("root_cause"),
-        F.col("diagnostic.explanation").alias("explanation"),
-        F.col("remediation.remediation_command").alias("command"),
-    )
-    return _anchored(spark, folder).join(upstream, "request_id")
+    """Anchored incidents whose needed agents have answered; only their answers are read."""
+    chains = triage.chains_of(inputs.answers(spark, folder), list(needed))
+    return triage.with_upstream(_anchored(spark, folder), chains, list(needed))
 
 
 @query
@@ -526,6 +517,48 @@ def agent_map(spark, folder):
     )
 
 
+def chain_model() -> agents.Model:
+    """A stand-in for a model of all four agents.
+
+    Prompts of a length that 7 divides find no route, others that 5 divides get
+    an answer against the rules, and the rest a good one that tells the length.
+    """
+    starts = {prompts.TEMPLATES[agent][:20]: agent for agent in answers.CHAIN}
+
+    def reply(prompt):
+        n, agent = len(prompt), starts[prompt[:20]]
+        if n % 7 == 0:
+            return ConnectionError("no route")
+        if n % 5 == 0:
+            return '{"confidence_score": "high", "severity_detected": 5, "summary": []}', 0, 0
+        body = {
+            "severity": f'"severity_detected": "{("ERROR", "FATAL")[n % 2]}"',
+            "diagnostic": f'"root_cause": "cause {n}", "confidence_score": 0.5, "explanation": "seen {n}"',
+            "remediation": f'"remediation_command": "df -h /{n}", "command_type": "shell", '
+            '"requires_human_approval": false',
+            "postmortem": f'"summary": "review {n}"',
+        }[agent]
+        return f"{{{body}}}", n, 1
+
+    return lambda asked: [reply(prompt) for prompt in asked]
+
+
+@query
+def agent_run(spark, folder):
+    """All attempts of the four agents over the accepted, anchored incidents."""
+    incidents = triage.incidents_of(inputs.requests(spark, folder))
+    ran = triage.run_agents(incidents, chain_model(), shared_folder(spark, "run"))
+    return answers.read_answers(ran, answers.CHAIN).select(
+        "incident_id",
+        "agent",
+        "attempt",
+        F.length("prompt").cast("bigint").alias("prompt_length"),
+        "raw_answer",
+        (F.size("errors") == 0).alias("valid"),
+        "error",
+    )
+
+
 # --- reports -----------------------------------------------------------------
 
 

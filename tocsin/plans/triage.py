@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.operators.answers import CHAIN, agent_chains, read_answers, unavailable
+from tocsin import schemas
+from tocsin.operators import prompts
+from tocsin.operators.agents import Model, ask_model, worth_another
+from tocsin.operators.answers import ATTEMPTS, CHAIN, agent_chains, chain_usage, read_answers, unavailable
 from tocsin.operators.governance import Rules
 from tocsin.operators.logs import preprocess_dumps
 from tocsin.operators.reports import all_reports, has_anchor, request_key
 from tocsin.operators.validation import accepted, with_default_window
 
 
+# What later prompts quote of earlier answers, in the order of the last prompt.
+QUOTED = {
+    "agent_severity": "severity.severity_detected",
+    "root_cause": "diagnostic.root_cause",
+    "explanation": "diagnostic.explanation",
+    "command": "remediation.remediation_command",
+}
+
+
 def incidents_of(requests: DataFrame) -> DataFrame:
     """Accepted requests after the log stage, one row each, payload dropped."""
     valid = accepted(with_default_window(requests))
@@ -20,8 +32,69 @@ def incidents_of(requests: DataFrame) -> DataFrame:
     )
 
 
-def chains_of(attempts: DataFrame) -> DataFrame:
-    return agent_chains(read_answers(attempts, CHAIN))
+def chains_of(attempts: DataFrame, agents: list[str] | None = None) -> DataFrame:
+    """Chains of the agents named, all four by default; other agents' answers are not parsed."""
+    agents = agents or CHAIN
+    return agent_chains(read_answers(attempts, agents), agents=agents)
+
+
+def with_upstream(incidents: DataFrame, chains: DataFrame, agents: list[str]) -> DataFrame:
+    """Incidents whose named agents have all answered, with what later prompts quote."""
+    for agent in agents:
+        chains = chains.filter(F.col(agent).isNotNull())
+    quoted = [F.col(QUOTED[name]).alias(name) for name in QUOTED if QUOTED[name].split(".")[0] in agents]
+    upstream = chains.select(F.col("incident_id").alias("request_id"), *quoted)
+    return incidents.join(upstream, "request_id")
+
+
+def prompts_of(incidents: DataFrame, agent: str, attempts: DataFrame | None) -> DataFrame:
+    """incident_id, agent and prompt for the anchored incidents an agent can be asked about.
+
+    ``attempts`` holds the earlier agents' attempts; the first agent needs none.
+    """
+    earlier = CHAIN[: CHAIN.index(agent)]
+    asked = incidents.filter(has_anchor())
+    if earlier:
+        asked = with_upstream(asked, chains_of(attempts, earlier), earlier)
+    upstream = {name: F.col(name) for name in QUOTED}
+    prompt = {
+        "severity": lambda: prompts.severity_prompt(),
+        "diagnostic": lambda: prompts.diagnostic_prompt(upstream["agent_severity"]),
+        "remediation": lambda: prompts.remediation_prompt(upstream["root_cause"], upstream["explanation"]),
+        "postmortem": lambda: prompts.postmortem_prompt(*upstream.values()),
+    }[agent]()
+    return asked.select(F.col("request_id").alias("incident_id"), F.lit(agent).alias("agent"), prompt.alias("prompt"))
+
+
+def run_agents(
+    incidents: DataFrame, model: Model, folder: str, fallback: Model | None = None, attempts: int = ATTEMPTS
+) -> DataFrame:
+    """Ask the four agents one after the other; returns the attempts table.
+
+    Every attempt is a table of its own below ``folder``, written before it is
+    read, so a model is not asked again when an executor is lost later on, and
+    a rerun replaces what an earlier run left.  An answer that breaks its
+    agent's rules is asked for again, up to ``attempts`` times, as is one whose
+    failure is worth another attempt.  An agent is asked only about incidents
+    that all earlier agents have answered.  The driver takes at most four times
+    ``attempts`` steps, however many incidents there are.
+    """
+    spark, done = incidents.sparkSession, None
+    for agent in CHAIN:
+        waiting = prompts_of(incidents, agent, done)
+        for number in range(1, attempts + 1):
+            path = f"{folder}/agent={agent}/attempt={number}"
+            asked = ask_model(waiting, model, fallback, attempts=1).withColumn("attempt", F.lit(number))
+            asked.write.mode("overwrite").parquet(path)
+            tried = spark.read.schema(schemas.ATTEMPT).parquet(path)
+            done = tried if done is None else done.unionByName(tried)
+            again = read_answers(tried, [agent]).filter(F.size("errors") > 0).filter(worth_another())
+            waiting = again.select("incident_id", "agent", "prompt")
+    return done
+
+
+def usage_of(attempts: DataFrame) -> DataFrame:
+    return chain_usage(read_answers(attempts, CHAIN))
 
 
 def reports_of(requests: DataFrame, attempts: DataFrame, rules: Rules) -> DataFrame:
@@ -36,4 +109,4 @@ def anchored_of(incidents: DataFrame) -> DataFrame:
 
 
 def dead_letters_of(requests: DataFrame, attempts: DataFrame) -> DataFrame:
-    return unavailable(anchored_of(incidents_of(requests)), chains_of(attempts))
+    return unavailable(anchored_of(incidents_of(requests)), usage_of(attempts))
