@@ -54,9 +54,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_mapped(frame: DataFrame, schema: str, run: Callable) -> DataFrame:
-    """``mapInArrow`` with the package's code on the executors."""
+    """``mapInArrow`` with the package's code on the executors; a task gives its buffers back at its end."""
+
+    def released(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
     ship(frame.sparkSession)
-    return frame.mapInArrow(run, T.StructType.fromDDL(schema))
+    return frame.mapInArrow(released, T.StructType.fromDDL(schema))
 
 
 def mapped(frame: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
