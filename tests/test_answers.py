@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tocsin import schemas
-from tocsin.operators import agents, answers
+from tocsin.operators import agents, answers, prompts
 from tocsin.operators.validation import check_answers
+from tocsin.plans import triage
 
 GOOD = {
     "severity": {"severity_detected": "FATAL"},
@@ -219,6 +220,56 @@ def test_chain_does_not_depend_on_row_order_or_repeats(spark):
     assert answers.agent_chains(read).count() == 2
 
 
+def test_usage_needs_no_texts(spark):
+    rows = chain(1) + chain(2, skip="remediation") + chain(3, skip="severity")
+    read = answers.read_answers(table(spark, rows), answers.CHAIN)
+    slim, full = answers.chain_usage(read), answers.agent_chains(read)
+    assert answers.usage_totals(slim).collect() == answers.usage_totals(full).collect()
+    missing = lambda f: sorted(map(str, f.select("incident_id", answers.first_missing().alias("m")).collect()))
+    assert missing(slim) == missing(full)
+    plan = slim._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    only = answers.agent_chains(read, agents=["severity"])
+    assert only.columns == ["incident_id", "severity"] and only.count() == 2
+
+
+def chain_model():
+    """Answers each agent by the start of its prompt; what it says depends on the service."""
+    starts = {prompts.TEMPLATES[agent][:20]: agent for agent in answers.CHAIN}
+    good = {agent: json.dumps(GOOD[agent]) for agent in answers.CHAIN}
+
+    def reply(prompt):
+        agent = starts[prompt[:20]]
+        if agent == "diagnostic" and "mail" in prompt:
+            return "not json at all", 1, 1
+        if agent == "remediation" and "shop" in prompt:
+            return RuntimeError("gone")
+        return good[agent], 1, 1
+
+    return lambda asked: [reply(prompt) for prompt in asked]
+
+
+def test_agents_run_in_turn_and_bad_answers_are_asked_again(spark, tmp_path):
+    rows = [(n, s, "prod", "FATAL x", 5) for n, s in enumerate(["pay", "mail", "shop"])] + [(3, "calm", "prod", "x", 5)]
+    incidents = triage.incidents_of(spark.createDataFrame(rows, schemas.REQUEST))
+    model = chain_model()
+    for _ in range(2):  # a rerun adds nothing
+        ran = triage.run_agents(incidents, model, str(tmp_path / "run"), fallback=model)
+        tried = {}
+        for r in ran.collect():
+            tried.setdefault((r.incident_id, r.agent), []).append(r.attempt)
+        assert {k: sorted(v) for k, v in tried.items()} == {
+            **{(0, agent): [1] for agent in answers.CHAIN},
+            (1, "severity"): [1],
+            (1, "diagnostic"): [1, 2, 3],
+            (2, "severity"): [1],
+            (2, "diagnostic"): [1],
+            (2, "remediation"): [1],
+        }
+    complete = triage.chains_of(ran).filter(answers.is_complete()).collect()
+    assert [r.incident_id for r in complete] == [0]
+
+
 def models():
     """Made inside a function, so that they are shipped by value."""
 
