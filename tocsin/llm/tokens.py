@@ -32,7 +32,7 @@ BEFORE_WORD = re.compile(r"(?= [^\s\x1c-\x1f])")
 # Chunks in the frequent tier, chunks each task proposes for it, and the longest such chunk.
 FREQUENT, PROPOSED, LONGEST = 32_768, 1_024, 64
 # Chunks a worker keeps, and those it counts at one time while looking for frequent ones.
-KEPT, COUNTED = 700_000, 200_000
+KEPT, COUNTED = 900_000, 200_000
 # Marks that the pre-tokenizer always cuts off the letters before them; an apostrophe may begin a contraction.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
