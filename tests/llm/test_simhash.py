@@ -99,5 +99,24 @@ def test_every_near_pair_shares_a_key(spark):
     assert shared.count() == 200
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    pick = random.Random(10)
+    make = lambda: " ".join(f"w{pick.randrange(10**6)}" for _ in range(300))
+    a, b, c, d = make(), make(), make(), make()
+    near = "A0 " + a.split(" ", 1)[1]  # sorts before all others
+    assert 0 < (plain(a) ^ plain(near)).bit_count() <= 4
+    rows = [(3, a), (5, near), (5, b), (None, c), (None, c), (None, a), (None, d), (7, d), (None, None), (None, "")]
+    rows += [(9, make()), (9, make()), (9, make())]
+    frame = spark.createDataFrame([(*r, n, "x") for n, r in enumerate(rows)], "doc_id long, text string, uid long, fp string")
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns
+    found = kept.collect()
+    want = [(3, a), (5, b), (7, d), (None, c), *rows[10:]]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in found if r.text))) == sorted(map(repr, want))
+    assert sum(not r.text for r in found) == 1
+    assert all(rows[r.uid] == (r.doc_id, r.text) and r.fp == "x" for r in found)
+
+
 def test_empty_table(spark):
+    assert simhash.one_of_each(documents(spark, [])).collect() == []
     assert simhash.near_duplicates(documents(spark, [])).collect() == []

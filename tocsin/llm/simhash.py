@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.components import components
@@ -47,15 +47,15 @@ def fingerprint(text: bytes | None) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > total))
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+def fingerprints(documents: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``kept`` and fp (the fingerprint as a signed long) of every row."""
+    kinds = ", ".join(f"{name} {documents.schema[name].dataType.simpleString()}" for name in kept)
+    texts = documents.select(*kept, F.col("text").cast("binary").alias("text"))
 
     def make():
-        return lambda doc, text: [(doc, (v := fingerprint(text)) - (v >> 63 << 64))]
+        return lambda *row: [(*row[:-1], (v := fingerprint(row[-1])) - (v >> 63 << 64))]
 
-    return mapped(texts, f"doc_id {kind}, fp long", make)
+    return mapped(texts, f"{kinds}, fp long", make)
 
 
 def signatures(prints: DataFrame) -> DataFrame:
@@ -196,6 +196,14 @@ def linked(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _rooted(classes: DataFrame, block: int) -> DataFrame:
+    """The rows (fp, first) of distinct fingerprints, with the root of each one's component."""
+    roots = components(linked(classes.select("fp"), block), "simhash-stars")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
@@ -207,10 +215,7 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     rows = stored(fingerprints(documents), "simhash-prints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = components(linked(classes.select("fp"), block), "simhash-stars")
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    named = _rooted(classes, block)
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
     found = named.join(groups, "root").select("fp", "component_id")
     return rows.join(found, "fp").select(
@@ -218,14 +223,19 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents whose id is their component's, columns as they are.
+def one_of_each(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row of each component of near copies, columns as they are.
 
-    Of rows that share an id one stays, the first by text.  Rows without an id
-    cannot be told apart and all stay.
+    It is the one with the smallest doc_id; rows without an id come last.  Of
+    rows that share an id within a component the one with the smallest text
+    hash stays.  Rows of other components stay whatever their ids are.
     """
-    first = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = documents.join(first, "doc_id", "left_semi").withColumn("_order_in_id", F.row_number().over(order))
-    kept = kept.where("_order_in_id = 1").drop("_order_in_id")
-    return kept.select(*[f"`{c}`" for c in documents.columns]).unionByName(documents.where("doc_id is null"))
+    # Written with a number of its own for each row: ids may repeat or be null.
+    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row"))
+    rows = stored(rows, "simhash-rows")
+    keyed = rows.select("uid", "row.doc_id", F.xxhash64("row.text").alias("th"), "row.text")
+    prints = stored(fingerprints(keyed, ("doc_id", "th", "uid")), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "uid")
+    classes = stored(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-classes")
+    chosen = _rooted(classes, block).groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
+    return rows.join(chosen, "uid", "left_semi").select("row.*")
