@@ -1,6 +1,7 @@
 import random
 
 from tocsin.llm import chat
+from tocsin.llm.queries import op3_chat_formats
 
 SCHEMA = "tree string, node long, parent long, role string, text string, score double"
 
@@ -62,3 +63,11 @@ def test_turns_keep_ties_repeats_and_long_conversations(spark):
 
 def test_empty_table(spark):
     assert chat.formatted_chats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_query_keeps_all_conversations_beside_a_null_id(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (None, 0, "user", "q"), (None, 1, "assistant", "r")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: r.n_turns for r in op3_chat_formats(spark, str(tmp_path)).collect()}
+    assert found == {1: 1, None: 2, -7: 2}
