@@ -1,10 +1,12 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tocsin import schemas
 from tocsin.operators import agents, answers, prompts
+from tocsin.operators.governance import Rules
 from tocsin.operators.validation import check_answers
 from tocsin.plans import triage
 
@@ -270,6 +272,32 @@ def test_agents_run_in_turn_and_bad_answers_are_asked_again(spark, tmp_path):
     assert [r.incident_id for r in complete] == [0]
 
 
+def late_model(folder):
+    """Answers the first agent badly three times and well in the fourth attempt, the others at once."""
+    starts = {prompts.TEMPLATES[agent][:20]: agent for agent in answers.CHAIN}
+    good = {agent: json.dumps(GOOD[agent]) for agent in answers.CHAIN}
+
+    def reply(prompt):
+        agent = starts[prompt[:20]]
+        late = agent == "severity" and not os.path.exists(f"{folder}/agent=severity/attempt=3/_SUCCESS")
+        return ("no", 1, 1) if late else (good[agent], 1, 1)
+
+    return lambda asked: [reply(prompt) for prompt in asked]
+
+
+def test_a_run_with_five_attempts_reads_the_fourth_answer(spark, tmp_path):
+    requests = spark.createDataFrame([(1, "pay", "prod", "FATAL x", 5)], schemas.REQUEST)
+    folder = str(tmp_path / "run")
+    ran = triage.run_agents(triage.incidents_of(requests), late_model(folder), folder, attempts=5)
+    tried = sorted((answers.CHAIN.index(r.agent), r.attempt) for r in ran.collect())
+    assert tried == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (2, 1), (3, 1)]
+    assert triage.chains_of(ran, limit=5).filter(answers.is_complete()).count() == 1
+    assert triage.usage_of(ran, 5).filter(answers.is_complete()).count() == 1
+    assert triage.dead_letters_of(requests, ran, 5).collect() == []
+    assert triage.reports_of(requests, ran, Rules(), 5).count() == 1
+    assert triage.dead_letters_of(requests, ran).count() == 1
+
+
 def models():
     """Made inside a function, so that they are shipped by value."""
 

@@ -32,10 +32,13 @@ def incidents_of(requests: DataFrame) -> DataFrame:
     )
 
 
-def chains_of(attempts: DataFrame, agents: list[str] | None = None) -> DataFrame:
-    """Chains of the agents named, all four by default; other agents' answers are not parsed."""
+def chains_of(attempts: DataFrame, agents: list[str] | None = None, limit: int = ATTEMPTS) -> DataFrame:
+    """Chains of the agents named, all four by default; other agents' answers are not parsed.
+
+    ``limit`` is the number of attempts that ``run_agents`` was given, here and below.
+    """
     agents = agents or CHAIN
-    return agent_chains(read_answers(attempts, agents), agents=agents)
+    return agent_chains(read_answers(attempts, agents), attempts=limit, agents=agents)
 
 
 def with_upstream(incidents: DataFrame, chains: DataFrame, agents: list[str]) -> DataFrame:
@@ -47,7 +50,9 @@ def with_upstream(incidents: DataFrame, chains: DataFrame, agents: list[str]) ->
     return incidents.join(upstream, "request_id")
 
 
-def prompts_of(incidents: DataFrame, agent: str, attempts: DataFrame | None) -> DataFrame:
+def prompts_of(
+    incidents: DataFrame, agent: str, attempts: DataFrame | None, limit: int = ATTEMPTS
+) -> DataFrame:
     """incident_id, agent and prompt for the anchored incidents an agent can be asked about.
 
     ``attempts`` holds the earlier agents' attempts; the first agent needs none.
@@ -55,7 +60,7 @@ def prompts_of(incidents: DataFrame, agent: str, attempts: DataFrame | None) ->
     earlier = CHAIN[: CHAIN.index(agent)]
     asked = incidents.filter(has_anchor())
     if earlier:
-        asked = with_upstream(asked, chains_of(attempts, earlier), earlier)
+        asked = with_upstream(asked, chains_of(attempts, earlier, limit), earlier)
     upstream = {name: F.col(name) for name in QUOTED}
     prompt = {
         "severity": lambda: prompts.severity_prompt(),
@@ -81,7 +86,7 @@ def run_agents(
     """
     spark, done = incidents.sparkSession, None
     for agent in CHAIN:
-        waiting = prompts_of(incidents, agent, done)
+        waiting = prompts_of(incidents, agent, done, attempts)
         for number in range(1, attempts + 1):
             path = f"{folder}/agent={agent}/attempt={number}"
             asked = ask_model(waiting, model, fallback, attempts=1).withColumn("attempt", F.lit(number))
@@ -93,12 +98,12 @@ def run_agents(
     return done
 
 
-def usage_of(attempts: DataFrame) -> DataFrame:
-    return chain_usage(read_answers(attempts, CHAIN))
+def usage_of(attempts: DataFrame, limit: int = ATTEMPTS) -> DataFrame:
+    return chain_usage(read_answers(attempts, CHAIN), attempts=limit)
 
 
-def reports_of(requests: DataFrame, attempts: DataFrame, rules: Rules) -> DataFrame:
-    return all_reports(incidents_of(requests), chains_of(attempts), rules)
+def reports_of(requests: DataFrame, attempts: DataFrame, rules: Rules, limit: int = ATTEMPTS) -> DataFrame:
+    return all_reports(incidents_of(requests), chains_of(attempts, limit=limit), rules)
 
 
 def anchored_of(incidents: DataFrame) -> DataFrame:
@@ -108,5 +113,5 @@ def anchored_of(incidents: DataFrame) -> DataFrame:
     )
 
 
-def dead_letters_of(requests: DataFrame, attempts: DataFrame) -> DataFrame:
-    return unavailable(anchored_of(incidents_of(requests)), usage_of(attempts))
+def dead_letters_of(requests: DataFrame, attempts: DataFrame, limit: int = ATTEMPTS) -> DataFrame:
+    return unavailable(anchored_of(incidents_of(requests)), usage_of(attempts, limit))
