@@ -45,8 +45,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1,024 tokens."""
-    return packing.packed(docs, vocabulary())
+    """Pieces of the documents, with their ids, in sequences of 1,024 tokens."""
+    return packing.packed(docs, vocabulary(), with_ids=True)
 
 
 STAGES = [

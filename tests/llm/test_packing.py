@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from helpers import documents, sample
@@ -61,5 +62,20 @@ def test_knapsack_equals_brute_force():
     assert abs(worth - best) < 1e-12 and (counts * np.arange(1, 6)).sum() <= 11
 
 
+def test_the_pipeline_returns_the_ids_and_checksums_are_of_placed_ids(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["a b c", None, "word " * 3000]
+    frame = documents(spark, texts)
+    assert "pieces" in packing.tokenized(frame, PATH, 1024).columns
+    rows = corpus_pipeline.sequences(spark, frame, "").collect()
+    for n, text in enumerate(texts):
+        own = sorted((r for r in rows if r.doc_id == n), key=lambda r: r.start)
+        assert [i for r in own for i in r.ids] == library.encode(text or "", add_special_tokens=False).ids + [0]
+    with_ids = {(r.doc_id, r.start): r.ids_crc32 for r in rows}
+    assert {(r.doc_id, r.start): r.ids_crc32 for r in packing.packed(frame, PATH).collect()} == with_ids
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+
+
 def test_empty_table(spark):
+    assert packing.packed(documents(spark, []), PATH, with_ids=True).collect() == []
     assert packing.packed(documents(spark, []), PATH).collect() == []

@@ -11,13 +11,12 @@ ranked within their length class, take the places of the patterns.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import mapped, stored
+from tocsin.llm.shared import arrow_mapped, mapped, stored
 from tocsin.llm.tokens import Encoder
 
 # Tokens of a sequence, tokens of a length class, and the id that ends a document.
@@ -100,8 +99,8 @@ def patterns(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
     return found
 
 
-def tokenized(documents: DataFrame, path: str, length: int, with_ids: bool) -> DataFrame:
-    """uid, doc_id, doc_tokens, piece_crcs (and piece_ids): every document's pieces in order."""
+def tokenized(documents: DataFrame, path: str, length: int) -> DataFrame:
+    """uid, doc_id, doc_tokens, pieces (ids as 4 bytes each): every document's pieces in order."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
@@ -113,14 +112,20 @@ def tokenized(documents: DataFrame, path: str, length: int, with_ids: bool) -> D
 
         def step(uid, doc, text):
             data = b"".join(encoder.values(text)) + end
-            pieces = [data[k : k + 4 * length] for k in range(0, len(data), 4 * length)]
-            row = (uid, doc, len(data) // 4, [zlib.crc32(p) for p in pieces])
-            return [(*row, [np.frombuffer(p, "<u4").tolist() for p in pieces]) if with_ids else row]
+            return [(uid, doc, len(data) // 4, [data[k : k + 4 * length] for k in range(0, len(data), 4 * length)])]
 
         return step
 
-    ids = ", piece_ids array<array<int>>" if with_ids else ""
-    return mapped(rows, f"uid long, doc_id {kind}, doc_tokens long, piece_crcs array<long>{ids}", make)
+    return mapped(rows, f"uid long, doc_id {kind}, doc_tokens long, pieces array<binary>", make)
+
+
+def numbered(batches):
+    """Batches whose last column, ids as 4 bytes each, becomes lists of numbers."""
+    for batch in batches:
+        data = [ids.as_py() for ids in batch.columns[-1]]
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in data)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], batch.schema.names)
 
 
 def places(found: list[tuple[np.ndarray, int]]) -> tuple[list[tuple], int]:
@@ -141,17 +146,18 @@ def packed(documents: DataFrame, path: str, length: int = LENGTH, unit: int = UN
     """One row per piece of a document, with its place in a sequence.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    and with ``with_ids`` the piece's ids.  A document's ids are those of the
+    and with ``with_ids`` the piece's ids.  Either way the ids are written and
+    brought to their places, and the checksum is that of the ids there.  A document's ids are those of the
     tokenizers library without added special tokens, then id 0; a null text is
     empty, so it is the id 0 alone.  Each row of the input is packed, also when
     it repeats another or has a null id.  Offsets have no gaps; a sequence is to
     be padded to ``length``.  An empty table gives no rows.
     """
     spark = documents.sparkSession
-    rows = stored(tokenized(documents, path, length, with_ids), "packing-tokens")
+    rows = stored(tokenized(documents, path, length), "packing-tokens")
     full = F.floor(F.col("doc_tokens") / length)
     kind = F.ceil((F.col("doc_tokens") - full * length) / unit).cast("int")
-    named = rows.withColumn("full", full).withColumn("class", kind)
+    named = rows.drop("pieces").withColumn("full", full).withColumn("class", kind)
 
     room = length // unit
     demand = np.zeros(room, np.int64)
@@ -189,17 +195,24 @@ def packed(documents: DataFrame, path: str, length: int = LENGTH, unit: int = UN
     cut = named.join(whole.unionByName(rest), "uid")
     number = F.sequence(F.lit(0).cast("long"), F.col("full") - 1)
     index = F.when(F.col("rest"), F.array(F.col("full"))).otherwise(number)
-    pieces = cut.withColumn("k", F.explode(index))
-    ids = [F.element_at("piece_ids", (F.col("k") + 1).cast("int")).alias("ids")] if with_ids else []
-    pieces = pieces.select(
+    pieces = cut.withColumn("k", F.explode(index)).select(
+        "uid",
+        "k",
         "doc_id",
         (F.col("k") * length).alias("start"),
         F.when(F.col("rest"), F.col("doc_tokens") - F.col("full") * length).otherwise(length).cast("long").alias("length"),
-        F.element_at("piece_crcs", (F.col("k") + 1).cast("int")).alias("ids_crc32"),
         "doc_tokens",
         (F.col("sequence_id") + F.when(F.col("rest"), 0).otherwise(F.col("k"))).alias("sequence_id"),
         "slot",
-        *ids,
     )
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("slot")
+    pieces = pieces.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
+    # The ids cross one shuffle, when all places are known.
+    ids = rows.select("uid", F.posexplode("pieces").alias("k", "ids")).withColumn("k", F.col("k").cast("long"))
+    head = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    placed = pieces.join(ids, ["uid", "k"])
+    if not with_ids:
+        return placed.select(*head)
+    placed = placed.select(*head, "ids")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.drop("ids").schema)
+    return arrow_mapped(placed, f"{fields}, ids array<int>", numbered)
