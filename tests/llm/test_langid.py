@@ -40,3 +40,14 @@ def test_odd_rows(spark):
     kept = langid.accepted(frame.drop("score"), model, 0.35)
     assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == 12
     assert langid.identified(frame.where("false"), model).collect() == []
+
+
+def test_every_language_with_a_letter_is_learnt(spark):
+    kinds = "abcdefghijklmnopqrstuvwxyz"[:12]
+    rows = [(100 * n + k, f"{c}{c}{c} {c}{c} " * 5, c) for n, c in enumerate(kinds) for k in range(n % 3 + 1)]
+    rows += [(5000 + k, "12 :-)", "a") for k in range(200)] + [(6000, "?!", "no letters")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fitted(frame, rows=20)
+    assert model.languages == list(kinds)
+    found = {r.doc_id: r.lang_pred for r in langid.identified(frame, model).collect()}
+    assert all(found[d] == c for d, t, c in rows if d < 5000)

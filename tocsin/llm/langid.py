@@ -20,6 +20,8 @@ from tocsin.llm.shared import extended, mapped
 
 # Labelled rows, n-grams and landmarks of a model at most, and the ridge.
 ROWS, GRAMS, LANDMARKS, RIDGE = 2_000, 8_192, 128, 0.1
+# Rows of a language that a model is fitted on at least, where there are as many.
+LEAST = 10
 CODES = 256 + (1 << 16) + (1 << 24)
 UNKNOWN = "und"
 # Bytes of a text that are looked at in one go, and how margins become shares.
@@ -79,24 +81,28 @@ def presence(model: Model, texts: list[str | None]) -> np.ndarray:
 
 
 def _sampled(documents: DataFrame, languages: dict[str, int], size: int) -> DataFrame:
-    """About ``size`` rows, as many of each language, by the hash of their id."""
-    each = size // len(languages)
+    """About ``size`` rows, as many of each language but ``LEAST`` where there are so many, by the hash of their id."""
+    each = max(LEAST, size // len(languages))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    limit = F.lit(0)
-    for name, number in languages.items():
-        limit = F.when(F.col("lang") == name, int(min(1.0, 1.5 * each / number) * (1 << 31)) + 1).otherwise(limit)
+    # A few more than wanted, so that hardly any language is short of rows.
+    limits = [(n, int(min(1.0, (1.5 * each + LEAST) / number) * (1 << 31)) + 1) for n, number in languages.items()]
+    limits = documents.sparkSession.createDataFrame(limits, "lang string, _limit long")
+    kind = documents.schema["lang"].dataType
+    near = documents.join(F.broadcast(limits.withColumn("lang", F.col("lang").cast(kind))), "lang").where(order < F.col("_limit"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    return documents.where(order < limit).withColumn("_rank", rank).where(F.col("_rank") <= each)
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= each)
 
 
 def fitted(documents: DataFrame, rows: int = ROWS, landmarks: int = LANDMARKS, grams: int = GRAMS) -> Model | None:
     """A model from rows (doc_id, text, lang); None if no row has a language and a letter.
 
-    The sample is of at most ``rows`` rows, of which only n-gram codes reach the
-    driver.  At most ``rows`` // 10 languages are learnt, those with most rows.
+    Every language is learnt that has a row with an id and a letter.  The sample
+    is of at most ``rows`` rows, or of ``LEAST`` a language where that is more;
+    only their n-gram codes reach the driver.
     """
-    usable = documents.where("lang is not null and text is not null and doc_id is not null")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, rows // 10)).collect()
+    usable = documents.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null")
+    usable = usable.where(F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
     picked = _sampled(usable, {r["lang"]: r["count"] for r in counts}, rows).select("lang", "doc_id", "text")
