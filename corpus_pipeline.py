@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tocsin.llm import contamination, langid, packing, simhash, substrings
 from tocsin.llm.queries import table, vocabulary
-from tocsin.llm.shared import stored
+from tocsin.llm.shared import set_apart, stored
 
 # Share of the best language below which a text is in none of the learnt ones.
 LEAST_SHARE = 0.35
@@ -29,14 +29,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without repeated passages; a text that has none stays as it is."""
-    found = substrings.deduplicated(docs)
+    apart, restored = set_apart(docs)
+    found = substrings.deduplicated(apart)
     whole = F.size("removed_spans") == 0
     text = F.when(whole, F.col("text")).otherwise(F.col("kept_text"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
+        name = apart.columns[docs.columns.index("n_chars")]
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(size))
-    return found.select(*[f"`{c}`" for c in docs.columns])
+        found = found.withColumn(name, F.when(whole, F.col(name)).otherwise(size))
+    return restored(found)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

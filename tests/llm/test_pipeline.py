@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tocsin.llm.shared import stored
 
 
@@ -33,6 +34,20 @@ def test_stages_catch_planted_cases_and_keep_clean_documents(spark):
     assert {r.doc_id for r in rows} == left["benchmark"].keys()
 
 
+def test_extra_columns_of_any_name_stay_as_they_are(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    names = "lang_pred score n_words kept_text removed_spans n_hit contaminated uid row _th _rank a.b".split()
+    own = [F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names]
+    docs = stored(docs.select("*", *own), "test")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, stored(stage(spark, docs, folder), "test")
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert {r.doc_id for r in corpus_pipeline.sequences(spark, docs, folder).collect()} == {r.doc_id for r in rows}
+
+
 def test_empty_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import mapped
+from tocsin.llm.shared import mapped, set_apart
 
 # Words of a window, and bytes of item text in one broadcast.
 WINDOW, SHARD = 13, 32 << 20
@@ -148,22 +148,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "doc
     to the last byte of the last hit word, every hit span.  Columns stay as
     they are.
     """
-    found = scan(documents, benchmark)
+    apart, restored = set_apart(documents)
+    found = scan(apart, benchmark)
     if remove == "documents":
-        return found.where(~F.col("contaminated")).select(*[f"`{c}`" for c in documents.columns])
+        return restored(found.where(~F.col("contaminated")))
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
 
-    fields = [f for f in documents.schema if f.name.lower() != "text"]
+    fields = [f for f in apart.schema if f.name.lower() != "text"]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     order = [f"`{f.name}`" for f in fields]
 
     def cut():
         return lambda text, spans, *rest: [(without(text, [(s["start"], s["length"]) for s in spans]), *rest)]
 
-    return mapped(found.select("text", "hit_spans", *order), f"text string, {names}", cut).select(
-        *[f"`{c}`" for c in documents.columns]
-    )
+    return restored(mapped(found.select("text", "hit_spans", *order), f"text string, {names}", cut))
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import extended, mapped
+from tocsin.llm.shared import extended, mapped, set_apart
 
 # Labelled rows, n-grams and landmarks of a model at most, and the ridge.
 ROWS, GRAMS, LANDMARKS, RIDGE = 2_000, 8_192, 128, 0.1
@@ -179,9 +179,6 @@ def remainder(documents: DataFrame, by: int):
 
 def accepted(documents: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
     """The documents in a learnt language with at least the score ``least``; columns stay as they are."""
-    kept = documents.drop("lang_pred", "score").columns
-    found = identified(documents.select(*documents.columns), model)
-    clash = [c for c in documents.columns if c not in kept]
-    if clash:
-        raise ValueError(f"columns {clash} would be lost; rename them first")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[f"`{c}`" for c in kept])
+    apart, restored = set_apart(documents)
+    found = identified(apart, model)
+    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))

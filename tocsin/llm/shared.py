@@ -29,6 +29,15 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def set_apart(frame: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with every column but doc_id and text under a name no operator uses, and the way back.
+
+    The way back selects the frame's columns from a result and gives them their names again.
+    """
+    names = [c if c.lower() in ("doc_id", "text") else f"_extra_{n}" for n, c in enumerate(frame.columns)]
+    return frame.toDF(*names), lambda result: result.select(*names).toDF(*frame.columns)
+
+
 _shipped: set[str] = set()
 
 
