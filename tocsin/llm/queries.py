@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import chat, contamination, langid, lm, packing, quality, simhash, substrings, tokens, warc
+from tocsin.llm import (
+    alignment,
+    chat,
+    contamination,
+    langid,
+    lm,
+    packing,
+    quality,
+    simhash,
+    substrings,
+    tokens,
+    warc,
+)
 from tocsin.session import shared_folder
 
 
@@ -113,5 +125,10 @@ def op10_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (~F.col("training")).alias("held_out"), *found.columns[2:])
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.token_alignment(documents, vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
