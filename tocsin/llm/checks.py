@@ -89,10 +89,56 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+# Sources in order of how soon they are full: the level of the others is the largest that any number of full ones gives.
+CURRICULUM = r"""
+WITH docs AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind
+    FROM docs GROUP BY source
+), weights AS (
+    SELECT *, [3.0, 1.0, 2.0][kind + 1]::DOUBLE AS weight, sum(source_size) OVER ()::DOUBLE AS total FROM sources
+), levels AS (
+    SELECT 1.5 * total AS words, sum(weight) OVER () AS everyone,
+        sum(2.0 * source_size) OVER w AS held, sum(weight) OVER w AS full_ones
+    FROM weights WINDOW w AS (ORDER BY 2.0 * source_size / weight, source ROWS UNBOUNDED PRECEDING)
+), level AS (
+    SELECT max(v) AS v FROM (
+        SELECT words / everyone AS v FROM levels
+        UNION ALL SELECT (words - held) / (everyone - full_ones) FROM levels WHERE everyone > full_ones)
+), targets AS (
+    SELECT source, source_size, kind, least(2.0 * source_size::DOUBLE, v * weight)::DOUBLE AS target,
+        floor(least(2.0 * source_size::DOUBLE, v * weight)::DOUBLE + 0.5)::BIGINT AS goal
+    FROM weights, level
+), placed AS (
+    SELECT d.doc_id, d.size, t.source_size, t.target, goal, kind,
+        (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
+    FROM docs AS d JOIN targets AS t ON d.source IS NOT DISTINCT FROM t.source
+), timed AS (
+    SELECT *, start::DOUBLE / goal * [3.0, 1.0, 2.0][kind + 1]::DOUBLE AS area,
+        [1.75, 0.375, 0.875][kind + 1]::DOUBLE AS half,
+        [4.0, 0.5, 1.0][kind + 1]::DOUBLE AS w0, [3.0, 1.0, 2.5][kind + 1]::DOUBLE AS w1, [2.0, 1.5, 2.0][kind + 1]::DOUBLE AS w2
+    FROM placed
+)
+SELECT doc_id, size, source_size, target,
+    (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size)))::BIGINT AS taken,
+    CASE WHEN least(size, goal - start) <= 0 THEN NULL
+        WHEN area <= 0 THEN 0::DOUBLE
+        WHEN area < half THEN 2::DOUBLE * area / (w0 + sqrt(w0 * w0 + 4::DOUBLE * (w1 - w0) * area))
+        WHEN area <= half THEN 0.5::DOUBLE
+        ELSE 0.5::DOUBLE + 2::DOUBLE * (area - half) / (w1 + sqrt(w1 * w1 + 4::DOUBLE * (w2 - w1) * (area - half)))
+    END AS first_position
+FROM timed
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op3_chat_formats": CHATS,
         "op4_contamination": CONTAMINATION,
         "op5_warc_records": RECORDS,
         "op9_repeated_passages": PASSAGES,
+        "op11_curriculum": CURRICULUM,
     }

@@ -12,6 +12,7 @@ from tocsin.llm import (
     alignment,
     chat,
     contamination,
+    curriculum,
     langid,
     lm,
     packing,
@@ -125,6 +126,15 @@ def op10_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (~F.col("training")).alias("held_out"), *found.columns[2:])
 
 
+def op11_curriculum(spark: SparkSession, folder: str) -> DataFrame:
+    passes = curriculum.curriculum(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    words = F.coalesce(F.regexp_count("text", F.lit(curriculum.WORD)), F.lit(0)).cast("long")
+    found = passes.groupBy("uid", "doc_id", "size", "source_size", "target").agg(
+        F.sum(words).alias("taken"), F.min("position").alias("first_position")
+    )
+    return found.drop("uid")
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return alignment.token_alignment(documents, vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
