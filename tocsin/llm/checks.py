@@ -134,6 +134,57 @@ FROM timed
 """
 
 
+# CRC-32 by a table of 256 entries; a path is the digest of its turns' digests, and a node's sums come from the
+# suffix sums of the paths of smallest members.
+TRIE = r"""
+WITH crcs AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+    FROM range(256) AS r(i)
+), turns AS (
+    SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+    FROM conversations WHERE conv_id IS NOT NULL
+), counts AS (
+    SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id
+), sized AS (
+    SELECT conv_id, n, conv_id - conv_id % 20 AS base,
+        xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 4 AS h
+    FROM counts, crcs
+), convs AS (
+    SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM sized AS c LEFT JOIN sized AS b ON b.conv_id = c.base
+), built AS (
+    SELECT c.conv_id, t.p AS d, r, x FROM convs AS c JOIN turns AS t ON t.conv_id = c.base AND t.p <= c.h
+    UNION ALL
+    SELECT c.conv_id, c.k + t.p - c.h, r, x FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND t.p > c.h
+), paths AS (
+    SELECT conv_id, d, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+        md5(string_agg(md5(len(r) || ':' || r || x), '/') OVER (PARTITION BY conv_id ORDER BY d)) AS path
+    FROM built
+    UNION ALL
+    SELECT conv_id, 0, 0, '' FROM convs
+), linked AS (
+    SELECT *, max(d) OVER (PARTITION BY conv_id) AS length, lag(path) OVER (PARTITION BY conv_id ORDER BY d) AS above FROM paths
+), nodes AS (
+    SELECT path, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(above) AS above, count(*) AS n_convs,
+        (count(*) - 1) * any_value(words) AS saved, (max(length) = any_value(d))::BIGINT AS leaf,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = length), '')) AS ends_sha256
+    FROM linked GROUP BY path
+), suffixes AS (
+    SELECT l.path, sum(coalesce(n.saved, 0)) OVER w AS saved, sum(coalesce(n.leaf, 0)) OVER w AS leaves
+    FROM linked AS l LEFT JOIN nodes AS n ON n.path = l.path AND n.conv_id = l.conv_id
+    WINDOW w AS (PARTITION BY l.conv_id ORDER BY l.d DESC)
+), sums AS (
+    SELECT path, sum(saved) AS saved, sum(leaves) AS leaves FROM suffixes GROUP BY path
+), children AS (
+    SELECT above, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above
+)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+    coalesce(c.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes AS n JOIN sums AS s USING (path) LEFT JOIN children AS c ON c.above = n.path LEFT JOIN nodes AS p ON p.path = n.above
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op3_chat_formats": CHATS,
@@ -141,4 +192,5 @@ def all_sql() -> dict[str, str]:
         "op5_warc_records": RECORDS,
         "op9_repeated_passages": PASSAGES,
         "op11_curriculum": CURRICULUM,
+        "op13_prefix_trie": TRIE,
     }

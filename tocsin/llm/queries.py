@@ -20,8 +20,10 @@ from tocsin.llm import (
     simhash,
     substrings,
     tokens,
+    trie,
     warc,
 )
+from tocsin.llm.shared import stored
 from tocsin.session import shared_folder
 
 
@@ -140,5 +142,10 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.token_alignment(documents, vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = stored(trie.numbered_turns(table(spark, folder, "conversations")), "trie-numbered")
+    return trie.prefix_trie(*trie.with_heads(turns, every=20, most=4))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
