@@ -34,18 +34,24 @@ def build_session(app: str = "tocsin", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+# Folders made for applications that have none, by application.
+_made: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that every executor can reach.
 
     It lies below ``spark.checkpoint.dir``.  Where that is unset and the master
-    is local (tests, a laptop) a temporary folder is made and the setting is
-    filled in; on a cluster an unset folder is an error, since a machine-local
+    is local (tests, a laptop) a temporary folder is made, one for the application;
+    on a cluster an unset folder is an error, since a machine-local
     path would not survive a lost executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tocsin-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _made:
+            _made[application] = tempfile.mkdtemp(prefix="tocsin-")
+        root = _made[application]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
