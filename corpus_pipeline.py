@@ -6,12 +6,17 @@ kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin.llm import contamination, langid, packing, simhash, substrings
 from tocsin.llm.queries import table, vocabulary
-from tocsin.llm.shared import set_apart, stored
+from tocsin.llm.shared import Scratch, set_apart, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 # Share of the best language below which a text is in none of the learnt ones.
 LEAST_SHARE = 0.35
@@ -51,13 +56,34 @@ def sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return packing.packed(docs, vocabulary(), with_ids=True)
 
 
-STAGES = [
+def in_order(*stages: tuple[str, Stage]) -> list[tuple[str, Stage]]:
+    """The stages, each of which first removes the tables that the one before it wrote on its way.
+
+    A stage is given what its predecessor's written result says, so the predecessor's own
+    tables are read no more; those that its input does read stay.
+    """
+
+    def after(before: Scratch | None, own: Scratch, stage: Stage) -> Stage:
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+            if before:
+                before.clear(docs)
+            with own:
+                return stage(spark, docs, folder)
+
+        return run
+
+    left = [Scratch() for _ in stages]
+    return [(name, after(left[n - 1] if n else None, left[n], stage)) for n, (name, stage) in enumerate(stages)]
+
+
+STAGES = in_order(
     ("language", language),
     ("near_duplicates", near_duplicates),
     ("passages", passages),
     ("benchmark", benchmark),
     ("packing", sequences),
-]
+)
 
 # Fingerprints, kernels and token ids are beyond SQL; tests hold the stages against plain code.
 ORACLE_SQL = None
