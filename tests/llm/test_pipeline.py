@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from tocsin.llm import shared
 from tocsin.llm.shared import stored
 
 
@@ -39,12 +40,14 @@ def test_extra_columns_of_any_name_stay_as_they_are(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
     names = "lang_pred score n_words kept_text removed_spans n_hit contaminated uid row _th _rank a.b".split()
     own = [F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names]
-    docs = stored(docs.select("*", *own), "test")
+    odd = F.struct(F.lit(1).alias("a b"), F.array(F.lit("x")).alias("c:d")).alias("struct of, odd `names")
+    docs = stored(docs.select("*", *own, odd), "test")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         columns, docs = docs.columns, stored(stage(spark, docs, folder), "test")
         assert docs.columns == columns
         rows = docs.collect()
         assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+        assert all(tuple(r["struct of, odd `names"]) == (1, ["x"]) for r in rows)
     assert {r.doc_id for r in corpus_pipeline.sequences(spark, docs, folder).collect()} == {r.doc_id for r in rows}
 
 
@@ -54,3 +57,19 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, folder), "test")
     assert docs.collect() == []
+
+
+def test_tables_of_a_finished_stage_are_removed(spark, tmp_path, monkeypatch):
+    folder, work = "/root/testdata/sf0.001", tmp_path / "work"
+    monkeypatch.setattr(shared, "shared_folder", lambda _, purpose: f"{work}/{purpose}-{len(list(work.glob('*')))}")
+    work.mkdir()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(80)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        left = {p.name.split("-")[0] for p in work.glob("*")}
+        assert left <= [{"langid"}, {"simhash"}, {"substrings"}, set()][n]
+    # An input that is not written yet keeps the tables it reads.
+    lazy = corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{tmp_path}/0"), folder)
+    corpus_pipeline.STAGES[2][1](spark, lazy, folder).count()
+    assert lazy.count() > 0

@@ -13,8 +13,9 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tocsin.llm.shared import mapped, set_apart
+from tocsin.llm.shared import mapped, set_apart, typed
 
 # Words of a window, and bytes of item text in one broadcast.
 WINDOW, SHARD = 13, 32 << 20
@@ -106,10 +107,10 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit:
     ``null``.
     """
     base = documents.drop("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     position = [c.lower() for c in base.columns].index("text")
     found = base
-    kinds = "_words long, _spans array<struct<start: long, length: long>>, _items array<string>"
+    kinds = typed("_words long, _spans array<struct<start: long, length: long>>, _items array<string>")
+    fields = T.StructType([*base.schema.fields, *kinds.fields])
     for number, items in enumerate(_shards(benchmark, limit)):
         sent = documents.sparkSession.sparkContext.broadcast(Windows(items, width))
 
@@ -128,7 +129,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit:
 
             return step
 
-        found = mapped(found, f"{fields}, {kinds}", make)
+        found = mapped(found, fields, make)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
     return found.select(
         *[f"`{c}`" for c in base.columns],
@@ -156,13 +157,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "doc
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
 
     fields = [f for f in apart.schema if f.name.lower() != "text"]
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    text = T.StructField("text", T.StringType())
     order = [f"`{f.name}`" for f in fields]
 
     def cut():
         return lambda text, spans, *rest: [(without(text, [(s["start"], s["length"]) for s in spans]), *rest)]
 
-    return restored(mapped(found.select("text", "hit_spans", *order), f"text string, {names}", cut))
+    return restored(mapped(found.select("text", "hit_spans", *order), T.StructType([text, *fields]), cut))
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:

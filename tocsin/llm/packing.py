@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.llm.shared import arrow_mapped, mapped, stored
-from tocsin.llm.tokens import Encoder
+from tocsin.llm.vocabularies import ByteVocabulary
 
 # Tokens of a sequence, tokens of a length class, and the id that ends a document.
 LENGTH, UNIT, END = 1024, 4, 0
@@ -107,11 +107,10 @@ def tokenized(documents: DataFrame, path: str, length: int) -> DataFrame:
     )
 
     def make():
-        encoder = Encoder.of(path, "ids", lambda e: np.array(e.ids, "<u4").tobytes())
-        end = np.array([END], "<u4").tobytes()
+        vocabulary, end = ByteVocabulary.of(path), np.array([END], "<u4").tobytes()
 
         def step(uid, doc, text):
-            data = b"".join(encoder.values(text)) + end
+            data = vocabulary.ids(text).astype("<u4").tobytes() + end
             return [(uid, doc, len(data) // 4, [data[k : k + 4 * length] for k in range(0, len(data), 4 * length)])]
 
         return step

@@ -18,6 +18,31 @@ from tocsin.session import shared_folder
 SLICE, OUT = 128, 2048
 
 
+class Scratch:
+    """The tables that ``stored`` writes inside a ``with`` block, to be removed when nothing reads them any more."""
+
+    open: list[Scratch] = []
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+
+    def clear(self, reader: DataFrame) -> None:
+        """Remove the tables, but for those that ``reader`` still reads."""
+        spark, files = reader.sparkSession, reader.inputFiles() if self.paths else []
+        kept = [p for p in self.paths if any(f"/{p.rsplit('/', 1)[-1]}/" in file for file in files)]
+        for path in set(self.paths) - set(kept):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = kept
+
+
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """Write a table below ``spark.checkpoint.dir`` and read it back.
 
@@ -25,6 +50,8 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     loss of any executor, since the folder is shared.
     """
     path = shared_folder(frame.sparkSession, purpose)
+    for scratch in Scratch.open[-1:]:
+        scratch.paths.append(path)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -62,7 +89,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def arrow_mapped(frame: DataFrame, schema: str, run: Callable) -> DataFrame:
+def typed(schema: str | T.StructType) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def arrow_mapped(frame: DataFrame, schema: str | T.StructType, run: Callable) -> DataFrame:
     """``mapInArrow`` with the package's code on the executors; a task gives its buffers back at its end."""
 
     def released(batches):
@@ -70,16 +101,18 @@ def arrow_mapped(frame: DataFrame, schema: str, run: Callable) -> DataFrame:
         pa.default_memory_pool().release_unused()
 
     ship(frame.sparkSession)
-    return frame.mapInArrow(released, T.StructType.fromDDL(schema))
+    return frame.mapInArrow(released, typed(schema))
 
 
-def mapped(frame: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
+def mapped(
+    frame: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[..., Iterable[tuple]]]
+) -> DataFrame:
     """Rows that a function makes of each row, a few at a time.
 
     ``make`` runs once per task and returns the function; the function gets the
     values of one row and returns the rows to send back.
     """
-    fields = T.StructType.fromDDL(schema)
+    fields = typed(schema)
     arrow = to_arrow_schema(fields)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:

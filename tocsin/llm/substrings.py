@@ -24,8 +24,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tocsin.llm.shared import SLICE, arrow_mapped, mapped, stored
+from tocsin.llm.shared import SLICE, arrow_mapped, mapped, stored, typed
 
 # Words of a window and of an anchor, windows handled at one time, and segments of an automaton.
 WINDOW, GRAM, PART, SEGMENTS = 35, 6, 1 << 18, 64
@@ -304,9 +305,9 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
     names = ("n_words", "removed_spans", "kept_text", "_th", "_runs", "_packed")
     base = documents.drop(*names)
     base = base.withColumn("_th", doc_key(F.col("text")))
-    fields = [(f.name, f.dataType.simpleString()) for f in base.schema]
-    position = [n.lower() for n, _ in fields].index("text")
-    kinds = ", ".join(f"`{n}` {k}" for n, k in fields)
+    fields = base.schema.names
+    position = [n.lower() for n in fields].index("text")
+    kinds = base.schema.fields
     marks = stored(all_segments(documents, window), "substrings-segments")
     several = (
         marks.groupBy("anchor")
@@ -334,12 +335,12 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         return step
 
     # Texts cross both shuffles packed.
-    base = mapped(base, f"{kinds}, _packed binary", packed)
+    base = mapped(base, T.StructType([*kinds, *typed("_packed binary").fields]), packed)
     joined = base.join(lists, base["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_key")), "left")
     joined = joined.drop("_doc", "_key")
 
     spans = "array<struct<start: long, length: long>>"
-    more = f"n_words long, removed_spans {spans}, kept_text string"
+    more = typed(f"n_words long, removed_spans {spans}, kept_text string").fields
 
     def spanned(found):
         return [{"start": a, "length": n} for a, n in found]
@@ -360,7 +361,8 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         return step
 
     runs_kind = "array<struct<first: long, number: int, varied: boolean, anchor: long, seg: long>>"
-    read = stored(mapped(joined, f"{kinds}, {more}, _packed binary, _runs {runs_kind}", first_pass), "substrings-first")
+    later = typed(f"_packed binary, _runs {runs_kind}").fields
+    read = stored(mapped(joined, T.StructType([*kinds, *more, *later]), first_pass), "substrings-first")
     done = read.where("_runs is null").drop("_runs", "_packed")
     unclear = read.where("_runs is not null")
 
@@ -397,7 +399,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
     )
     starts = starts.withColumnsRenamed({"doc_id": "_doc", "_th": "_key"})
     settled = F.expr("transform(filter(_runs, r -> not r.varied), r -> struct(r.first, r.number))")
-    second = unclear.select(*[f"`{n}`" for n, _ in fields], "_packed", settled.alias("_runs")).join(
+    second = unclear.select(*[f"`{n}`" for n in fields], "_packed", settled.alias("_runs")).join(
         starts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_key")), "left"
     )
 
@@ -415,5 +417,5 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
 
         return step
 
-    rest = mapped(second.drop("_doc", "_key"), f"{kinds}, {more}", last_pass)
+    rest = mapped(second.drop("_doc", "_key"), T.StructType([*kinds, *more]), last_pass)
     return done.unionByName(rest).drop("_th")
