@@ -158,3 +158,21 @@ def test_repeated_rows_null_ids_and_an_empty_table(spark):
     rows = alignment.token_alignment(frame, A, B).collect()
     assert len(rows) == 2 and rows[0] == rows[1] and rows[0].count_sum == 2 * rows[0].n_links
     assert alignment.token_alignment(documents(spark, []), A, B).collect() == []
+
+
+def test_groups_equal_a_plain_merge():
+    rng = random.Random(5)
+    for _ in range(400):
+        n = rng.randint(1, 80)
+        a, b = ([x for x in range(1, n) if rng.random() < rng.choice([0.5, 0.95])] + [n] for _ in range(2))
+        groups, left, right = alignment.irregular(a, b)
+        cuts = sorted(set(a) & set(b))
+        want = []
+        for start, end in zip([0, *cuts], cuts):
+            sides = [[k for k, e in enumerate(side) if start < e <= end] for side in (a, b)]
+            if len(sides[0]) + len(sides[1]) > 2:
+                want.append((sides[0][0], sides[0][-1] + 1, sides[1][0], sides[1][-1] + 1))
+        assert groups == want
+        overlap = lambda x, y: max(a[x - 1] if x else 0, b[y - 1] if y else 0) < min(a[x], b[y])
+        pairs = [(x, y) for s, e, t, f in groups for x in range(s, e) for y in range(t, f) if overlap(x, y)]
+        assert sorted(zip(left, right)) == sorted(pairs)

@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ from tocsin.llm.vocabularies import ByteVocabulary, PieceVocabulary
 # Characters of a text that are aligned at one time, and a blank at which no vocabulary joins two tokens.
 SECTION = 1 << 16
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
+# Places of a stretch that are compared one by one before blocks are.
+NEAR = 8
 # Pairs in the broadcast tier, 17 bytes each, and links of a long text that are held before they are added up.
 FREQUENT, HELD = 1 << 16, 1 << 20
 
@@ -50,50 +51,79 @@ def sections(text: str, size: int = SECTION) -> Iterator[str]:
 
 
 def stretch(ends_a: list[int], ends_b: list[int], i: int, j: int) -> int:
-    """Number of equal ends from places i and j on, by probes of doubling, then halving length."""
+    """Number of equal ends from places i and j on: blocks of doubling length, then halves of the one that differs."""
     limit, step, same = min(len(ends_a) - i, len(ends_b) - j), 1, 0
+
+    def equal(low: int, high: int) -> bool:
+        return ends_a[i + low : i + high] == ends_b[j + low : j + high]
+
     while same < limit:
-        step = min(step, limit - same)
-        if ends_a[i + same : i + same + step] != ends_b[j + same : j + same + step]:
-            break
-        same += step
-        step *= 2
-    else:
-        return same
-    while step > 1:
-        step //= 2
-        if ends_a[i + same : i + same + step] == ends_b[j + same : j + same + step]:
-            same += step
+        end = min(same + step, limit)
+        if not equal(same, end):
+            while end - same > 1:
+                half = (same + end) // 2
+                if equal(same, half):
+                    same = half
+                else:
+                    end = half
+            return same
+        same, step = end, 2 * step
     return same
 
 
-def aligned(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[list[str], list, list]:
-    """Groups as text, and the ids of either side of every link; both last ends are equal."""
+def irregular(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
+    """Groups of more than one token on a side, and the places on either side of their links.
+
+    A group is given by its first place and the place behind it on either side;
+    all other groups are one token against one.  The last ends are equal.
+    """
     groups, left, right = [], [], []
     i = j = 0
-    while i < len(ids_a):
-        same = stretch(ends_a, ends_b, i, j)
-        one, other = ids_a[i : i + same], ids_b[j : j + same]
-        groups += [f"{a}|{b}" for a, b in zip(one, other)]
-        left += one
-        right += other
-        i, j = i + same, j + same
-        if i == len(ids_a):
-            break
+    n, m = len(ends_a), len(ends_b)
+    while True:
+        # Most stretches are short: their first places are compared one by one.
+        near = min(i + NEAR, n, m + i - j)
+        while i < near and ends_a[i] == ends_b[j]:
+            i += 1
+            j += 1
+        if i == near:
+            same = stretch(ends_a, ends_b, i, j)
+            i, j = i + same, j + same
+            if i == n:
+                return groups, left, right
         x, y = i, j
-        left.append(ids_a[x])
-        right.append(ids_b[y])
-        while ends_a[x] != ends_b[y]:
-            if ends_a[x] < ends_b[y]:
+        a, b = ends_a[x], ends_b[y]
+        left.append(x)
+        right.append(y)
+        while a != b:
+            if a < b:
                 x += 1
+                a = ends_a[x]
             else:
                 y += 1
-            left.append(ids_a[x])
-            right.append(ids_b[y])
-        x, y = x + 1, y + 1
-        groups.append(f"{','.join(map(str, ids_a[i:x]))}|{','.join(map(str, ids_b[j:y]))}")
-        i, j = x, y
-    return groups, left, right
+                b = ends_b[y]
+            left.append(x)
+            right.append(y)
+        groups.append((i, x + 1, j, y + 1))
+        i, j = x + 1, y + 1
+
+
+def firsts(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Places from 0 to n - 1 without those that lie in a range, but for the range's first."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts + 1, 1)
+    np.add.at(change, stops, -1)
+    return np.flatnonzero(np.cumsum(change[:n]) == 0)
+
+
+class Spelling:
+    """Texts for numbers; those of many numbers come as one buffer."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.lengths = pa.array(texts, pa.large_binary()), np.array([len(t) for t in texts], np.int64)
+
+    def of(self, numbers: np.ndarray) -> bytes:
+        return self.texts.take(pa.array(numbers)).buffers()[2].to_pybytes() if len(numbers) else b""
 
 
 class Links:
@@ -122,29 +152,51 @@ class Aligner:
     def __init__(self, bytes_path: str, pieces_path: str):
         self.a, self.b = ByteVocabulary.of(bytes_path), PieceVocabulary.of(pieces_path)
         self.width = len(self.b.bytes)
-        self.sides = [(v.plain_ids, v.bytes.__getitem__, {n: len(x) for n, x in v.bytes.items()}.__getitem__) for v in (self.a, self.b)]
-
-    def _side(self, side: int, text: str, raw: bytes) -> tuple[list[int], list[int]] | None:
-        """Ids and ends of a text's tokens, or None where they do not spell the text."""
-        ids_of, bytes_of, length_of = self.sides[side]
-        ids = ids_of(text)
-        return (ids, list(accumulate(map(length_of, ids)))) if b"".join(map(bytes_of, ids)) == raw else None
+        sides = [[v.bytes.get(n, b"") for n in range(max(v.bytes) + 1)] for v in (self.a, self.b)]
+        self.bytes = [Spelling(texts) for texts in sides]
+        # A number, and what follows it in the text of the groups.
+        self.numbers = Spelling([b"%d%c" % (n, sign) for n in range(max(map(len, sides))) for sign in b",|;"])
+
+    def _side(self, side: int, ids: np.ndarray, raw: bytes) -> np.ndarray | None:
+        """Ends of the tokens, or None where they do not spell the text."""
+        ends = np.cumsum(self.bytes[side].lengths[ids])
+        return ends if len(ids) and ends[-1] == len(raw) and self.bytes[side].of(ids) == raw else None
+
+    def section(self, text: str) -> tuple[list[int], bytes, np.ndarray] | None:
+        """n_a, n_b, n_groups and n_links; the groups as text, each with a semicolon behind it; the pair of every link."""
+        raw = b" " + text.encode()
+        a, b = self.a.plain_ids(" " + text), self.b.plain_ids(text)
+        ends_a, ends_b = self._side(0, a, raw), self._side(1, b, raw)
+        if ends_a is None or ends_b is None:
+            return None
+        groups, left, right = irregular(ends_a.tolist(), ends_b.tolist())
+        start_a, stop_a, start_b, stop_b = np.array(groups, np.int64).reshape(-1, 4).T
+        first_a, first_b = firsts(len(a), start_a, stop_a), firsts(len(b), start_b, stop_b)
+        next_a, next_b = np.r_[first_a[1:], len(a)], np.r_[first_b[1:], len(b)]
+        spelt = np.empty(len(a) + len(b), np.int64)
+        follow = 3 * a
+        follow[next_a - 1] += 1
+        spelt[np.arange(len(a)) + np.repeat(first_b, next_a - first_a)] = follow
+        follow = 3 * b
+        follow[next_b - 1] += 2
+        spelt[np.arange(len(b)) + np.repeat(next_a, next_b - first_b)] = follow
+        single = (next_a - first_a == 1) & (next_b - first_b == 1)
+        pairs = np.r_[a[first_a[single]] * self.width + b[first_b[single]], a[left] * self.width + b[right]]
+        return [len(a), len(b), len(first_a), len(pairs)], self.numbers.of(spelt), pairs
 
     def document(self, text: str | None) -> tuple | None:
         """n_a, n_b, n_groups, n_links, digest of the groups, pairs, links of each; None without tokens."""
         if not text:
             return None
-        digest, links, totals = hashlib.sha256(), Links(), [0, 0, 0, 0]
-        for n, part in enumerate(sections(text)):
-            raw = b" " + part.encode()
-            a, b = self._side(0, " " + part, raw), self._side(1, part, raw)
-            if a is None or b is None:
+        digest, links, totals, wait = hashlib.sha256(), Links(), np.zeros(4, np.int64), b""
+        for part in sections(text):
+            found = self.section(part)
+            if found is None:
                 return None
-            groups, left, right = aligned(a[0], b[0], a[1], b[1])
-            digest.update((";" if n else "").encode() + ";".join(groups).encode())
-            links.add(np.array(left, np.int64) * self.width + np.array(right, np.int64))
-            totals = [t + len(x) for t, x in zip(totals, (a[0], b[0], groups, left))]
-        return *totals, digest.hexdigest(), *links.total()
+            digest.update(wait + found[1][:-1])
+            links.add(found[2])
+            totals, wait = totals + found[0], b";"
+        return *totals.tolist(), digest.hexdigest(), *links.total()
 
 
 def alignments(documents: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:

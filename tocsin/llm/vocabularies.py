@@ -49,9 +49,9 @@ class ByteVocabulary:
         """Ids of a text, special strings inside taken as special tokens."""
         return self.encoding.encode_to_numpy(text, allowed_special=self.special)
 
-    def plain_ids(self, text: str) -> list[int]:
+    def plain_ids(self, text: str) -> np.ndarray:
         """Ids of a text, special strings inside taken as any other text."""
-        return self.encoding.encode_ordinary(text)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
 
 class PieceVocabulary:
@@ -75,5 +75,5 @@ class PieceVocabulary:
             _loaded["pieces", path] = cls(path)
         return _loaded["pieces", path]
 
-    def plain_ids(self, text: str) -> list[int]:
-        return self.processor.encode(text, num_threads=1)
+    def plain_ids(self, text: str) -> np.ndarray:
+        return np.array(self.processor.encode(text, num_threads=1), np.int64)
