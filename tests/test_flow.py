@@ -1,7 +1,9 @@
 """Sources, prompts, reports and the stream, from requests to reports."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from test_answers import attempt, chain, table
@@ -10,9 +12,12 @@ from tocsin.operators import answers, prompts, reports
 from tocsin.operators.governance import Rules
 from tocsin.operators.validation import accepted, check_requests, quarantined, with_default_window
 from tocsin.plans import inputs, triage
-from tocsin.sources.requests import read_requests, read_requests_exactly, scan_log_files, stream_requests
+from tocsin.sources import ranges
+from tocsin.sources.requests import log_files, read_requests, scan_log_files, scan_log_lines, stream_requests
 from tocsin.sources.sinks import write_escalations, write_report_texts, write_reports
-from tocsin.streaming.triage import start_triage
+from tocsin.streaming import triage as triage_stream
+from tocsin.streaming.answers import start_late_triage, stream_attempts
+from tocsin.streaming.triage import committed, start_triage
 
 SMALL = "/root/testdata/sf0.001"
 REQUESTS = [
@@ -58,7 +63,7 @@ def test_json_requests(spark, tmp_path):
         "broken",
     ]
     (tmp_path / "a.json").write_text("\n".join(lines))
-    got = {r.service_name: r for r in read_requests_exactly(spark, str(tmp_path)).collect()}
+    got = {r.service_name: r for r in read_requests(spark, str(tmp_path)).collect()}
     assert got["a"].errors == [] and got["a"].max_context_lines == 10
     assert got["b"].errors == ["max_context_lines"]
     assert got["c"].errors == [] and got["c"].max_context_lines == 7
@@ -66,7 +71,71 @@ def test_json_requests(spark, tmp_path):
     assert got["e"].errors == ["max_context_lines"]
     assert got[None].errors == ["json"]
     assert len({r.request_id for r in got.values()}) == len(got)
-    assert read_requests(spark, str(tmp_path)).filter("max_context_lines = 10").count() >= 2
+
+
+def test_every_line_keeps_a_place_and_an_id(spark, tmp_path):
+    good = '{"service_name": "a", "environment": "prod", "log_payload": "x"}'
+    given = '{"request_id": 7, "service_name": "a", "environment": "prod", "log_payload": "x"}'
+    lines = [good, good, "broken", "broken", "", given, given, '{"service_name": null}', "é\ud800".encode("utf-8", "surrogatepass").decode("latin-1")]
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_bytes("\r\n".join(lines).encode("latin-1"))
+    rows = read_requests(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * (len(lines) - 1)
+    assert len({r.request_key for r in rows}) == len(rows) == len({(r.path, r.offset) for r in rows})
+    assert all(len(r.request_key) == 64 for r in rows)
+    assert sorted(r.request_id for r in rows if r.request_id == "7") == ["7"] * 4
+    assert len({r.request_id for r in rows}) == len(rows) - 3
+    assert sum(r.errors == ["json"] for r in rows) == 6 and sum(r.errors == [] for r in rows) == 8
+    again = read_requests(spark, str(tmp_path)).repartition(3).collect()
+    assert {r.request_key for r in again} == {r.request_key for r in rows}
+
+
+@pytest.mark.parametrize("size,chunk", [(1, 3), (7, 2), (16, 5), (1 << 20, 1 << 20)])
+def test_ranges_hold_every_line_once(spark, tmp_path, monkeypatch, size, chunk):
+    monkeypatch.setattr(ranges, "CHUNK", chunk)
+    files = {"a": b"one\ntwo\n\nfour", "b": b"\n\n", "c": b"", "d": b"x" * 40 + b"\nlast\n", "e": b"\xff\xfe\n\xc3\xa9"}
+    for name, data in files.items():
+        (tmp_path / f"{name}.log").write_bytes(data)
+        own = []
+        with open(tmp_path / f"{name}.log", "rb") as file:
+            for start in range(0, len(data), size):
+                own += ranges.lines_of(file, start, min(start + size, len(data)), 30)
+        want, at = [], 0
+        for line in data.split(b"\n")[: None if data and not data.endswith(b"\n") else -1]:
+            want.append((at, len(line), line if len(line) <= 30 else None))
+            at += len(line) + 1
+        assert own == want, name
+    found = ranges.read_lines(ranges.files_in(spark, str(tmp_path)), max(size, 4), 30).collect()
+    assert sorted(r.value or "" for r in found) == sorted(["one", "two", "", "four", "", "", "", "last", "\ufffd\ufffd", "é"])
+
+
+def test_log_lines_of_any_size_are_numbered_like_splitlines(spark, tmp_path):
+    texts = {
+        "plain": "INFO a\nFATAL b\n",
+        "odd": "a\r\nb\rc\x0bd\x85\u2028e\n\n\r\nf\x1c",
+        "none": "",
+        "open": "x\ny",
+        "long": "\n".join(f"line {n}\r" for n in range(500)),
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.log").write_bytes(text.encode())
+    found = {}
+    for r in scan_log_lines(spark, str(tmp_path), 16).collect():
+        found.setdefault(r.service_name, {})[r.line_no] = r.raw
+    assert {k: [v[n] for n in range(len(v))] for k, v in found.items()} == {
+        k: t.splitlines() for k, t in texts.items() if t
+    }
+
+
+def test_files_too_long_for_a_request_are_not_read(spark, tmp_path):
+    (tmp_path / "small.log").write_text("ERROR a\n")
+    (tmp_path / "empty.log").write_text("")
+    with open(tmp_path / "huge.log", "wb") as file:
+        file.truncate(3 << 30)  # 3 GB of nothing, more than one row can hold
+    got = {r.service_name: r for r in log_files(spark, str(tmp_path)).collect()}
+    assert got["huge"].errors == ["log_payload"] and got["huge"].log_payload is None and got["huge"].n_bytes == 3 << 30
+    assert set(got) == {"huge", "small"} and got["small"].errors == []
+    assert {r.service_name for r in scan_log_files(spark, str(tmp_path)).collect()} == {"small"}
 
 
 def test_log_files(spark, tmp_path):
@@ -160,6 +229,7 @@ def test_timing_column_is_rounded(spark):
 def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     requests(spark).repartition(3).write.json(source)
+    (tmp_path / "in" / "more.json").write_text('broken\n{"service_name": "b", "max_context_lines": null}\n')
     chains = triage.chains_of(all_attempts(spark))
     chains.write.parquet(str(tmp_path / "chains"))
     stored = spark.read.parquet(str(tmp_path / "chains"))
@@ -167,14 +237,89 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     def run():
         arriving = stream_requests(spark, source, files_per_batch=1)
         start_triage(arriving, stored, Rules(), out, str(tmp_path / "checkpoint")).awaitTermination()
-        read = spark.read.parquet(f"{out}/reports").select(*schemas.REPORT.names)
-        return sorted(map(str, read.collect()))
+        return sorted(map(str, committed(spark, out, "reports").select(*schemas.REPORT.names).collect()))
 
     batch = sorted(map(str, triage.reports_of(requests(spark), all_attempts(spark), Rules()).collect()))
     assert run() == batch
-    assert spark.read.parquet(f"{out}/escalations").count() == 1
-    assert spark.read.parquet(f"{out}/unavailable").count() == 0
+    assert committed(spark, out, "escalations").count() == 1
+    assert committed(spark, out, "unavailable").count() == 0
+    letters = {tuple(r.errors): r for r in committed(spark, out, "quarantine").collect()}
+    assert set(letters) == {
+        ("service_name",),
+        ("environment", "max_context_lines"),
+        ("service_name", "log_payload", "max_context_lines"),
+        ("json",),
+        ("environment", "log_payload", "max_context_lines"),
+    }
+    assert letters["json",].offset == 0 and letters["json",].path.endswith("more.json")
+    # Accepted and rejected ones are all lines.
+    assert len(batch) + len(letters) == len(REQUESTS) + 2
     assert run() == batch
+    # A batch without its marker does not count.
+    extra = committed(spark, out, "quarantine").drop("batch").limit(1)
+    triage_stream.BatchTables(spark, out, 99).write(extra, "quarantine")
+    assert committed(spark, out, "quarantine").count() == len(letters)
+
+
+def write_attempts(spark, rows, path, moment):
+    """One file of attempts that arrived at a time."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    names = schemas.ATTEMPT.names
+    with open(path, "w") as file:
+        file.writelines(json.dumps(dict(zip(names, row))) + "\n" for row in rows)
+    os.utime(path, (moment, moment))
+
+
+def test_answers_may_come_later_and_dead_letters_wait(spark, tmp_path):
+    source, answered, out = (str(tmp_path / n) for n in ("in", "answers", "out"))
+    os.makedirs(source)
+    os.makedirs(answered)
+    start = 1_700_000_000
+    given = [{k: v for k, v in zip(schemas.REQUEST.names, r) if v is not None} for r in REQUESTS]
+    lines = [json.dumps(r) for r in given] + ["broken"]
+    (tmp_path / "in" / "one.json").write_text("\n".join(lines))
+    os.utime(f"{source}/one.json", (start, start))
+
+    def run():
+        clock = (F.col("arrived"), F.col("arrived"))
+        start_late_triage(
+            stream_requests(spark, source, tasks=2),
+            stream_attempts(spark, answered),
+            Rules(),
+            out,
+            str(tmp_path / "checkpoint"),
+            wait="10 minutes",
+            clock=clock,
+        ).awaitTermination()
+
+    def names(kind, column="service_name"):
+        return sorted(getattr(r, column) for r in committed(spark, out, kind).collect())
+
+    first, second = chain(1)[:2], chain(1)[2:]
+    write_attempts(spark, first + chain(99)[:1], f"{answered}/a.json", start + 60)
+    run()
+    quiet = ["s" * 128, "shop"]
+    assert names("reports") == sorted(quiet) and len(committed(spark, out, "quarantine").collect()) == 4
+    # A restart, and the rest of one incident's answers, some of which come twice.
+    write_attempts(spark, second + first, f"{answered}/b.json", start + 120)
+    run()
+    assert names("reports") == sorted(["pay", *quiet])
+    assert names("unavailable") == [] == names("orphans", "incident_id")
+    # Half the wait is over for the others; then all of it.
+    write_attempts(spark, chain(3)[:1], f"{answered}/c.json", start + 300)
+    run()
+    run()
+    assert names("unavailable") == []
+    write_attempts(spark, chain(98)[:1], f"{answered}/d.json", start + 3000)
+    run()
+    write_attempts(spark, chain(97)[:1], f"{answered}/e.json", start + 3001)
+    run()
+    letters = committed(spark, out, "unavailable").collect()
+    assert [(r.service_name, r.missing_agent) for r in letters] == [("mail", "diagnostic")]
+    assert names("orphans", "incident_id") == ["99"]
+    batch = triage.reports_of(requests(spark), table(spark, chain(1)), Rules()).collect()
+    got = committed(spark, out, "reports").select(*schemas.REPORT.names).collect()
+    assert sorted(map(str, got)) == sorted(map(str, batch))
 
 
 def test_keys_are_stable(spark):

@@ -184,11 +184,36 @@ check(
     ["checked"],
     f"SELECT * REPLACE ({_text('errors')} AS errors) FROM checked",
 )
+view(
+    "log_files",
+    ["requests"],
+    f"SELECT request_id // {inputs.DUMPS_PER_FILE} AS n, string_agg(log_payload, chr(10) ORDER BY request_id) AS text "
+    "FROM requests GROUP BY n HAVING string_agg(log_payload, chr(10) ORDER BY request_id) <> ''",
+)
+view(
+    "log_file_pieces",
+    ["log_files"],
+    f"SELECT *, string_split_regex(text, '{BREAKS}') AS pieces FROM log_files",
+)
+view(
+    "log_file_lines",
+    ["log_file_pieces"],
+    "SELECT n, 'svc-' || n AS service_name, text, CASE WHEN pieces[-1] = '' THEN pieces[1:len(pieces) - 1] ELSE pieces "
+    "END AS pieces FROM log_file_pieces",
+)
 check(
     "scan_log_files",
-    ["dump_tags"],
-    "SELECT 'prod' AS environment, CAST(10 AS BIGINT) AS max_context_lines, severity, count(*) AS "
-    "lines, CAST(sum(length(raw)) AS BIGINT) AS characters FROM dump_tags GROUP BY severity",
+    ["log_file_lines"],
+    "SELECT service_name, 'prod' AS environment, CAST(10 AS BIGINT) AS max_context_lines, '' AS errors, "
+    "CAST(len(pieces) AS BIGINT) AS lines, CAST(length(text) AS BIGINT) AS characters, sha256(text) AS payload_sha256 "
+    "FROM log_file_lines",
+)
+check(
+    "scan_log_lines",
+    ["log_file_lines"],
+    f"SELECT service_name, {_tier('raw')} AS severity, count(*) AS lines, min(line_no) AS first, max(line_no) AS last, "
+    "CAST(sum(line_no * length(raw)) AS BIGINT) AS weighted FROM (SELECT service_name, CAST(i - 1 AS BIGINT) AS line_no, "
+    "pieces[i] AS raw FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM log_file_lines)) GROUP BY 1, 2",
 )
 view("dump_anchors", ["dump_tags"], _anchors("dump_tags", "request_id"))
 view(
@@ -738,6 +763,32 @@ check("report_no_anchor", ["fixed_reports"], f"SELECT {_ALL} FROM fixed_reports"
 check("report_full", ["agent_reports"], f"SELECT {_ALL} FROM agent_reports")
 check("report_all", ["reports"], f"SELECT {_ALL} FROM reports")
 check("stream_triage", ["reports"], f"SELECT {_ALL} FROM reports")
+_FLAWS = {"service_name": 5, "max_context_lines": 4}
+view(
+    "flawed",
+    ["defaulted"],
+    "SELECT CASE WHEN request_id % 10 = 3 THEN 'json' ELSE array_to_string(list_filter(["
+    + ", ".join(
+        f"CASE WHEN NOT ({test}){f' OR request_id % 10 = {_FLAWS[n]}' if n in _FLAWS else ''} THEN '{n}' END"
+        for n, test in _REQUEST_TESTS.items()
+    )
+    + "], lambda x: x IS NOT NULL), '|') END AS errors FROM defaulted",
+)
+# Every line is there twice; rejected ones have keys of their own, accepted ones the key of their given id.
+check(
+    "stream_quarantine",
+    ["flawed"],
+    "SELECT errors, 2 * count(*) AS lines, CASE WHEN errors = '' THEN 1 ELSE 2 END * count(*) AS keys FROM flawed GROUP BY errors",
+)
+check(
+    "stream_late_answers",
+    ["checked", "incidents", "anchored", "chains", "reports"],
+    "SELECT CAST(request_id AS VARCHAR) AS request_id, 'rejected' AS outcome, NULL AS missing_agent, NULL AS status FROM "
+    "checked WHERE len(errors) > 0 UNION ALL SELECT CAST(i.request_id AS VARCHAR), CASE WHEN coalesce(context, '') = '' THEN "
+    "'quiet' WHEN complete THEN 'complete' ELSE 'dead' END, CASE WHEN coalesce(context, '') = '' OR complete THEN NULL WHEN "
+    "c.incident_id IS NULL THEN 'severity' ELSE missing_agent END, r.status FROM incidents i LEFT JOIN chains c ON "
+    "i.request_id = c.incident_id LEFT JOIN reports r ON r.incident_id = i.incident_key",
+)
 _LIST = "CASE WHEN {0} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({0}, '|') END"
 check(
     "report_json",

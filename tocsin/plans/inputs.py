@@ -108,6 +108,9 @@ def request_columns(d: Dialect) -> dict[str, str]:
     }
 
 
+# Requests whose dumps make one log file.
+DUMPS_PER_FILE = 20
+
 # --- log lines: every event is one line of its user's incident --------------
 
 LEVEL = (

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tocsin import schemas
+from tocsin.functions.text import split_lines
 from tocsin.operators import agents, answers, governance, logs, metrics, prompts, reports, validation
 from tocsin.plans import inputs, triage
 from tocsin.session import shared_folder
 from tocsin.sources import requests as request_sources
 from tocsin.sources import rules as rule_sources
-from tocsin.streaming.triage import start_triage
+from tocsin.sources import sinks
+from tocsin.streaming.answers import start_late_triage, stream_attempts
+from tocsin.streaming.triage import QUARANTINE, REPORTS, UNAVAILABLE, committed, start_triage
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = governance.Rules()
@@ -143,8 +148,8 @@ def _request_files(spark, folder, n_files: int | None = None) -> str:
 
 @query
 def ingest_requests(spark, folder):
-    return request_sources.read_requests_exactly(spark, _request_files(spark, folder)).select(
-        "request_id",
+    return request_sources.read_requests(spark, _request_files(spark, folder)).select(
+        F.col("request_id").try_cast("bigint").alias("request_id"),
         "service_name",
         "environment",
         "log_payload",
@@ -153,23 +158,47 @@ def ingest_requests(spark, folder):
     )
 
 
+def _log_files(spark, folder) -> str:
+    """Dumps as ``*.log`` files, those of neighbouring requests in one, named by their service."""
+    path = shared_folder(spark, "dumps")
+    number = F.expr(f"request_id div {inputs.DUMPS_PER_FILE}")
+    dumps = F.sort_array(F.collect_list(F.struct("request_id", "log_payload")))
+    files = inputs.requests(spark, folder).groupBy(number.alias("n")).agg(
+        F.array_join(F.transform(dumps, lambda d: d["log_payload"]), "\n").alias("text")
+    )
+    named = files.where("text <> ''").select(F.format_string("svc-%d", "n").alias("name"), "text")
+    sinks.write_text_files(named, path, ".log")
+    return path
+
+
 @query
 def scan_log_files(spark, folder):
-    path = shared_folder(spark, "dumps")
-    (
-        logs.dump_lines(inputs.requests(spark, folder))
-        .select("raw")
-        .write.option("extension", "log")
-        .option("maxRecordsPerFile", 5000)
-        .options(sep="\x01", quote="", emptyValue="", ignoreLeadingWhiteSpace=False)
-        .options(ignoreTrailingWhiteSpace=False)
-        .csv(path)
-    )
-    scanned = request_sources.scan_log_files(spark, path)
+    """One row per file: the service its name gives, and what it holds."""
+    found = request_sources.log_files(spark, _log_files(spark, folder))
+    return found.select(
+        "service_name",
+        "environment",
+        "max_context_lines",
+        _joined("errors"),
+        F.size(split_lines(F.col("log_payload"))).cast("bigint").alias("lines"),
+        F.length("log_payload").cast("bigint").alias("characters"),
+        F.sha2("log_payload", 256).alias("payload_sha256"),
+    )
+
+
+@query
+def scan_log_lines(spark, folder):
+    """Numbered lines of the same files, read by ranges; one row per file and severity."""
+    lines = request_sources.scan_log_lines(spark, _log_files(spark, folder))
     return (
-        logs.tag_severity(logs.dump_lines(scanned))
-        .groupBy("environment", "max_context_lines", "severity")
-        .agg(F.count("*").alias("lines"), F.sum(F.length("raw")).alias("characters"))
+        logs.tag_severity(lines)
+        .groupBy("service_name", "severity")
+        .agg(
+            F.count("*").alias("lines"),
+            F.min("line_no").alias("first"),
+            F.max("line_no").alias("last"),
+            F.sum(F.col("line_no") * F.length("raw")).alias("weighted"),
+        )
     )
 
 
@@ -643,7 +672,90 @@ def stream_triage(spark, folder):
         arriving, spark.read.parquet(chain_path), RULES, output, f"{output}/checkpoint"
     )
     running.awaitTermination()
-    return spark.read.parquet(f"{output}/reports").select(*_flat_report())
+    return committed(spark, output, REPORTS).select(*_flat_report())
+
+
+def _flawed_lines(spark, folder) -> DataFrame:
+    """A line per request; some are no JSON, others say a null window or a number for a name."""
+    rows, n = inputs.requests(spark, folder), F.col("request_id") % 10
+    named = F.to_json(F.struct(*schemas.REQUEST.names))
+    fields = [F.lit(5).alias(c) if c == "service_name" else F.col(c) for c in schemas.REQUEST.names]
+    rest = [F.col(c) for c in schemas.REQUEST.names if c != "max_context_lines"]
+    windowless = F.to_json(F.struct(*rest))
+    line = (
+        F.when(n == 3, F.concat(F.lit("broken "), F.col("request_id").cast("string")))
+        .when(n == 4, F.concat(F.left(windowless, F.length(windowless) - 1), F.lit(', "max_context_lines": null}')))
+        .when(n == 5, F.to_json(F.struct(*fields)))
+        .otherwise(named)
+    )
+    return rows.select(line.alias("value"))
+
+
+@query
+def stream_quarantine(spark, folder):
+    """Lines of a stream by their reasons, with their keys; accepted ones are those with a report or a dead letter."""
+    output, source = shared_folder(spark, "stream"), shared_folder(spark, "lines")
+    lines = _flawed_lines(spark, folder)
+    lines.unionAll(lines).repartition(4).write.text(source)
+    none = spark.createDataFrame([], _chains(spark, folder).schema)
+    running = start_triage(
+        request_sources.stream_requests(spark, source, 2), none, RULES, output, f"{output}/checkpoint"
+    )
+    running.awaitTermination()
+    rejected = committed(spark, output, QUARANTINE).select(_joined("errors"), F.col("request_key").alias("key"))
+    reported = committed(spark, output, REPORTS).select(F.lit("").alias("errors"), F.col("incident_id").alias("key"))
+    waiting = committed(spark, output, UNAVAILABLE).select(F.lit("").alias("errors"), F.col("incident_key").alias("key"))
+    every = rejected.unionByName(reported).unionByName(waiting)
+    return every.groupBy("errors").agg(F.count("*").alias("lines"), F.countDistinct("key").alias("keys"))
+
+
+# Minutes between the rounds in which attempts arrive, and that a request waits for its answers.
+ROUND, WAIT = 10, 40
+
+
+@query
+def stream_late_answers(spark, folder):
+    """What becomes of every request when answers come in later files, with a restart after every round."""
+    output, answered = shared_folder(spark, "stream"), shared_folder(spark, "answers")
+    asked = _request_files(spark, folder, 4)
+    attempts = inputs.answers(spark, folder)
+
+    def minutes(n: Column) -> Column:
+        return F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(60 * ROUND) * n)
+
+    # The file's folder tells the round; two last rounds of a single answer each only move the clock on.
+    late = F.regexp_extract("path", r"late=(\d+)", 1).cast("int")
+    for number, rows in enumerate(
+        [attempts.where("incident_id % 3 = 0"), attempts.where("incident_id % 3 > 0"), _tick(attempts), _tick(attempts)]
+    ):
+        place = number if number < 2 else number + 5
+        rows.write.json(f"{answered}/late={place}")
+        running = start_late_triage(
+            request_sources.stream_requests(spark, asked, 2),
+            stream_attempts(spark, f"{answered}/*"),
+            RULES,
+            output,
+            f"{output}/checkpoint",
+            wait=f"{WAIT} minutes",
+            clock=(minutes(F.lit(0)), minutes(late)),
+        )
+        running.awaitTermination()
+    found = committed(spark, output, "outcomes").where("outcome <> 'orphan'")
+    reported = committed(spark, output, REPORTS).select(F.col("incident_id").alias("incident_key"), "remediation.status")
+    told = found.select(
+        F.get_json_object("incident", "$.request_id").alias("request_id"),
+        F.get_json_object("incident", "$.incident_key").alias("incident_key"),
+        "outcome",
+        F.when(F.col("outcome") == "dead", answers.first_missing()).alias("missing_agent"),
+    )
+    return told.join(reported, "incident_key", "left").drop("incident_key")
+
+
+def _tick(attempts: DataFrame) -> DataFrame:
+    """A valid answer to no request."""
+    row = ("tick", "severity", 1, "", '{"severity_detected": "FATAL"}', 1, 1, None, None, None, 0.0, None)
+    types = [T.StructField("incident_id", T.StringType()), *schemas.ATTEMPT.fields[1:]]
+    return attempts.sparkSession.createDataFrame([row], T.StructType(types))
 
 
 # --- metrics -----------------------------------------------------------------

@@ -32,6 +32,24 @@ def incidents_of(requests: DataFrame) -> DataFrame:
     )
 
 
+def intake_of(requests: DataFrame) -> DataFrame:
+    """Checked requests, rejected ones too, after the log stage; of rejected payloads size and digest are left."""
+    good, payload = F.size("errors") == 0, F.col("log_payload")
+    sized = requests.withColumns(
+        {
+            "payload_bytes": F.when(~good, F.octet_length(payload).cast("bigint")),
+            "payload_sha256": F.when(~good, F.sha2(payload, 256)),
+            "log_payload": F.when(good, payload),
+        }
+    )
+    return preprocess_dumps(sized, F.col("max_context_lines")).withColumn("incident_key", request_key())
+
+
+def accepted_of(intake: DataFrame) -> DataFrame:
+    """The incidents of an intake, as ``incidents_of`` gives them."""
+    return intake.filter(F.size("errors") == 0)
+
+
 def chains_of(attempts: DataFrame, agents: list[str] | None = None, limit: int = ATTEMPTS) -> DataFrame:
     """Chains of the agents named, all four by default; other agents' answers are not parsed.
 

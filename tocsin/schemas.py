@@ -26,6 +26,21 @@ REQUEST = T.StructType(
     ]
 )
 
+# What is kept of a line that is no request.
+REJECTED = [
+    "request_key",
+    "request_id",
+    "service_name",
+    "environment",
+    "max_context_lines",
+    "path",
+    "offset",
+    "n_bytes",
+    "payload_bytes",
+    "payload_sha256",
+    "errors",
+]
+
 LOG_LINE = T.StructType(
     [
         T.StructField("incident_id", T.LongType()),
