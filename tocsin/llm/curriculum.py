@@ -8,9 +8,9 @@ stand in a fixed random order, one pass after the other.  The words before a
 document are the demand at which it is needed, so the inverse of the integral is
 its position in training, and a range sort by position is the curriculum.
 
-A running sum over a source of any size is made in two parts: over the totals of
-65,536 buckets of the random order, and within a bucket.  Nothing else is
-grouped by source but counts.
+A running sum over a source of any size is made in three parts: over the totals
+of 256 coarse buckets of the random order, over those of the 256 buckets of each, and
+within a bucket.  Nothing else is grouped by source but counts.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from tocsin.llm.shared import stored
 # Weights at the beginning, the middle and the end of training; their integrals are 3, 1 and 2.
 SCHEDULES = ((4.0, 3.0, 2.0), (0.5, 1.0, 1.5), (1.0, 2.5, 2.0))
 WORD = r"[^\x20\x09-\x0D]+"
-# Hexadecimal digits of a document's place in the random order that make its bucket.
-DIGITS = 4
+# Hexadecimal digits of a document's place in the random order that make its coarse bucket and its bucket.
+COARSE, DIGITS = 2, 4
 
 
 def weight(schedule: tuple[float, ...]) -> float:
@@ -110,9 +110,17 @@ def curriculum(
 
     sizes = rows.groupBy("named", "source").agg(F.sum("size").alias("source_size"))
     wanted = stored(targets(sizes, schedules, share, most), "curriculum-targets").drop("source", "place", "weight")
-    earlier = Window.partitionBy("named").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = slim.groupBy("named", "bucket").agg(F.sum("size").alias("total")).join(wanted, "named")
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("total").over(earlier), F.lit(0))).drop("total")
+    totals = slim.groupBy("named", "bucket").agg(F.sum("size").alias("total"))
+    totals = stored(totals.withColumn("coarse", F.substring("bucket", 1, COARSE)), "curriculum-buckets")
+
+    def before(rows: DataFrame, within: list[str], place: str, name: str) -> DataFrame:
+        earlier = Window.partitionBy(*within).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum("total").over(earlier), F.lit(0))).drop("total")
+
+    coarse = totals.groupBy("named", "coarse").agg(F.sum("total").alias("total"))
+    coarse = before(coarse, ["named"], "coarse", "_earlier").join(wanted, "named")
+    buckets = before(totals, ["named", "coarse"], "bucket", "_before").join(coarse, ["named", "coarse"])
+    buckets = buckets.withColumn("_before", F.col("_before") + F.col("_earlier")).drop("coarse", "_earlier")
     inside = Window.partitionBy("named", "bucket").orderBy("key", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = slim.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets, ["named", "bucket"])
 
