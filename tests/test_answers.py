@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tocsin import schemas
+from tocsin.functions.rows import computed_once
 from tocsin.operators import agents, answers, prompts
 from tocsin.operators.governance import Rules
 from tocsin.operators.validation import check_answers
@@ -298,6 +300,55 @@ def test_a_run_with_five_attempts_reads_the_fourth_answer(spark, tmp_path):
     assert triage.dead_letters_of(requests, ran).count() == 1
 
 
+def test_a_run_that_was_broken_off_asks_nothing_twice(spark, tmp_path):
+    rows = [(n, f"s{n}", "prod", "FATAL x", 5) for n in range(12)]
+    incidents = triage.incidents_of(spark.createDataFrame(rows, schemas.REQUEST))
+    folder, calls = str(tmp_path / "run"), tmp_path / "calls"
+    calls.mkdir()
+    good = chain_model()
+
+    def model(asked):
+        # The third agent's sixth call kills its task, once.
+        assert len(asked) <= 2
+        third = all("Cause:" in p and "Command:" not in p for p in asked)
+        if third and not (calls / "broken").exists() and sum(1 for p in calls.iterdir() if "third" in p.name) == 4:
+            (calls / "broken").write_text("")
+            raise SystemExit("gone")
+        for prompt in asked:
+            name = hashlib.sha256(prompt.encode()).hexdigest()
+            with open(calls / f"{name}{'-third' if third else ''}", "a") as file:
+                file.write("x")
+        return good(asked)
+
+    with pytest.raises(Exception):
+        triage.run_agents(incidents, model, folder, batch=2, concurrency=1)
+    before = len(list(calls.iterdir()))
+    assert (calls / "broken").exists() and 24 < before < 48
+    ran = triage.run_agents(incidents, model, folder, batch=2, concurrency=1)
+    assert ran.count() == 48 and triage.chains_of(ran).filter(answers.is_complete()).count() == 12
+    assert [p.read_text() for p in calls.iterdir() if p.name != "broken"] == ["x"] * 48
+    # Another run of the same folder asks nothing; one prompt that has changed is asked.
+    assert triage.run_agents(incidents, model, folder).count() == 48
+    rows[0] = (0, "other", "prod", "FATAL x", 5)
+    changed = triage.incidents_of(spark.createDataFrame(rows, schemas.REQUEST))
+    assert triage.run_agents(changed, model, folder, batch=2).count() == 48
+    assert len(list(calls.iterdir())) == 48 + 1 + 4
+
+
+def test_dumps_are_searched_once_in_a_run(spark, tmp_path):
+    searched = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        searched.add(1)
+        return text
+
+    rows = spark.createDataFrame([(n, "pay", "prod", "FATAL x", 5) for n in range(3)], schemas.REQUEST)
+    rows = computed_once(rows, {"log_payload": counted.asNondeterministic()("log_payload")}).select(schemas.REQUEST.names)
+    triage.run_agents(triage.incidents_of(rows), chain_model(), str(tmp_path / "run"))
+    assert searched.value == 3
+
+
 def models():
     """Made inside a function, so that they are shipped by value."""
 

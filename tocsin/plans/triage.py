@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tocsin import schemas
 from tocsin.operators import prompts
-from tocsin.operators.agents import Model, ask_model, worth_another
+from tocsin.operators.agents import Model, ask_once, worth_another
 from tocsin.operators.answers import ATTEMPTS, CHAIN, agent_chains, chain_usage, read_answers, unavailable
 from tocsin.operators.governance import Rules
 from tocsin.operators.logs import preprocess_dumps
@@ -68,6 +68,18 @@ def with_upstream(incidents: DataFrame, chains: DataFrame, agents: list[str]) ->
     return incidents.join(upstream, "request_id")
 
 
+def prompts_for(asked: DataFrame, agent: str) -> DataFrame:
+    """incident_id, agent and prompt for anchored incidents that have what the agent's prompt quotes."""
+    upstream = {name: F.col(name) for name in QUOTED}
+    prompt = {
+        "severity": lambda: prompts.severity_prompt(),
+        "diagnostic": lambda: prompts.diagnostic_prompt(upstream["agent_severity"]),
+        "remediation": lambda: prompts.remediation_prompt(upstream["root_cause"], upstream["explanation"]),
+        "postmortem": lambda: prompts.postmortem_prompt(*upstream.values()),
+    }[agent]()
+    return asked.select(F.col("request_id").alias("incident_id"), F.lit(agent).alias("agent"), prompt.alias("prompt"))
+
+
 def prompts_of(
     incidents: DataFrame, agent: str, attempts: DataFrame | None, limit: int = ATTEMPTS
 ) -> DataFrame:
@@ -79,40 +91,53 @@ def prompts_of(
     asked = incidents.filter(has_anchor())
     if earlier:
         asked = with_upstream(asked, chains_of(attempts, earlier, limit), earlier)
-    upstream = {name: F.col(name) for name in QUOTED}
-    prompt = {
-        "severity": lambda: prompts.severity_prompt(),
-        "diagnostic": lambda: prompts.diagnostic_prompt(upstream["agent_severity"]),
-        "remediation": lambda: prompts.remediation_prompt(upstream["root_cause"], upstream["explanation"]),
-        "postmortem": lambda: prompts.postmortem_prompt(*upstream.values()),
-    }[agent]()
-    return asked.select(F.col("request_id").alias("incident_id"), F.lit(agent).alias("agent"), prompt.alias("prompt"))
+    return prompts_for(asked, agent)
 
 
 def run_agents(
-    incidents: DataFrame, model: Model, folder: str, fallback: Model | None = None, attempts: int = ATTEMPTS
+    incidents: DataFrame,
+    model: Model,
+    folder: str,
+    fallback: Model | None = None,
+    attempts: int = ATTEMPTS,
+    batch: int = 256,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """Ask the four agents one after the other; returns the attempts table.
 
-    Every attempt is a table of its own below ``folder``, written before it is
-    read, so a model is not asked again when an executor is lost later on, and
-    a rerun replaces what an earlier run left.  An answer that breaks its
-    agent's rules is asked for again, up to ``attempts`` times, as is one whose
-    failure is worth another attempt.  An agent is asked only about incidents
-    that all earlier agents have answered.  The driver takes at most four times
+    Dumps are searched once: the anchored incidents are written below ``folder``
+    before the first agent, as are every agent's chosen answers, which the next
+    prompts quote, and every attempt, a table of its own.  Replies go to a
+    journal first (``tocsin.operators.agents.ask_once``), so a run that was
+    broken off goes on where it ended when it is started again with the same
+    folder, and a finished one asks nothing; prompts that have changed are asked.
+
+    An answer that breaks its agent's rules is asked for again, up to ``attempts`` times, as
+    is one whose failure is worth another attempt.  An agent is asked only about
+    incidents that all earlier agents have answered.  ``batch`` prompts go into a call, at
+    most ``concurrency`` calls run at once.  The driver takes at most four times
     ``attempts`` steps, however many incidents there are.
     """
     spark, done = incidents.sparkSession, None
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    asked = written(incidents.filter(has_anchor()), "incidents")
     for agent in CHAIN:
-        waiting = prompts_of(incidents, agent, done, attempts)
+        waiting, own = prompts_for(asked, agent), None
         for number in range(1, attempts + 1):
-            path = f"{folder}/agent={agent}/attempt={number}"
-            asked = ask_model(waiting, model, fallback, attempts=1).withColumn("attempt", F.lit(number))
-            asked.write.mode("overwrite").parquet(path)
-            tried = spark.read.schema(schemas.ATTEMPT).parquet(path)
-            done = tried if done is None else done.unionByName(tried)
+            step = f"agent={agent}/attempt={number}"
+            waiting = written(waiting, f"asked/{step}")
+            told = ask_once(waiting, model, f"{folder}/journal/{step}", fallback, number, batch, concurrency)
+            tried = written(told, step)
+            own = tried if own is None else own.unionByName(tried)
             again = read_answers(tried, [agent]).filter(F.size("errors") > 0).filter(worth_another())
             waiting = again.select("incident_id", "agent", "prompt")
+        done = own if done is None else done.unionByName(own)
+        chosen = written(chains_of(own, [agent], attempts), f"chosen/agent={agent}")
+        asked = with_upstream(asked, chosen, [agent])
     return done
 
 
