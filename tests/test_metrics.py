@@ -40,6 +40,47 @@ def test_percentiles_equal_brute_force(spark, seed):
         assert total[name] == nearest_rank([r[2] for r in rows if r[1] == 200], p)
 
 
+HARD = {
+    "one value in 99 %": [7.25] * 990 + [float(n) for n in range(10)],
+    "neighbours": [1.0 + n * 2.0**-52 for n in range(700)],
+    "infinities": [float("inf")] * 30 + [float("-inf")] * 40 + [1e308, -1e308, 5e-324, -5e-324] * 10,
+    "zeros": [0.0, -0.0] * 50 + [-1.0],
+    "outliers": [1.0 + n / 1000 for n in range(500)] + [1e300, -1e300],
+    "nothing": [],
+}
+
+
+def test_percentiles_of_hard_groups(spark):
+    rows = [(name, 200, x, None) for name, values in HARD.items() for x in values]
+    rows += [(name, 500, 3.0, None) for name in HARD] + [(name, 200, None, None) for name in HARD]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    shares = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    got = {r.service: r for r in metrics.percentiles(frame, ["service"], shares=shares).collect()}
+    for name, values in HARD.items():
+        assert got[name].succeeded == len(values)
+        assert [got[name][s] for s in shares] == [nearest_rank(values, p) for p in shares.values()], name
+
+
+def test_order_keys_keep_the_order(spark):
+    rng = random.Random(9)
+    values = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-320, 300) for _ in range(500)]
+    values += [0.0, -0.0, float("inf"), float("-inf"), 5e-324, float("nan")]
+    frame = metrics.with_order_key(spark.createDataFrame([(v,) for v in values], "v double"), "v", "k")
+    rows = frame.select("v", "k", metrics.keyed_value(F.col("k")).alias("back")).orderBy("k").collect()
+    assert rows[-1].v != rows[-1].v
+    assert [r.v for r in rows[:-1]] == sorted(v for v in values if v == v) == [r.back for r in rows[:-1]]
+
+
+def test_no_task_ranks_values(spark):
+    """What is shuffled are counts: a group of one hundred thousand distinct values sends few rows."""
+    rows = spark.range(100_000, numPartitions=4).selectExpr("'hot' AS service", "200 AS status_code", "id / 7 AS wall_ms", "0L AS t")
+    plan = metrics.percentiles(rows, ["service"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("_key" in line or "wall_ms" in line for line in windows)
+    row = metrics.percentiles(rows, ["service"]).first()
+    assert (row.p50, row.p99) == (50_000 / 7, 99_000 / 7)
+
+
 def test_twenty_rows_pick_the_last_for_p95(spark):
     frame = spark.createDataFrame([("a", 200, float(n), 1960) for n in range(20)], SCHEMA)
     row = metrics.percentiles(frame).collect()[0]

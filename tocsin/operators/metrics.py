@@ -14,8 +14,8 @@ P95_LIMIT_MS = 1000.0
 PROMPT_TOKEN_LIMIT = 3000
 
 SUCCESS = 200
-SKETCH_ACCURACY = 10000
-CELLS = 1024
+# Bits that each round of a selection finds, 64 in all.
+DIGITS = (22, 21, 21)
 
 
 def extract_metrics(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -45,7 +45,26 @@ def _look_up(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     """Add a per-group table's columns: by equi-join, or as one scalar without groups."""
     if by:
         return rows.join(table, by)
-    return rows.withColumns({c: table.select(c).scalar() for c in table.columns})
+    told = table.select(F.struct(*table.columns)).scalar()
+    return rows.withColumn("_told", told).select(*rows.columns, "_told.*")
+
+
+def _ordered(bits: Column) -> Column:
+    """Bits of a double to a number in the same order, and back."""
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def with_order_key(rows: DataFrame, value: str, name: str = "_key") -> DataFrame:
+    """A whole number of 64 bits for a double, in the same order; both zeros are one, and NaN is the largest."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value) + F.lit(0.0))
+    told = rows.withColumn(name, F.when(F.col(value).isNotNull(), bits.cast("bigint")))
+    return told.withColumn(name, _ordered(F.col(name)))
+
+
+def keyed_value(key: Column) -> Column:
+    """The double that an order key stands for."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), _ordered(key))
+    return F.when(key.isNotNull(), bits.cast("double"))
 
 
 def percentiles(
@@ -58,89 +77,53 @@ def percentiles(
 
     Percentile p is the value at position ``min(n - 1, floor(n * p))``, from 0,
     of the ascending values, and 0.0 for a group without successes.  A group may
-    hold most of the rows, so its values are never sorted in one task:
-
-    1. a mergeable sketch gives per group and p a narrow bracket,
-    2. rows are counted per cell of that bracket, which names the cell that
-       holds the wanted position (the sketch cannot make this wrong: rows below
-       and above the bracket are cells as well),
-    3. only the distinct values of that cell are ranked, with their counts.
+    hold most of the rows, and most of them one value or values very close to
+    each other, so values are never ranked.  They are selected by radix: each
+    round counts, before any shuffle, the values that share the bits found so far
+    by their next bits; the counts, at most four million for each group
+    and percentile, name the bits that hold the wanted position.
     """
-    by = by or []
-    shares = shares or PERCENTILES
-    values = metrics.select(
-        *by,
-        F.when(F.col("status_code") == SUCCESS, F.col(value).cast("double")).alias("_value"),
-    )
-    slack = 2.0 / SKETCH_ACCURACY
-    edges = [edge for p in shares.values() for edge in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketched = values.groupBy(*by).agg(
-        F.count("_value").alias("succeeded"),
-        F.percentile_approx("_value", edges, SKETCH_ACCURACY).alias("_edges"),
-    )
-    n = F.col("succeeded")
-    brackets = sketched.select(
-        *by,
-        F.array(
-            *(
-                F.struct(
-                    F.least(n - 1, F.floor(n * F.lit(p))).alias("rank"),
-                    F.col("_edges")[2 * i].alias("low"),
-                    F.col("_edges")[2 * i + 1].alias("high"),
-                )
-                for i, p in enumerate(shares.values())
-            )
-        ).alias("_brackets"),
-    )
-    low, high = F.col("_at.low"), F.col("_at.high")
-    step = F.coalesce((F.col("_value") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-    cell = (
-        F.when(F.col("_value") < low, -1)
-        .when(F.col("_value") > high, CELLS)
-        .otherwise(F.least(F.lit(CELLS - 1), F.floor(step * CELLS)))
-    )
-    placed = (
-        _look_up(values.filter(F.col("_value").isNotNull()), brackets, by)
-        .select(*by, "_value", F.posexplode("_brackets").alias("_share", "_at"))
-        .select(*by, "_share", "_value", F.col("_at.rank").alias("_rank"), cell.cast("int").alias("_cell"))
-    )
-    group = [*by, "_share"]
-    earlier = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        placed.groupBy(*group, "_rank", "_cell")
-        .agg(F.count("*").alias("_here"))
-        .withColumn("_before", F.coalesce(F.sum("_here").over(earlier), F.lit(0)))
-        .filter(F.col("_rank").between(F.col("_before"), F.col("_before") + F.col("_here") - 1))
-        .groupBy(*by)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_share", F.struct("_cell", "_before")))).alias("_wanted"))
-    )
-    upto = (
-        Window.partitionBy(*group)
-        .orderBy("_value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = (
-        _look_up(placed, wanted, by)
-        .withColumn("_target", F.col("_wanted")[F.col("_share")])
-        .filter(F.col("_cell") == F.col("_target._cell"))
-        .groupBy(*group, "_rank", F.col("_target._before").alias("_before"), "_value")
-        .agg(F.count("*").alias("_here"))
-        .withColumn("_reached", F.col("_before") + F.sum("_here").over(upto))
-        .filter(
-            (F.col("_rank") < F.col("_reached")) & (F.col("_rank") >= F.col("_reached") - F.col("_here"))
-        )
-    )
-    found = ranked.groupBy(*by).agg(
-        *(
-            F.max(F.when(F.col("_share") == i, F.col("_value"))).alias(name)
-            for i, name in enumerate(shares)
-        )
-    )
-    counts = sketched.select(*by, "succeeded")
+    by, shares = by or [], shares or PERCENTILES
+    good, names = F.col("status_code") == SUCCESS, range(len(shares))
+    keyed = metrics.select(*by, F.when(good, F.col(value).cast("double")).alias("_value"))
+    keyed = with_order_key(keyed, "_value").drop("_value")
+
+    shift = 64 - DIGITS[0]
+    cells = keyed.groupBy(*by, F.shiftright("_key", shift).alias("_cell")).agg(F.count("_key").alias("_here"))
+    group = Window.partitionBy(*by)
+    until = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = cells.select(*by, "_cell", "_here", F.sum("_here").over(until).alias("_until"), F.sum("_here").over(group).alias("_n"))
+    for i, p in enumerate(shares.values()):
+        counted = counted.withColumn(f"_rank{i}", F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))))
+    found = _found(counted, by, names, [F.lit(True) for _ in names])
+    counts = found.select(*by, F.coalesce("_n", F.lit(0)).alias("succeeded"))
+    for width in DIGITS[1:]:
+        known, shift = shift, shift - width
+        wanted = [c for i in names for c in (f"_cell{i}", f"_rank{i}")]
+        # A group's wanted bits are a few numbers, so they may ride along in the key of the counts.
+        rows = _look_up(keyed.filter(F.col("_key").isNotNull()), found.select(*by, "_n", *wanted), by)
+        prefix = F.shiftright("_key", known)
+        near = rows.withColumn("_prefix", prefix).filter(F.array_contains(F.array(*(f"_cell{i}" for i in names)), F.col("_prefix")))
+        cells = near.groupBy(*by, "_n", *wanted, "_prefix", F.shiftright("_key", shift).alias("_cell")).agg(F.count("*").alias("_here"))
+        until = Window.partitionBy(*by, "_prefix").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = cells.withColumn("_until", F.sum("_here").over(until))
+        found = _found(counted, by, names, [F.col(f"_cell{i}") == F.col("_prefix") for i in names])
+    told = [keyed_value(F.col(f"_cell{i}")).alias(name) for i, name in enumerate(shares)]
+    found = found.select(*by, *told)
     joined = counts.join(found, by, "left") if by else _look_up(counts, found, by)
     return joined.select(*by, "succeeded", *(F.coalesce(p, F.lit(0.0)).alias(p) for p in shares))
 
 
+def _found(counted: DataFrame, by: list[str], names: range, mine: list[Column]) -> DataFrame:
+    """Per group and percentile the cell that holds its position, among cells that are its own, and the position in it."""
+    picked = [F.max("_n").alias("_n")]
+    for i in names:
+        rank, before = F.col(f"_rank{i}"), F.col("_until") - F.col("_here")
+        here = mine[i] & (rank >= before) & (rank < F.col("_until"))
+        picked += [F.max(F.when(here, F.col("_cell"))).alias(f"_cell{i}"), F.max(F.when(here, rank - before)).alias(f"_rank{i}")]
+    return counted.groupBy(*by).agg(*picked)
+
+
 def token_means(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean (plain and to a whole number) and maximum of the successes' known tokens."""
     tokens = F.when(F.col("status_code") == SUCCESS, F.col("prompt_tokens"))
