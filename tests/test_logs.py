@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -124,6 +125,36 @@ def test_numbering_of_a_hot_key(spark):
         assert numbered.count() == 5000 and wrong.count() == 0
 
 
+def test_numbering_of_a_hot_second(spark, monkeypatch):
+    """One second of one key holds nine tenths of all records; no window holds more than a small share of them."""
+    frame = spark.range(40_000, numPartitions=4).select(
+        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 7).alias("incident_id"),
+        F.timestamp_micros(
+            F.when(F.col("id") % 10 < 9, 5_000_000 + F.col("id") * 7919 % 90).otherwise(F.col("id") * 1_000_003)
+        ).alias("ts"),
+        F.xxhash64("id").cast("string").alias("event_id"),
+    )
+    plain = F.row_number().over(Window.partitionBy("incident_id").orderBy("ts", "event_id")) - 1
+    want = {(r.event_id, r.want) for r in frame.select("event_id", plain.alias("want")).collect()}
+    monkeypatch.setattr(logs, "HOT_SECOND", 1000)
+    numbered = logs.number_lines(frame, "incident_id", "ts", "event_id")
+    assert {(r.event_id, r.line_no) for r in numbered.collect()} == want
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert any("row_number" in line and "_part" in line for line in plan.splitlines())
+    second = frame.withColumn("_second", F.unix_seconds("ts")).filter("incident_id = 1 AND _second = 5")
+    edges = logs._edges(second, ["incident_id", "_second"], "ts", "event_id").first()._edges
+    below = second.select(F.sum(F.lit(0)), *(F.count_if(F.struct("ts", "event_id") <= F.struct(F.lit(e.ts), F.lit(e.event_id))).alias(f"c{n}") for n, e in enumerate(edges))).first()[1:]
+    shares = [b - a for a, b in zip([0, *below], [*below, 36_000])]
+    assert len(edges) == logs.EDGES and max(shares) < 36_000 / 8
+
+
+def test_windows_out_of_range_are_refused(spark):
+    lines = spark.createDataFrame([(1, 0, "ERROR x")], "incident_id long, line_no long, raw string")
+    for width in (0, 51):
+        with pytest.raises(Exception, match="1 to 50"):
+            logs.preprocess_lines(lines, width).collect()
+
+
 def test_one_long_incident(spark):
     """A single incident in very many blocks of lines keeps its whole window."""
     lines = spark.range(20000).select(
@@ -136,7 +167,7 @@ def test_one_long_incident(spark):
     assert row.context.startswith("l10189\n") and row.context.endswith("\nl10289")
 
 
-def test_line_form_without_broadcast(spark):
+def test_line_form_without_broadcast(spark, monkeypatch):
     """The shuffled plan gives the same rows and is keyed by incident and block."""
     lines = spark.range(60000).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2).alias("incident_id"),
@@ -155,6 +186,16 @@ def test_line_form_without_broadcast(spark):
         shuffled = logs.preprocess_lines(lines, 7)
         assert sorted(map(str, shuffled.collect())) == usual
         assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        # With many anchors, lines are cut before they are shuffled; what is broadcast is marks, not anchors.
+        monkeypatch.setattr(logs, "FEW_ANCHORS", 0)
+        monkeypatch.setattr(logs, "MARKS", 8192)
+        marked = logs.preprocess_lines(lines, 7)
+        assert sorted(map(str, marked.collect())) == usual
+        spans = logs._spans(logs.crash_anchors(logs.tag_severity(lines)), 7, "incident_id")
+        blocked = lines.withColumn("_block", F.floor(F.col("line_no") / logs.BLOCK))
+        near = logs.near_anchors(blocked, spans, "incident_id").count()
+        named = blocked.join(spans.select("incident_id", "_block").distinct(), ["incident_id", "_block"]).count()
+        assert named <= near <= named + 60000 * 60 / 8192 + 512 and near < 60000 / 2
         window = logs.context_window(lines, logs.crash_anchors(logs.tag_severity(lines)), 7)
         plan = window._jdf.queryExecution().executedPlan().toString()
         assert "_block" in plan[plan.index("SortMergeJoin") :].splitlines()[0]

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tocsin import schemas
 from tocsin.functions.rows import computed_once
 from tocsin.functions.text import line_pieces, line_total, quarter_length, split_lines
+from tocsin.session import written
 
 # The severity words and tiers.  Case is spelt out so that only
 # ASCII letters (and the Kelvin sign, which folds to k) count as equal.
@@ -23,7 +25,10 @@ FATAL_WORDS = ["FATAL", "PANIC"]
 ERROR_WORDS = ["ERROR", "EXCEPTION", "TRACEBACK"]
 FATAL, ERROR, NOISE = "FATAL", "ERROR", "NOISE"
 
-BLOCK = 256
+# Lines of a block; numbers that mark blocks with a window; anchors beyond which they are used.
+BLOCK, MARKS, FEW_ANCHORS = 256, 1 << 21, 100_000
+# Records of a key in one second beyond which the second is cut, and the places it is cut at.
+HOT_SECOND, EDGES = 1 << 18, 64
 
 
 def _any_word(words: list[str]) -> str:
@@ -68,25 +73,41 @@ def number_lines(
     """Number the records of each key from 0 in order of time, then ``tie``.
 
     The numbering is worked out per key *and second*, on top of how many records
-    the key had in earlier seconds.  No task ever holds a whole key: the counts
-    are pre-aggregated, and a key has one count per second of its life.
+    the key had in earlier seconds.  A second of more than ``HOT_SECOND`` records
+    of one key is cut further, at records that are sampled from it, so no task
+    holds a whole key or a whole hot second.  Tables of no more records have none.
     """
     zoned = dict(records.dtypes)[moment] == "timestamp"
     second = F.unix_seconds(moment) if zoned else F.left(F.col(moment).cast("string"), F.lit(19))
     timed = records.withColumn("_second", second)
-    counts = timed.groupBy(key, "_second").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        key, "_second", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
-    )
-    within = Window.partitionBy(key, "_second").orderBy(moment, tie)
+    group = [key, "_second"]
+    counts = timed.groupBy(*group).agg(F.count("*").alias("_n"))
+    hot = counts.filter(F.col("_n") > HOT_SECOND)
+    if records.count() > HOT_SECOND and not hot.isEmpty():
+        edges = written(_edges(timed.join(hot.select(*group), group), group, moment, tie), "edges")
+        place = F.struct(moment, tie)
+        below = F.size(F.filter("_edges", lambda e: (e[moment] < place[moment]) | ((e[moment] == place[moment]) & (e[tie] <= place[tie]))))
+        cut = F.when(F.col("_edges").isNull(), 0).otherwise(below)
+        timed = timed.join(edges, group, "left").withColumn("_part", cut).drop("_edges")
+        group = [*group, "_part"]
+        counts = timed.groupBy(*group).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy(*group[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*group).orderBy(moment, tie)
     return (
-        timed.join(starts, [key, "_second"])
+        timed.join(starts, group)
         .withColumn(name, F.col("_start") + F.row_number().over(within) - 1)
-        .drop("_second", "_start")
+        .drop(*group[1:], "_start")
     )
 
 
+def _edges(records: DataFrame, group: list[str], moment: str, tie: str) -> DataFrame:
+    """Per group some of its records' places, in order: those whose hashes are smallest, found before any shuffle."""
+    drawn = Window.partitionBy(*group).orderBy(F.xxhash64(moment, tie), moment, tie)
+    few = records.withColumn("_drawn", F.row_number().over(drawn)).filter(F.col("_drawn") <= EDGES)
+    return few.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(moment, tie))).alias("_edges"))
+
+
 def tag_severity(lines: DataFrame) -> DataFrame:
     return lines.withColumn("severity", severity_of(F.col("raw")))
 
@@ -121,18 +142,10 @@ def crash_anchors(tagged: DataFrame, key: str = "incident_id") -> DataFrame:
     )
 
 
-def context_window(
-    lines: DataFrame, anchors: DataFrame, window: Column | int, key: str = "incident_id"
-) -> DataFrame:
-    """Lines from ``anchor - window`` to ``anchor + window``, both included.
-
-    ``window`` may differ per anchor row.  Each anchor names the one or two
-    blocks of line numbers its window touches, and lines meet anchors on key and
-    block.  Spark broadcasts the anchors when their measured size allows it and
-    otherwise shuffles by (key, block), so no key lands in one task as a whole.
-    """
+def _spans(anchors: DataFrame, window: Column | int, key: str) -> DataFrame:
+    """The anchors' windows, a row for each block of line numbers that a window touches."""
     width = F.lit(window) if isinstance(window, int) else window
-    spans = (
+    return (
         anchors.filter(F.col("anchor").isNotNull())
         .select(
             key,
@@ -146,9 +159,38 @@ def context_window(
             F.explode(F.sequence(F.floor(F.col("_low") / BLOCK), F.floor(F.col("_high") / BLOCK))),
         )
     )
+
+
+def near_anchors(lines: DataFrame, spans: DataFrame, key: str, marks: int | None = None) -> DataFrame:
+    """Lines whose key and block some span names, and a few others, found where the lines lie.
+
+    The blocks' hashes are numbers below ``marks``, so however many spans there are, no
+    more than that many numbers are broadcast.  The lines need ``_block``.
+    """
+    marks = marks or MARKS
+    mark = F.pmod(F.xxhash64(key, "_block"), F.lit(marks)).alias("_mark")
+    known = spans.select(mark).distinct()
+    return lines.withColumn("_mark", mark).join(F.broadcast(known), "_mark", "left_semi").drop("_mark")
+
+
+def context_window(
+    lines: DataFrame, anchors: DataFrame, window: Column | int, key: str = "incident_id", marked: bool = False
+) -> DataFrame:
+    """Lines from ``anchor - window`` to ``anchor + window``, both included.
+
+    ``window`` may differ per anchor row.  Each anchor names the one or two
+    blocks of line numbers its window touches, and lines meet anchors on key and
+    block.  Spark broadcasts the anchors when their measured size allows it and
+    otherwise shuffles by (key, block), so no key lands in one task as a whole.
+    For such many anchors ``marked`` first drops, in the scan's stage, lines of blocks
+    without a window, so that hardly any other line is shuffled.
+    """
+    spans = _spans(anchors, window, key)
+    blocked = lines.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
+    if marked:
+        blocked = near_anchors(blocked, spans, key)
     return (
-        lines.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
-        .join(spans, [key, "_block"])
+        blocked.join(spans, [key, "_block"])
         .filter(F.col("line_no").between(F.col("_low"), F.col("_high")))
         .drop("_block", "_low", "_high")
     )
@@ -170,10 +212,20 @@ def token_estimate(context: Column) -> Column:
 def preprocess_lines(
     lines: DataFrame, window: Column | int, key: str = "incident_id"
 ) -> DataFrame:
-    """Line form of the whole stage: one row per key, nulls and 0 without anchor."""
-    anchors = crash_anchors(tag_severity(lines), key)
-    text = context_text(context_window(lines.select(key, "line_no", "raw"), anchors, window, key), key)
-    return anchors.join(text, key, "left").select(
+    """Line form of the whole stage; one row per key, nulls and 0 without anchor.  A window has 1 to 50 lines.
+
+    Where there may be too many anchors to be broadcast whole, they are found first
+    and written, and lines far from every anchor are dropped where they lie.
+    """
+    width = F.lit(window) if isinstance(window, int) else window
+    allowed = width.between(schemas.WINDOW_MIN, schemas.WINDOW_MAX)
+    width = F.when(allowed, width).otherwise(F.raise_error(F.lit("a window has 1 to 50 lines")).cast("bigint"))
+    anchors, many = crash_anchors(tag_severity(lines), key), False
+    if lines.count() > FEW_ANCHORS:
+        anchors = written(anchors, "anchors")
+        many = anchors.count() > FEW_ANCHORS
+    near = context_window(lines.select(key, "line_no", "raw"), anchors, width, key, many)
+    return anchors.join(context_text(near, key), key, "left").select(
         key,
         "n_lines",
         "anchor",

@@ -12,7 +12,7 @@ from tocsin import schemas
 from tocsin.functions.text import split_lines
 from tocsin.operators import agents, answers, governance, logs, metrics, prompts, reports, validation
 from tocsin.plans import inputs, triage
-from tocsin.session import shared_folder
+from tocsin.session import shared_folder, written
 from tocsin.sources import requests as request_sources
 from tocsin.sources import rules as rule_sources
 from tocsin.sources import sinks
@@ -72,10 +72,15 @@ def anchor_severity(spark, folder):
     return _anchors(spark, folder).filter("anchor IS NOT NULL").select("incident_id", "anchor_severity")
 
 
+def _stored_lines(spark, folder) -> DataFrame:
+    """The line table as it would be stored: numbered once."""
+    return written(inputs.log_lines(spark, folder), "lines")
+
+
 def _window_lines(spark, folder) -> DataFrame:
-    return logs.context_window(
-        inputs.log_lines(spark, folder), _anchors(spark, folder), F.expr(inputs.LINE_WINDOW)
-    )
+    lines = _stored_lines(spark, folder)
+    anchors = logs.crash_anchors(logs.tag_severity(lines))
+    return logs.context_window(lines, anchors, F.expr(inputs.LINE_WINDOW))
 
 
 @query
@@ -95,7 +100,7 @@ def token_estimate(spark, folder):
 
 @query
 def preprocess_lines(spark, folder):
-    return logs.preprocess_lines(inputs.log_lines(spark, folder), F.expr(inputs.LINE_WINDOW))
+    return logs.preprocess_lines(_stored_lines(spark, folder), F.expr(inputs.LINE_WINDOW))
 
 
 @query

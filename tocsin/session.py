@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  They are defaults only: whatever the cluster
 # or the caller sets wins.
@@ -59,6 +59,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, purpose: str) -> DataFrame:
+    """A table on the way, written to a shared folder and read back: worked out once, whatever uses it."""
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
