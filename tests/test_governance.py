@@ -1,10 +1,12 @@
+import hashlib
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tocsin import schemas
-from tocsin.operators import governance
+from tocsin.operators import answers, governance, reports, screening
 from tocsin.sources.rules import read_rules, rules_from, write_rules
 
 RULES = governance.Rules()
@@ -178,5 +180,77 @@ def test_rules_must_compile_in_the_engine(spark):
         [("rm x", "shell", False)], "remediation_command string, command_type string, requires_human_approval boolean"
     )
     assert governance.decide(frame, named).collect()[0].governance.guardrail_triggered
+    again = rules_from(spark.createDataFrame([("deny", None, 1, r"(?P<x>r.)\s(?P=x)\b")], schemas.RULE))
+    frame = spark.createDataFrame([(c, "shell", False) for c in ("rm rm", "rm rn")], frame.schema)
+    assert [r.governance.guardrail_triggered for r in governance.decide(frame, again).collect()] == [True, True]
+    assert [r.governance.matched_denylist_pattern is None for r in governance.decide(frame, again).collect()] == [False, True]
     with pytest.raises(ValueError):
-        rules_from(spark.createDataFrame([("deny", None, 1, r"(?P<x>a)(?P=x)")], schemas.RULE))
+        rules_from(spark.createDataFrame([("deny", None, 1, r"(a)?(?(1)b|c)")], schemas.RULE))
+
+
+def test_rule_texts_are_what_they_should_be():
+    """The lists' own digest, so that a slip in either shows."""
+    spelt = "\n".join(governance.DENY_PATTERNS) + "\n\n" + "\n".join(
+        f"{kind} {prefix}" for kind, prefixes in governance.ALLOWED_PREFIXES.items() for prefix in prefixes
+    )
+    assert len(governance.DENY_PATTERNS) == 17 and sum(map(len, governance.ALLOWED_PREFIXES.values())) == 27
+    assert hashlib.sha256(spelt.encode()).hexdigest() == "9d70cd1d73dd8c704a5137aad9915802017b0fd2bc62cd2bc733dbcfc0bfd567"
+    texts = [governance.DENIED, governance.NOT_ALLOWED, reports.ESCALATION, reports.DEFAULT_REASON, answers.UNAVAILABLE]
+    texts += list(reports.NO_ANCHOR.values())
+    assert hashlib.sha256("\n".join(texts).encode()).hexdigest() == "295ec8582ab89467cd9bf953b1dd35b9d062258df8f6a5e872d938de5e111a80"
+
+
+@pytest.mark.parametrize("pattern,literals", [
+    (r"\brm\s+-rf\b", {"-rf"}),
+    (r"\bDROP\s+(TABLE|DATABASE|SCHEMA)\b", {"table", "database", "schema"}),
+    (r"(abc)+x?", {"abc"}),
+    (r"(abc)*", None),
+    (r"a|", None),
+    (r"[ab]\d", None),
+    (r"(?:foo|(?:ba|bar)z)", {"foo", "ba"}),
+    (r"é+x(?=yy)", {"x"}),
+    (r"K\b-b", {"k-b"}),
+])
+def test_literals_that_a_match_needs(pattern, literals):
+    assert screening.needed_literals(pattern) == literals
+
+
+def test_screens_find_what_all_patterns_find():
+    rng = random.Random(4)
+    parts = ["rm", "\\s+", "-rf", "(a|bc)", "k?", "\\b", "s[xy]", "(?:i0){1,2}", "\u017f", "(?!z)", ".*", "É"]
+    words = ["rm ", "-RF", "a", "bc", "K", "\u212a", "\u017fx", "sy", "I0i0", "\u01300", "\u0131", " ", "z", "é", "\x1c"]
+    patterns = []
+    while len(patterns) < 300:
+        pattern = "".join(rng.choices(parts, k=rng.randint(1, 4)))
+        patterns.append(pattern)
+    screen = screening.Screen(patterns)
+    tried = 0
+    for _ in range(400):
+        text = "".join(rng.choices(words, k=rng.randint(0, 8)))
+        hits = [n for n, p in enumerate(patterns) if re.search(p, text, re.IGNORECASE)]
+        assert set(hits) <= set(screen.candidates(text)), text
+        assert screen.first(text) == (hits[0] + 1 if hits else None)
+        tried += len(screen.candidates(text))
+    assert tried < 400 * 300 * 0.6
+
+
+def test_time_hardly_grows_with_the_rules():
+    """Patterns tried for a command: a few, of 17 rules or of 5,000."""
+    small = screening.Screen(governance.DENY_PATTERNS)
+    large = screening.Screen(governance.DENY_PATTERNS + [rf"\bworker-{k}\b" for k in range(4983)])
+    texts = [f"systemctl restart worker-{n}" for n in range(300)] + [c for c, *_ in DENIED]
+    tried = [sum(len(s.candidates(t)) for t in texts) for s in (small, large)]
+    assert tried[1] <= tried[0] + 4 * len(texts)
+
+
+def test_first_prefix_of_fifty_thousand(spark):
+    rows = [("allow", "shell", n + 1, f"run /{n}") for n in range(50_000)] + [("allow", "sql", 1, "run /7"), ("allow", "shell", 60_000, "run")]
+    rules = rules_from(spark.createDataFrame(rows, schemas.RULE))
+    given = [("run /123 x", "shell"), ("run x", "shell"), ("run /7", "sql"), ("run /8", "sql"), ("ru", "shell"), ("run /1", None), (None, "shell"), ("", "helm")]
+    frame = spark.createDataFrame([(n, *g, False) for n, g in enumerate(given)], "n int, remediation_command string, command_type string, requires_human_approval boolean")
+    got = {r.n: r.verb for r in governance.judge(frame, rules).collect()}
+    want = {}
+    for n, (command, kind) in enumerate(given):
+        fits = [(o, p) for _, k, o, p in rows if command and k == kind and command.startswith(p)]
+        want[n] = min(fits)[1] if fits else None
+    assert got == want

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tocsin import schemas
 from tocsin.functions.rows import computed_once
 from tocsin.functions.text import sql_text, strip
+from tocsin.operators.screening import first_screened, with_first_prefix
 
 DENY, ALLOW = "deny", "allow"
 
@@ -79,7 +80,7 @@ NOT_ALLOWED = (
 )
 
 
-# Rules of one expression; longer tables take more steps, each for the rows still open.
+# Rules of one expression; longer tables are screened first.
 CHUNK = 200
 
 
@@ -107,10 +108,14 @@ def engine_pattern(pattern: str) -> str:
     """A deny pattern with the meaning it has for Python, ignoring case.
 
     Letters fold by Unicode, only LF ends a line, and white space includes the
-    four separators 0x1C to 0x1F.  Groups may have names.
+    four separators 0x1C to 0x1F.  Groups may have names and be referred to by them.
     """
     meant = {r"\s": r"[\s\x1c-\x1f]", "(?P<": "(?<"}
-    return "(?iUd)" + re.sub(r"\\.|\(\?P<", lambda m: meant.get(m[0], m[0]), pattern, flags=re.S)
+
+    def translated(found: re.Match) -> str:
+        return rf"\k<{found[1]}>" if found[1] else meant.get(found[0], found[0])
+
+    return "(?iUd)" + re.sub(r"\\.|\(\?P=(\w+)\)|\(\?P<", translated, pattern, flags=re.S)
 
 
 def normalised(command: Column) -> Column:
@@ -121,31 +126,11 @@ def is_noop(command: Column, command_type: Column) -> Column:
     return F.coalesce(command_type == "none", F.lit(False)) | (command == "")
 
 
-def chunks(rules: Rules) -> list[tuple[int, Rules]]:
-    """Rule sets of at most ``CHUNK`` rules of a kind, in order, and the deny patterns before each."""
-    allowed = [(kind, p) for kind, prefixes in rules.allow.items() for p in prefixes]
-    out = []
-    for start in range(0, max(len(rules.deny), len(allowed), 1), CHUNK):
-        allow: dict[str, list[str]] = {}
-        for kind, prefix in allowed[start : start + CHUNK]:
-            allow.setdefault(kind, []).append(prefix)
-        out.append((start, Rules(rules.deny[start : start + CHUNK], allow)))
-    return out
-
-
-def decided_in_steps(frame: DataFrame, name: str, steps: list[Column]) -> DataFrame:
-    """Column ``name`` from the first step that gives a value; later ones see only rows left open."""
-    frame = computed_once(frame, {name: steps[0]})
-    for step in steps[1:]:
-        frame = computed_once(frame, {name: F.coalesce(F.col(name), step)})
-    return frame
-
-
-def first_denied(rules: Rules, before: int = 0) -> Column:
-    """Position (from 1, after ``before`` others) of the first deny pattern found in ``cmd``, or null."""
+def first_denied(rules: Rules) -> Column:
+    """Position (from 1) of the first deny pattern found in ``cmd``, or null."""
     tests = [
         f"WHEN cmd RLIKE {sql_text(engine_pattern(p))} THEN {n}"
-        for n, p in enumerate(rules.deny, before + 1)
+        for n, p in enumerate(rules.deny, 1)
     ]
     return F.expr(f"CASE {' '.join(tests)} END" if tests else "CAST(NULL AS INT)")
 
@@ -170,20 +155,37 @@ def judge(commands: DataFrame, rules: Rules) -> DataFrame:
     """Add the normalised command and what each rule says about it.
 
     Columns ``cmd``, ``noop``, ``deny_pattern`` and ``verb``; later rules are
-    looked at only where earlier ones have not decided.
+    looked at only where earlier ones have not decided.  Tables of more than
+    ``CHUNK`` rules of a kind are screened (``tocsin.operators.screening``).
     """
+    if max(len(rules.deny), sum(map(len, rules.allow.values()))) > CHUNK:
+        return judge_screened(commands, rules)
     cmd, kind, noop = F.col("cmd"), F.col("command_type"), F.col("noop")
     clean = commands.withColumn("cmd", normalised(F.col("remediation_command")))
-    first, *others = [part for _, part in chunks(rules)]
     denied = computed_once(
         clean.withColumn("noop", is_noop(cmd, kind)),
-        {"cmd": cmd, "noop": noop, "deny_pattern": F.when(~noop, denied_pattern(first))},
+        {"cmd": cmd, "noop": noop, "deny_pattern": F.when(~noop, denied_pattern(rules))},
     )
-    if others:
-        later = [F.when(~noop, denied_pattern(part)) for part in others]
-        denied = decided_in_steps(denied, "deny_pattern", [F.col("deny_pattern"), *later])
     still = ~noop & F.col("deny_pattern").isNull()
-    return decided_in_steps(denied, "verb", [F.when(still, allowed_verb(part)) for part in [first, *others]])
+    return computed_once(denied, {"verb": F.when(still, allowed_verb(rules))})
+
+
+def judge_screened(commands: DataFrame, rules: Rules) -> DataFrame:
+    """``judge`` for rule tables of any size."""
+    clean = commands.withColumn("cmd", normalised(F.col("remediation_command")))
+    clean = computed_once(clean, {"cmd": F.col("cmd"), "noop": is_noop(F.col("cmd"), F.col("command_type"))})
+    asked = clean.withColumn("_asked", F.when(~F.col("noop"), F.col("cmd")))
+    place = asked.withColumn("_place", first_screened(asked, rules.deny, "_asked"))
+    denied = with_pattern(place, rules).drop("_place")
+    still = denied.withColumn("_asked", F.when(F.col("deny_pattern").isNull(), F.col("_asked")))
+    prefixes = rules.table(commands.sparkSession).filter(F.col("kind") == ALLOW).drop("kind")
+    return with_first_prefix(still, prefixes, "verb", "_asked").drop("_asked")
+
+
+def with_pattern(placed: DataFrame, rules: Rules) -> DataFrame:
+    """The text of the deny pattern at ``_place``, by a join with the rule rows."""
+    table = rules.table(placed.sparkSession).filter(F.col("kind") == DENY)
+    return placed.join(table.select(F.col("ordinal").alias("_place"), F.col("pattern").alias("deny_pattern")), "_place", "left")
 
 
 def decide(commands: DataFrame, rules: Rules, verdicts: bool = False) -> DataFrame:
@@ -229,10 +231,11 @@ def denied_by_table(commands: DataFrame, rules: Rules, spark: SparkSession) -> D
     other columns a rule table carries.
     """
     clean = commands.withColumn("cmd", normalised(F.col("remediation_command")))
-    positioned = (
-        decided_in_steps(clean, "ordinal", [first_denied(part, start) for start, part in chunks(rules)])
-        .filter(F.col("ordinal").isNotNull() & ~is_noop(F.col("cmd"), F.col("command_type")))
-    )
+    if len(rules.deny) > CHUNK:
+        positioned = clean.withColumn("ordinal", first_screened(clean, rules.deny))
+    else:
+        positioned = computed_once(clean, {"ordinal": first_denied(rules)})
+    positioned = positioned.filter(F.col("ordinal").isNotNull() & ~is_noop(F.col("cmd"), F.col("command_type")))
     deny_rows = rules.table(spark).filter(F.col("kind") == DENY).select("ordinal", "pattern")
     return positioned.join(deny_rows, "ordinal")
 

@@ -339,6 +339,27 @@ check(
     ["decided"],
     "SELECT command_id, command_type, verb FROM decided WHERE verb IS NOT NULL",
 )
+_MORE_DENY = inputs.LARGE_DENY - len(RULES.deny)
+_MORE_ALLOW = inputs.LARGE_ALLOW - sum(map(len, RULES.allow.values()))
+view(
+    "largely_judged",
+    ["decided"],
+    "SELECT command_id, command_type, CASE WHEN hit IS NOT NULL THEN deny_pattern WHEN number IS NOT NULL AND "
+    f"number < {_MORE_DENY} THEN '\\bworker-' || number || '\\b' END AS deny_pattern, CASE WHEN verb IS NOT NULL THEN verb WHEN "
+    f"place < {_MORE_ALLOW} AND command_type = 'shell' THEN 'bash /srv/' || place || '/' END AS verb FROM (SELECT *, "
+    "TRY_CAST(regexp_extract(cmd, '(?i)\\bworker-([0-9]+)\\b', 1) AS BIGINT) AS number, "
+    "TRY_CAST(regexp_extract(cmd, '^bash /srv/([0-9]+)/', 1) AS BIGINT) AS place FROM decided WHERE NOT noop)",
+)
+check(
+    "gov_deny_large",
+    ["largely_judged"],
+    "SELECT command_id, deny_pattern FROM largely_judged WHERE deny_pattern IS NOT NULL",
+)
+check(
+    "gov_allow_large",
+    ["largely_judged"],
+    "SELECT command_id, command_type, verb FROM largely_judged WHERE deny_pattern IS NULL AND verb IS NOT NULL",
+)
 check(
     "gov_approval",
     ["decided"],

@@ -189,6 +189,18 @@ CATALOGUE = [
 ]
 
 
+# Rules of the large tables: each names a number that some commands hold.
+LARGE_DENY, LARGE_ALLOW = 5_000, 50_000
+
+
+def large_rules(deny: list[str], allow: dict[str, list[str]]) -> tuple[list[str], dict[str, list[str]]]:
+    """The given rules, and so many more that there are ``LARGE_DENY`` patterns and ``LARGE_ALLOW`` prefixes."""
+    more = [rf"\bworker-{n}\b" for n in range(LARGE_DENY - len(deny))]
+    known = sum(map(len, allow.values()))
+    paths = [f"bash /srv/{n}/" for n in range(LARGE_ALLOW - known)]
+    return deny + more, allow | {"shell": allow["shell"] + paths}
+
+
 def command_columns(d: Dialect) -> dict[str, str]:
     n = len(CATALOGUE)
     text = d.pick(f"event_id % {n}", [quoted(c) for c, _ in CATALOGUE])

@@ -266,6 +266,24 @@ def gov_allow(spark, folder):
     return _judged(spark, folder).filter("verb IS NOT NULL").select("command_id", "command_type", "verb")
 
 
+def _large_rules() -> governance.Rules:
+    return governance.Rules(*inputs.large_rules(RULES.deny, RULES.allow))
+
+
+@query
+def gov_deny_large(spark, folder):
+    """The first of 5,000 deny patterns."""
+    judged = governance.judge(inputs.commands(spark, folder), _large_rules())
+    return judged.filter("deny_pattern IS NOT NULL").select("command_id", "deny_pattern")
+
+
+@query
+def gov_allow_large(spark, folder):
+    """The first of 50,000 prefixes."""
+    judged = governance.judge(inputs.commands(spark, folder), _large_rules())
+    return judged.filter("verb IS NOT NULL").select("command_id", "command_type", "verb")
+
+
 @query
 def gov_approval(spark, folder):
     """Commands that wait for a human, with what would have allowed them."""
