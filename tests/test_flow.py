@@ -170,6 +170,35 @@ def test_prompts_are_filled_once(spark):
     assert "of a FATAL incident" in row.d
 
 
+def test_templates_come_from_a_table(spark):
+    frame = spark.createDataFrame(
+        [(1, "log {metadata}", "pay", "prod", 1), (2, "x", "pay", None, 2), (3, None, "a", "b", 1), (4, "x", "a", "b", 9)],
+        "n int, context string, service_name string, environment string, v int",
+    )
+    table = prompts.template_rows(spark).unionByName(
+        prompts.template_rows(spark, {"severity": "{context}{context} {environment}{not a name}{}", "unified": ""}, 2)
+    )
+    got = {
+        r.n: r.prompt
+        for r in prompts.prompts_from_table(frame, table, "severity", prompts.asked_values(), F.col("v")).collect()
+    }
+    single = {r.n: r.p for r in frame.select("n", prompts.severity_prompt().alias("p")).collect()}
+    assert got == {1: single[1], 2: "xx unknown{not a name}{}", 3: None, 4: None}
+    newest = prompts.prompts_from_table(frame, table, "unified", prompts.asked_values()).collect()
+    assert [r.prompt for r in newest] == [""] * 4
+    for rows in (
+        [("severity", 1, "{root_cause}")],
+        [("severity", 1, "a"), ("severity", 1, "b")],
+        [("else", 1, "a")],
+        [("severity", None, "a")],
+        [("severity", 1, None)],
+    ):
+        with pytest.raises(Exception, match="template"):
+            prompts.compiled(spark.createDataFrame(rows, schemas.TEMPLATE)).collect()
+    for agent, body in prompts.TEMPLATES.items():
+        assert {name for _, name in prompts.pieces(body) if name} <= set(prompts.QUOTABLE[agent])
+
+
 def blocked_chain(incident):
     rows = chain(incident)
     proposal = {"remediation_command": "rm -rf /srv", "command_type": "shell", "requires_human_approval": False}

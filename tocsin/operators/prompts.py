@@ -1,18 +1,20 @@
 """Prompts as projections over incident columns.
 
-Templates are data: a body per agent with placeholders in braces, and every
-prompt takes another body as an argument.  A body is cut at its placeholders
-once, on the driver, and becomes one ``concat`` of literals and columns; text
-that arrives in a column is never expanded again.
+Templates are data: a body per agent with placeholders in braces.  A single body
+is cut at its placeholders once, on the driver, and becomes one ``concat`` of
+literals and columns.  A table of templates, in several versions, is compiled
+to pieces as rows and joined by agent and version.  Either way text that
+arrives in a column is never expanded again.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tocsin import schemas
 from tocsin.functions.text import json_quote
 
 _ANSWER = "Answer with one JSON object and nothing around it. Fields:\n"
@@ -148,3 +150,86 @@ def postmortem_prompt(
             "context": F.col("context"),
         },
     )
+
+
+# --- templates as a table ----------------------------------------------------
+
+PLACEHOLDER = r"\{([A-Za-z0-9_]+)\}"
+_ASKED = ["context", "metadata", "service_name", "environment"]
+# Names that a template of each agent may quote.
+QUOTABLE = {
+    "severity": _ASKED,
+    "diagnostic": [*_ASKED, "severity"],
+    "remediation": [*_ASKED, "severity", "root_cause", "explanation"],
+    "postmortem": [*_ASKED, "severity", "root_cause", "explanation", "command"],
+    "unified": _ASKED,
+}
+
+
+def template_rows(spark: SparkSession, bodies: dict[str, str] | None = None, version: int = 1) -> DataFrame:
+    """agent, version, body: one version of some agents' templates."""
+    rows = [(agent, version, body) for agent, body in (bodies or TEMPLATES).items()]
+    return spark.createDataFrame(rows, schemas.TEMPLATE)
+
+
+def compiled(templates: DataFrame) -> DataFrame:
+    """agent, version and pieces (text, and the name that follows it, null at the end) of every template.
+
+    A table is refused as a whole, by an error that names the row, for an
+    unknown agent, an absent version or body, a name that the agent's templates
+    may not quote, or a version that an agent has twice.
+    """
+    allowed = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in QUOTABLE.items() for x in kv))
+    texts, names = F.split("body", PLACEHOLDER, -1), F.regexp_extract_all("body", F.lit(PLACEHOLDER), F.lit(1))
+    told = templates.groupBy("agent", "version").agg(F.min("body").alias("body"), F.count("*").alias("_rows"))
+    told = told.withColumns({"_names": names, "_texts": texts, "_allowed": F.try_element_at(allowed, F.col("agent"))})
+    fault = (
+        F.when(F.col("_allowed").isNull(), "unknown agent")
+        .when(F.col("version").isNull() | F.col("body").isNull(), "version or body is absent")
+        .when(F.col("_rows") > 1, "version occurs twice")
+        .when(F.size(F.array_except("_names", "_allowed")) > 0, "placeholder the agent has no value for")
+    )
+    where = F.concat(F.coalesce("agent", F.lit("?")), F.lit(" "), F.coalesce(F.col("version").cast("string"), F.lit("?")))
+    pieces_of = F.transform("_texts", lambda t, i: F.struct(t.alias("text"), F.get("_names", i).alias("name")))
+    checked = F.when(fault.isNull(), pieces_of).otherwise(F.raise_error(F.concat(F.lit("template "), where, F.lit(": "), fault)))
+    return told.select("agent", "version", checked.alias("pieces"))
+
+
+def newest(templates: DataFrame) -> DataFrame:
+    """Each agent's template of the highest version."""
+    return templates.groupBy("agent").agg(F.max("version").alias("version"), F.max_by("body", "version").alias("body"))
+
+
+def prompts_from_table(
+    asked: DataFrame, templates: DataFrame, agent: str, values: dict[str, Column], version: Column | None = None
+) -> DataFrame:
+    """Add ``prompt`` from the agent's template of each row's ``version``, by default the newest.
+
+    ``values`` gives a column for every name that the templates quote; as in a
+    single body, a null value makes the prompt null.  A row whose version the
+    table does not have has a null prompt.
+    """
+    own = templates if version is not None else newest(templates)
+    table = compiled(own).filter(F.col("agent") == agent).select(F.col("version").alias("_version"), "pieces")
+    wanted = asked.withColumn("_wanted", version.cast("int") if version is not None else table.select(F.max("_version")).scalar())
+    given = F.create_map(*(x for name, column in values.items() for x in (F.lit(name), column.cast("string"))))
+    rows = wanted.withColumn("_given", given).join(table, F.col("_wanted") == F.col("_version"), "left")
+
+    def spelt(piece: Column) -> Column:
+        return F.when(piece["name"].isNull(), piece["text"]).otherwise(
+            F.concat(piece["text"], F.try_element_at("_given", piece["name"]))
+        )
+
+    parts = F.transform("pieces", spelt)
+    prompt = F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+    return rows.withColumn("prompt", prompt).drop("_wanted", "_given", "_version", "pieces")
+
+
+def asked_values() -> dict[str, Column]:
+    """Values that every agent's templates may quote, as columns of incidents."""
+    return {
+        "context": F.col("context"),
+        "metadata": _origin(),
+        "service_name": F.coalesce("service_name", F.lit("unknown")),
+        "environment": F.coalesce("environment", F.lit("unknown")),
+    }

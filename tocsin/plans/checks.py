@@ -631,6 +631,13 @@ for _agent in ("severity", "unified"):
         ["anchored"],
         f"SELECT request_id, {_prompt(_agent, _BASE)} AS prompt FROM anchored",
     )
+check(
+    "prompt_from_table",
+    ["anchored"],
+    f"SELECT request_id, CAST(request_id % 2 + 1 AS INTEGER) AS version, CASE request_id % 2 WHEN 0 THEN "
+    f"{_prompt('severity', _BASE)} ELSE 'Service ' || service_name || ' in ' || environment || ' says:' || chr(10) || context "
+    f"|| chr(10) || 'Is it fatal? ' || {_META} END AS prompt FROM anchored",
+)
 _HAVE = "agent_severity IS NOT NULL"
 check(
     "prompt_diagnostic",

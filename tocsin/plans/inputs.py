@@ -111,6 +111,9 @@ def request_columns(d: Dialect) -> dict[str, str]:
 # Requests whose dumps make one log file.
 DUMPS_PER_FILE = 20
 
+# A second version of a template.
+OTHER_SEVERITY = "Service {service_name} in {environment} says:\n{context}\nIs it fatal? {metadata}"
+
 # --- log lines: every event is one line of its user's incident --------------
 
 LEVEL = (

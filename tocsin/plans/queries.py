@@ -525,6 +525,17 @@ def prompt_unified(spark, folder):
     return _anchored(spark, folder).select("request_id", prompts.unified_prompt().alias("prompt"))
 
 
+@query
+def prompt_from_table(spark, folder):
+    """Severity prompts from a table of two versions; requests take one or the other."""
+    table = prompts.template_rows(spark).unionByName(
+        prompts.template_rows(spark, {"severity": inputs.OTHER_SEVERITY}, 2)
+    )
+    version = (F.col("request_id") % 2 + 1).cast("int")
+    asked = prompts.prompts_from_table(_anchored(spark, folder), table, "severity", prompts.asked_values(), version)
+    return asked.select("request_id", version.alias("version"), "prompt")
+
+
 @query
 def metadata_json(spark, folder):
     """Over the texts themselves as service names, so that escapes are met."""

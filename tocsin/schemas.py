@@ -58,6 +58,14 @@ RULE = T.StructType(
     ]
 )
 
+TEMPLATE = T.StructType(
+    [
+        T.StructField("agent", T.StringType()),
+        T.StructField("version", T.IntegerType()),
+        T.StructField("body", T.StringType()),
+    ]
+)
+
 ATTEMPT = T.StructType(
     [
         T.StructField("incident_id", T.LongType()),
