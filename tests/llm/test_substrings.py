@@ -43,6 +43,22 @@ def test_kept_words_equal_brute_force(spark, limit):
         assert sum(s["length"] for s in r.removed_spans) == size - len(kept.split(" ") if kept else [])
 
 
+def test_a_hot_anchor_is_not_one_task(spark):
+    """Thousands of different segments around one common passage end in many partitions."""
+    pick = random.Random(5)
+    common = [f"c{n}" for n in range(40)]
+    texts = [" ".join([f"a{pick.random()}" for _ in range(5)] + common + [f"b{pick.random()}"]) for _ in range(3000)]
+    frame = documents(spark, texts)
+    found = substrings.deduplicated(frame)
+    assert {r.kept_text for r in found.collect()} == {" ".join(t.split()[:5] + t.split()[45:]) for t in texts}
+    marks = substrings.all_segments(frame, substrings.WINDOW)
+    largest = marks.groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert largest >= 3000
+    segments = marks.select("anchor", "seg").distinct()
+    dealt = segments.selectExpr("pmod(hash(xxhash64(anchor, seg)), 16) AS p").groupBy("p").count().collect()
+    assert max(r["count"] for r in dealt) < 2 * segments.count() / 16
+
+
 def test_rows_that_share_ids_and_parts_of_long_texts(spark, monkeypatch):
     text = " ".join(f"w{n}" for n in range(60))
     frame = documents(spark, [text, text, "other " + text[:300]])

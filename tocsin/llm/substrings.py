@@ -10,8 +10,11 @@ Only the distinct segments of the other anchors are references.  An anchor's
 segments make a shard: its suffix automaton, with occurrence counts, is built
 in the task that streams the shard's segments for matching statistics, since
 broadcasting all shards to all documents would grow with the square of the
-corpus.  An anchor with more than ``SEGMENTS`` distinct segments is not put
-into one automaton; its window hashes are counted by an aggregate instead.
+corpus.  An anchor that occurs more than ``SEGMENTS`` times, which the first
+aggregate tells, is never brought to one task: its segments are dealt out by
+themselves and split into their windows, and the windows' hashes are counted by
+an aggregate.  (Automata of parts of such an anchor would each have to see all
+of its segments, which grows with their square.)
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from tocsin.llm.shared import SLICE, arrow_mapped, mapped, stored, typed
 
-# Words of a window and of an anchor, windows handled at one time, and segments of an automaton.
+# Words of a window and of an anchor, windows handled at one time, and segments of an anchor that is one automaton.
 WINDOW, GRAM, PART, SEGMENTS = 35, 6, 1 << 18, 64
 
 
@@ -217,26 +220,22 @@ class Automaton:
         return out
 
 
-def _judged(window: int, limit: int):
-    """Sorted (anchor, seg, n, text) rows to (anchor, seg, offset) of repeated windows.
+def _judged(window: int):
+    """Sorted (split, anchor, seg, n, text) rows to (anchor, seg, offset) of repeated windows.
 
-    Rows of an anchor with too many segments go out as window hashes instead,
-    with their n, as they come.
+    Rows of split anchors go out as window hashes, with their n, as they come.
     """
 
     def run(batches):
-        group, wait, long, out = None, [], False, []
+        group, wait, out = None, [], []
 
-        def handed(rows):
-            for anchor, seg, n, text in rows:
-                words = text.split()
-                for offset in range(len(words) - window + 1):
-                    hashed = xxhash.xxh64_intdigest(b" ".join(words[offset : offset + window]), 3)
-                    out.append((anchor, seg, offset, struct.unpack("<q", struct.pack("<Q", hashed))[0], n))
+        def handed(anchor, seg, n, text):
+            words = text.split()
+            for offset in range(len(words) - window + 1):
+                hashed = xxhash.xxh64_intdigest(b" ".join(words[offset : offset + window]), 3)
+                out.append((anchor, seg, offset, struct.unpack("<q", struct.pack("<Q", hashed))[0], n))
 
         def settled():
-            if long or not wait:
-                return
             shard = Automaton()
             for _, _, n, text in wait:
                 shard.add(text.split(), n)
@@ -252,17 +251,14 @@ def _judged(window: int, limit: int):
 
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
-                for row in zip(*(c.to_pylist() for c in batch.slice(start, SLICE).columns)):
+                for split, *row in zip(*(c.to_pylist() for c in batch.slice(start, SLICE).columns)):
+                    if split:
+                        handed(*row)
+                        continue
                     if row[0] != group:
                         settled()
-                        group, wait, long = row[0], [], False
-                    if long:
-                        handed([row])
-                        continue
+                        group, wait = row[0], []
                     wait.append(row)
-                    if len(wait) > limit:
-                        handed(wait)
-                        wait, long = [], True
                 if len(out) > 4096:
                     yield packed()
                     out.clear()
@@ -313,13 +309,13 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         marks.groupBy("anchor")
         .agg(F.count("*").alias("total"), F.min("seg").alias("least"), F.max("seg").alias("most"))
         .where("total > 1")
-        .select("anchor", (F.col("least") != F.col("most")).alias("varied"))
+        .select("anchor", (F.col("least") != F.col("most")).alias("varied"), (F.col("total") > limit).alias("split"))
     )
     # Written first, so that both sides of the join are shuffled for it and Spark can split hot anchors.
     several = stored(several, "substrings-anchors")
     met = marks.join(several, "anchor")
     # Only segments still to be judged need a name.
-    named = [F.when(F.col("varied"), F.col(n)).alias(n) for n in ("anchor", "seg")]
+    named = [F.when(F.col("varied"), F.col(n)).alias(n) for n in ("anchor", "seg", "split")]
     run = F.struct("first", "number", "varied", *named)
     lists = met.groupBy("doc_id", "th").agg(F.collect_set(run).alias("_runs"))
     lists = lists.withColumnsRenamed({"doc_id": "_doc", "th": "_key"})
@@ -360,7 +356,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
 
         return step
 
-    runs_kind = "array<struct<first: long, number: int, varied: boolean, anchor: long, seg: long>>"
+    runs_kind = "array<struct<first: long, number: int, varied: boolean, anchor: long, seg: long, split: boolean>>"
     later = typed(f"_packed binary, _runs {runs_kind}").fields
     read = stored(mapped(joined, T.StructType([*kinds, *more, *later]), first_pass), "substrings-first")
     done = read.where("_runs is null").drop("_runs", "_packed")
@@ -375,20 +371,23 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, limit: int = SEGMEN
         def step(packed, runs):
             words = unpack(packed).split()
             return [
-                (r["anchor"], r["seg"], b" ".join(words[r["first"] : r["first"] + r["number"] + window - 1]))
+                (r["anchor"], r["seg"], r["split"], b" ".join(words[r["first"] : r["first"] + r["number"] + window - 1]))
                 for r in runs
                 if r["varied"]
             ]
 
         return step
 
-    texts = mapped(unclear.select("_packed", "_runs"), "anchor long, seg long, text binary", cut)
-    shards = texts.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    shards = shards.select("anchor", "seg", "n", "text").repartition("anchor").sortWithinPartitions("anchor")
-    judged = arrow_mapped(shards, "anchor long, seg long, offset int, hashed long, n long", _judged(window, limit))
+    texts = mapped(unclear.select("_packed", "_runs"), "anchor long, seg long, split boolean, text binary", cut)
+    shards = texts.groupBy("split", "anchor", "seg").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    dealt = F.when(F.col("split"), F.xxhash64("anchor", "seg")).otherwise(F.col("anchor"))
+    shards = shards.withColumn("_dealt", dealt).repartition("_dealt").sortWithinPartitions("split", "anchor")
+    shards = shards.select("split", "anchor", "seg", "n", "text")
+    judged = arrow_mapped(shards, "anchor long, seg long, offset int, hashed long, n long", _judged(window))
     judged = stored(judged, "substrings-judged")
     handed = judged.where("hashed is not null")
     twice = handed.groupBy("anchor", "hashed").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
+    twice = stored(twice, "substrings-twice")
     clear = judged.where("hashed is null").select("anchor", "seg", "offset")
     clear = clear.unionByName(handed.join(twice, ["anchor", "hashed"], "left_semi").select("anchor", "seg", "offset"))
     clear = clear.groupBy("anchor", "seg").agg(F.collect_set("offset").alias("offsets"))
