@@ -43,3 +43,15 @@ def test_counts_of_a_table(spark, library):
 
 def test_empty_table(spark):
     assert tokens.token_counts(documents(spark, []), PATH).collect() == []
+
+
+def test_texts_without_blanks_are_counted_and_not_kept(spark):
+    pick = random.Random(8)
+    lines = ["".join(chr(pick.randint(0x4E00, 0x9FFF)) for _ in range(2000)) for _ in range(40)]
+    library, encoder = Tokenizer.from_file(PATH), tokens.Encoder(PATH, len)
+    for text in lines:
+        assert sum(encoder.values(text)) == len(library.encode(text, add_special_tokens=False))
+        assert sum(encoder.values(f"a {text} b, {text}")) == len(library.encode(f"a {text} b, {text}", add_special_tokens=False))
+    assert max(map(len, encoder.known)) <= tokens.SHORT and encoder.size < 10_000
+    found = {r.doc_id: r.n_tokens for r in tokens.token_counts(documents(spark, lines), PATH).collect()}
+    assert found == {n: len(library.encode(t, add_special_tokens=False)) for n, t in enumerate(lines)}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import arrow_mapped, mapped, stored
+from tocsin.llm.shared import arrow_mapped, least_power, mapped, stored
 from tocsin.llm.vocabularies import ByteVocabulary, PieceVocabulary
 
 # Characters of a text that are aligned at one time, and a blank at which no vocabulary joins two tokens.
@@ -229,18 +229,9 @@ def pair_counts(found: DataFrame, width: int) -> DataFrame:
 
 
 def frequent_pairs(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most ``size`` pairs, those in 2, 4, 8, ... documents or more; sorted, with n and best.
-
-    A histogram of at most 64 rows gives the least count; only rows from there on are sent.
-    """
-    powers = counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("rows")).collect()
-    power, rows = 64, 0
-    for row in sorted(powers, key=lambda r: -r.power):
-        rows += row["rows"]
-        if rows > size:
-            break
-        power = row.power
-    top = sorted(counts.where(F.floor(F.log2("n")) >= power).collect())
+    """At most ``size`` pairs, those in so many documents or more; sorted, with n and best."""
+    least = least_power(counts, "n", size)
+    top = sorted(counts.where(F.col("n") >= 2.0**least).collect())
     kinds = (np.int64, np.int64, np.bool_)
     return tuple(np.array([r[k] for r in top], kind) for k, kind in enumerate(kinds))
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tocsin.session import shared_folder
+from tocsin.session import shared_folder, ship
 
 # Rows of a batch that are Python objects at one time, and rows of a batch sent back.
 SLICE, OUT = 128, 2048
@@ -56,6 +54,21 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def least_power(rows: DataFrame, column: str, size: int) -> int:
+    """The least power of two from which on at most ``size`` rows have so much in ``column``; 64 if there is none.
+
+    Found from a histogram of at most 64 rows, so that what is then sent to the driver is bounded.
+    """
+    powers = rows.where(F.col(column) > 0).groupBy(F.floor(F.log2(column)).alias("power")).agg(F.count("*").alias("rows"))
+    power, found = 64, 0
+    for row in sorted(powers.collect(), key=lambda r: -r.power):
+        found += row["rows"]
+        if found > size:
+            break
+        power = row.power
+    return power
+
+
 def set_apart(frame: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The frame with every column but doc_id and text under a name no operator uses, and the way back.
 
@@ -65,30 +78,6 @@ def set_apart(frame: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFr
     return frame.toDF(*names), lambda result: result.select(*names).toDF(*frame.columns)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per application.
-
-    Functions then arrive by reference, so that what a worker process keeps
-    (vocabularies, tables of chunks) outlives a task.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tocsin-code-"), "tocsin_code.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
-
 def typed(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import SLICE, arrow_mapped, mapped
+from tocsin.llm.shared import SLICE, arrow_mapped, least_power, mapped, stored
 
 # The string that the vocabulary turns into its special token wherever it stands.
 SPECIAL = "<|endoftext|>"
@@ -31,8 +31,9 @@ WHOLE = "\n\n"
 BEFORE_WORD = re.compile(r"(?= [^\s\x1c-\x1f])")
 # Chunks in the frequent tier, chunks each task proposes for it, and the longest such chunk.
 FREQUENT, PROPOSED, LONGEST = 32_768, 1_024, 64
-# Chunks a worker keeps, and those it counts at one time while looking for frequent ones.
-KEPT, COUNTED = 900_000, 200_000
+# Characters of the chunks that a worker keeps, with 100 for each chunk's place; a chunk that is longer than SHORT
+# (text without blanks) is encoded each time.  Chunks that are counted at one time while looking for frequent ones.
+KEPT, SHORT, COUNTED = 100_000_000, 256, 200_000
 # Marks that the pre-tokenizer always cuts off the letters before them; an apostrophe may begin a contraction.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -82,7 +83,7 @@ class Encoder:
 
     def __init__(self, path: str, value: Callable, frequent: dict | None = None):
         self.path, self.value, self.frequent = path, value, frequent or {}
-        self.known = dict(self.frequent)
+        self.known, self.size = dict(self.frequent), 0
 
     @classmethod
     def of(cls, path: str, name: str, value: Callable, frequent=None) -> Encoder:
@@ -105,23 +106,33 @@ class Encoder:
     def _of(self, keys: list[str]) -> list:
         found = list(map(self.known.get, keys))
         if None in found:
-            if len(self.known) > KEPT:
-                self.known = dict(self.frequent)
-            known, ends, missing = self.known, {}, set()
-            for key in {k for k in keys if k not in known}:
-                word = key.rstrip(MARKS)
-                if word != key and word.isalpha():
-                    ends[key] = (word, WHOLE + key[len(word) :])
-                    missing.update(ends[key])
-                else:
-                    missing.add(key)
-            new = [k for k in missing if k not in known]
-            encoded = tokenizer(self.path).encode_batch_fast([spelt(k) for k in new], add_special_tokens=False)
-            known.update((k, self.value(e)) for k, e in zip(new, encoded))
-            known.update((k, known[word] + known[marks]) for k, (word, marks) in ends.items())
-            found = list(map(known.get, keys))
+            if self.size > KEPT:
+                self.known, self.size = dict(self.frequent), 0
+            long = self._learnt({k for k in keys if k not in self.known})
+            found = [long[k] if k in long else self.known[k] for k in keys]
         return found
 
+    def _learnt(self, wanted: set[str]) -> dict:
+        """Keep the values of some chunks; returns those of chunks that are too long to be kept."""
+        known, ends, missing, long = self.known, {}, set(), []
+        for key in wanted:
+            word = key.rstrip(MARKS)
+            if len(key) > SHORT:
+                long.append(key)
+            elif word != key and word.isalpha():
+                ends[key] = (word, WHOLE + key[len(word) :])
+                missing.update(ends[key])
+            else:
+                missing.add(key)
+        new = [k for k in missing if k not in known] + long
+        encoded = tokenizer(self.path).encode_batch_fast([spelt(k) for k in new], add_special_tokens=False)
+        values = dict(zip(new, map(self.value, encoded)))
+        told = {k: values.pop(k) for k in long}
+        known.update(values)
+        known.update((k, known[word] + known[marks]) for k, (word, marks) in ends.items())
+        self.size += sum(len(k) + 100 for k in (*values, *ends))
+        return told
+
 
 def frequent_chunks(documents: DataFrame, path: str, size: int = FREQUENT) -> dict[str, int]:
     """Token counts of the chunks that occur most often, at most ``size`` of them.
@@ -145,14 +156,9 @@ def frequent_chunks(documents: DataFrame, path: str, size: int = FREQUENT) -> di
         yield pa.RecordBatch.from_arrays(columns, ["chunk", "n"])
 
     texts = documents.where(F.col("text").isNotNull()).select("text")
-    top = (
-        arrow_mapped(texts, "chunk string, n long", run)
-        .groupBy("chunk")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "chunk")
-        .limit(size)
-    )
-    names = [r.chunk for r in top.collect()]
+    found = arrow_mapped(texts, "chunk string, n long", run).groupBy("chunk").agg(F.sum("n").alias("n"))
+    found = stored(found, "tokens-chunks")
+    names = [r.chunk for r in found.where(F.col("n") >= 2.0 ** least_power(found, "n", size)).collect()]
     encoded = tokenizer(path).encode_batch([spelt(c) for c in names], add_special_tokens=False)
     return {c: len(e) for c, e in zip(names, encoded)}
 

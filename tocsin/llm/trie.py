@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import arrow_mapped, ship, stored
+from tocsin.llm.shared import arrow_mapped, least_power, ship, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Turn numbers that are ranked together, places of a band, rows of a shard, and ids of a block of members.
@@ -242,13 +242,7 @@ def parents(rows: DataFrame, nodes: DataFrame, sums: DataFrame, frequent: int) -
     first = nodes.groupBy("conv_id").agg(F.min("depth").alias("depth")).where("depth > 1")
     first = first.join(rows.select("conv_id", "depth", "above_high", "above_low"), ["conv_id", "depth"])
     named = [F.col("high").alias("above_high"), F.col("low").alias("above_low")]
-    powers = sums.where("children > 0").groupBy(F.floor(F.log2("children")).alias("power")).agg(F.count("*").alias("rows")).collect()
-    power, n = 64, 0
-    for row in sorted(powers, key=lambda r: -r.power):
-        n += row["rows"]
-        if n > frequent:
-            break
-        power = row.power
+    power = least_power(sums, "children", frequent)
     often = F.coalesce(F.col("children") >= F.lit(2.0**power), F.lit(False))
     known = nodes.join(sums.select("high", "low", "children"), ["high", "low"]).select(*named, F.col("conv_id").alias("parent_conv_id"), often.alias("often"))
     found = first.join(F.broadcast(known.where("often").drop("often")), ["above_high", "above_low"], "left")
