@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import SLICE, arrow_mapped, mapped, stored
+from tocsin.llm.shared import SLICE, arrow_mapped, least_power, mapped, stored
 
 # Words of the broadcast tier and their longest; words a task counts before it sends them on.
 FREQUENT, LONGEST, COUNTED = 65_536, 48, 150_000
@@ -176,7 +176,8 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
         "word", known.cast("long").alias("known"), F.log10((F.col("c") + 1) / F.lit(float(smooth))).alias("base"), "lp", "n"
     )
     short = named.where((F.octet_length("word") <= LONGEST) | (F.col("word") == END))
-    top = short.orderBy(F.desc(F.col("word") == END), F.desc("n"), "word").limit(FREQUENT)
+    often = F.col("n") >= 2.0 ** least_power(short, "n", FREQUENT)
+    top = short.where(often | (F.col("word") == END))
     tier = spark.sparkContext.broadcast({r.word: (r.known, r.base, r.lp) for r in top.collect()})
     kind = documents.schema["doc_id"].dataType.simpleString()
 
