@@ -120,3 +120,24 @@ def test_one_row_of_each_component_stays_whatever_the_ids(spark):
 def test_empty_table(spark):
     assert simhash.one_of_each(documents(spark, [])).collect() == []
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_joins_around_a_hub_can_be_split(spark):
+    """Both sides of every join are shuffled for it, so a hub of many neighbours is cut by Spark's skew join."""
+    from tocsin.llm import components
+
+    names = ["autoBroadcastJoinThreshold", "adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.advisoryPartitionSizeInBytes", "adaptive.skewJoin.skewedPartitionFactor"]
+    before = {n: spark.conf.get(f"spark.sql.{n}") for n in names}
+    edges = spark.range(1, 40_001, numPartitions=4).selectExpr("0L AS u", "id AS v")
+    try:
+        for name, value in zip(names, ("-1", "20000", "20000", "1.5")):
+            spark.conf.set(f"spark.sql.{name}", value)
+        joined = components._large(edges, "test")
+        assert joined.count() == 40_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+    found = components.components(edges.unionByName(spark.createDataFrame([(7, 50_000)], "u long, v long")), "test")
+    assert found.where("root = 0").count() == 40_002
