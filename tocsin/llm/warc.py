@@ -31,7 +31,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tocsin.llm.shared import ship
+from tocsin.llm.shared import ship, stored
 
 # Columns of a record; leave ``payload`` out of a read to leave payloads packed.
 RECORD = (
@@ -42,6 +42,8 @@ RECORD = (
 LEAST = 1000
 # Packed bytes after which a writer begins another file, and bytes of a header that are read at first.
 FILE_BYTES, HEAD = 64 << 20, 4096
+# Numbers that mark digests which occur twice.
+MARKS = 1 << 21
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_archives-"
 
@@ -280,7 +282,9 @@ def page_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     a payload.  Rows that repeat that page_id are responses as well.  A null
     html is an empty payload; a null page_id is never the largest, and where no
     page of a group has an id, all are responses.  Other columns are dropped.
-    Only digests are aggregated; pages meet the digests that occur twice.
+    Only digests are aggregated.  Pages whose digest no other has are told apart
+    where they lie, by a broadcast of at most ``MARKS`` numbers, and are moved
+    nowhere, but for a few; the others meet the digests that occur twice.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).select(
@@ -288,8 +292,16 @@ def page_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     )
     keys = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
     shared = keys.agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1").drop("n")
+    # Written first, so that Spark can split the join of a payload that very many pages share.
+    shared = stored(shared, "warc-shared")
+    mark = F.pmod(F.xxhash64("payload_digest"), F.lit(MARKS)).alias("_mark")
+    marks = F.broadcast(shared.select(mark).distinct())
+    rows = rows.withColumn("_mark", F.when(F.col("payload_bytes") >= least, mark))
+    alone = rows.join(marks, "_mark", "left_anti").drop("_mark").withColumn("response", F.lit(None).cast(shared.schema["response"].dataType))
+    again = rows.join(marks, "_mark", "left_semi").drop("_mark")
     other = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return rows.join(shared, ["payload_digest", "payload_bytes"], "left").select(
+    met = again.join(shared, ["payload_digest", "payload_bytes"], "left")
+    return met.unionByName(alone).select(
         "page_id",
         "url",
         F.when(other, "revisit").otherwise("response").alias("record_type"),
