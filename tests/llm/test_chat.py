@@ -1,7 +1,10 @@
 import random
+import time
 
+from pyspark.sql import functions as F
 from tocsin.llm import chat
 from tocsin.llm.queries import op3_chat_formats
+from tocsin.llm.shared import stored
 
 SCHEMA = "tree string, node long, parent long, role string, text string, score double"
 
@@ -37,18 +40,13 @@ def test_best_branches_are_formatted_and_read_back(spark):
     for keep in (1, 3):
         want = plain([r for r in rows if r[0] != "loop"], keep)
         chats = chat.formatted_chats(frame, keep)
-        read = chats.select(
-            "tree",
-            "leaf",
-            "rank",
-            "n_turns",
-            chat.read_turns(chats["formatted"]).alias("turns"),
-            chat.read_loss(chats["formatted"], chats["loss_spans"]).alias("loss"),
-        ).collect()
+        read = chat.read_back(chats).collect()
         assert {(r.tree, r.leaf, r["rank"]) for r in read} == set(want)
         for r in read:
             path = want[r.tree, r.leaf, r["rank"]]
             assert [(t.role, t.text) for t in r.turns] == [(p[3] or "", p[4] or "") for p in path]
+            masked = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
+            assert len(masked) == len(r.loss_turns) and "".join(masked).count("<") == 0
             assert r.loss == "".join(p[4] or "" for p in path if p[3] == "assistant") and r.n_turns == len(path)
 
 
@@ -61,6 +59,28 @@ def test_turns_keep_ties_repeats_and_long_conversations(spark):
     assert found["1"].formatted.startswith("<s>assistant[INST] t0 [/INST]</s><s>user[INST] t1 [/INST]</s>")
 
 
+def test_a_text_id_may_look_like_the_null_one(spark):
+    rows = [(c, 0, "user", "x") for c in ("null", None, "\\null", "\\\\null", "nul")]
+    frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    assert chat.formatted_chats(chat.turns_as_tree(frame)).count() == 5
+
+
+def test_reading_back_grows_with_the_turns(spark):
+    """Sixteen thousand turns take about four times as long as four thousand, not sixteen times."""
+    rows = spark.range(16_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('é long ', 12) AS text")
+    took = []
+    for n in (4_000, 16_000):
+        chats = stored(chat.formatted_chats(chat.turns_as_tree(rows.where(f"turn < {n}"))), "test")
+        best = 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            read = chat.read_back(chats).select(F.char_length("loss")).first()[0]
+            best = min(best, time.perf_counter() - start)
+        assert read == n // 2 * len("é long " * 12)
+        took.append(best)
+    assert took[1] < 10 * took[0], took
+
+
 def test_empty_table(spark):
     assert chat.formatted_chats(spark.createDataFrame([], SCHEMA)).collect() == []
 

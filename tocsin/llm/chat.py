@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tocsin.functions.rows import computed_once
 from tocsin.llm.shared import stored
 
 # Fixed texts of the template.  Escapes leave none of their first characters in a text.
@@ -38,12 +39,14 @@ def turns_as_tree(conversations: DataFrame) -> DataFrame:
 
     A turn answers the one before it in order of turn; rows of one turn number
     are ordered by role and text, and each stays a turn.  A null conv_id is one
-    conversation.
+    conversation, the tree ``null``; a text id of that name gets a backslash in front.
     """
+    name = F.col("conv_id").cast("string")
+    named = F.when(name.rlike(r"^\\*null$"), F.concat(F.lit("\\"), name)).otherwise(F.coalesce(name, F.lit("null")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order))
     return rows.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"),
+        named.alias("tree"),
         "conv_id",
         F.col("node").cast("long").alias("node"),
         F.when(F.col("node") > 1, F.col("node").cast("long") - 1).alias("parent"),
@@ -116,9 +119,9 @@ def formatted_chats(messages: DataFrame, keep: int = 1) -> DataFrame:
     """One formatted conversation per chosen branch.
 
     ``messages`` has tree (text), node and parent (long, nodes unique in a
-    tree), role, text and score.  Returns tree, leaf, rank, n_turns, formatted
-    and loss_spans: start and length, in code points of ``formatted``, of every
-    assistant text.  Null roles and texts are empty, a null score is 0; an
+    tree), role, text and score.  Returns tree, leaf, rank, n_turns, formatted,
+    loss_spans (start and length, in code points of ``formatted``, of every
+    assistant text) and loss_turns (the places of those turns, from 0).  Null roles and texts are empty, a null score is 0; an
     empty table gives no row.  Other columns are not looked at.
     """
     words = messages.select(
@@ -145,6 +148,7 @@ def formatted_chats(messages: DataFrame, keep: int = 1) -> DataFrame:
     turns = rows.groupBy("tree", "leaf", "rank").agg(
         F.sort_array(F.collect_list(F.struct("place", "learnt", "piece", span.alias("span")))).alias("turns")
     )
+    learnt = F.filter(F.transform("turns", lambda t, i: F.struct(t["learnt"], i.alias("turn"))), lambda t: t["learnt"])
     return turns.select(
         "tree",
         "leaf",
@@ -152,6 +156,7 @@ def formatted_chats(messages: DataFrame, keep: int = 1) -> DataFrame:
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
         F.transform(F.filter("turns", lambda t: t["learnt"]), lambda t: t["span"]).alias("loss_spans"),
+        F.transform(learnt, lambda t: t["turn"]).alias("loss_turns"),
     )
 
 
@@ -167,7 +172,16 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    texts = F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return F.array_join(texts, "")
+def read_back(chats: DataFrame) -> DataFrame:
+    """Formatted conversations with ``turns`` (role, text) and ``loss``, all text under the loss mask, unescaped.
+
+    A conversation is split once at its turns, and those under the mask are
+    taken by their places: cutting each span out of the text would count its way
+    from the beginning every time.  A span that is not as long as its turn's text is an error.
+    """
+    split = computed_once(chats, {"turns": read_turns(F.col("formatted"))})
+    texts = computed_once(split, {"_loss": F.transform("loss_turns", lambda i: F.get("turns", i)["text"])})
+    sizes = F.transform("_loss", lambda t: F.char_length(escaped(t)).cast("long"))
+    same = F.transform("loss_spans", lambda s: s["length"]) == sizes
+    loss = F.when(same, F.array_join("_loss", "")).otherwise(F.raise_error(F.lit("loss spans and turns differ")))
+    return texts.withColumn("loss", loss).drop("_loss")

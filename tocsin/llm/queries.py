@@ -55,12 +55,7 @@ def op3_chat_formats(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     chats = chat.formatted_chats(chat.turns_as_tree(conversations.unionByName(spark.sql(INJECTED))))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    read = chats.select(
-        F.col("tree").try_cast("long").alias("conv_id"),
-        "formatted",
-        chat.read_turns(F.col("formatted")).alias("turns"),
-        chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
-    )
+    read = chat.read_back(chats).select(F.col("tree").try_cast("long").alias("conv_id"), "formatted", "turns", "loss")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
