@@ -4,11 +4,13 @@ Reading plans one partition per archive file.  Every record is a gzip member
 that carries its packed length in the ``sl`` extra field, so a record whose
 header fails the pushed-down predicates, or whose payload nobody asks for, is
 left packed: only its header is inflated, and the reader seeks to the next one.
+Archives of other programs, packed or plain, are read from end to end.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import json
 import struct
 import uuid
@@ -42,6 +44,8 @@ RECORD = (
 LEAST = 1000
 # Packed bytes after which a writer begins another file, and bytes of a header that are read at first.
 FILE_BYTES, HEAD = 64 << 20, 4096
+# Bytes that are taken in at one time, and of the longest header.
+CHUNK, LONGEST_HEAD = 1 << 18, 1 << 20
 # Numbers that mark digests which occur twice.
 MARKS = 1 << 21
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,37 +98,158 @@ def headers(data: bytes) -> tuple[dict[str, str], int] | None:
     if end < 0:
         return None
     lines = data[:end].decode().split("\r\n")
-    return {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}, end + 4
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no record begins here")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end + 4
 
 
 def _page(value: str | None) -> int | None:
-    number = value and value.removeprefix("<urn:page:").removesuffix(">")
-    return None if number in (None, "None") else int(number)
+    """The page of an id that names one; other ids name none."""
+    number = (value or "").strip("<>")
+    return int(number[9:]) if number.startswith("urn:page:") and number[9:].lstrip("-").isdigit() else None
+
+
+def _digest(value: str | None) -> str | None:
+    """A SHA-1 in base 32 or hexadecimal digits as hexadecimal digits; null for anything else."""
+    kind, _, text = (value or "").partition(":")
+    if kind.lower() == "sha1" and len(text) == 32:
+        try:
+            return base64.b32decode(text.upper()).hex()
+        except binascii.Error:
+            return None
+    return text.lower() if kind.lower() == "sha1" and len(text) == 40 else None
 
 
 def values(head: dict[str, str]) -> dict:
-    """What the header says about a record, by column."""
-    url = head.get("warc-target-uri")
+    """What the header says about a record, by column; null where it says nothing."""
+    url, size = head.get("warc-target-uri"), head.get("x-payload-length", "")
+    # Only the records written here have their own escapes on top of a URL's.
+    if url is not None:
+        url = _unline(url) if size else url.strip("<>")
     return {
-        "page_id": _page(head["warc-record-id"]),
-        "url": None if url is None else _unline(url),
-        "record_type": head["warc-type"],
+        "record_id": head.get("warc-record-id"),
+        "date": head.get("warc-date"),
+        "page_id": _page(head.get("warc-record-id")),
+        "url": url,
+        "record_type": head.get("warc-type"),
         "refers_to": _page(head.get("warc-refers-to")),
-        "payload_bytes": int(head["x-payload-length"]),
-        "payload_digest": base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(),
+        "payload_bytes": int(size) if size.isdigit() else None,
+        "payload_digest": _digest(head.get("warc-payload-digest")),
     }
 
 
+class Inflated:
+    """The bytes of an archive, plain or in gzip members one after the other, from the beginning on."""
+
+    def __init__(self, stream):
+        self.stream, self.data, self.at, self.left = stream, b"", 0, b""
+        start = stream.read(2)
+        stream.seek(0)
+        self.inflate = zlib.decompressobj(31) if start == b"\x1f\x8b" else None
+
+    def more(self) -> bool:
+        """Take in some more; False at the end.  Raises ``EOFError`` or ``zlib.error`` where the archive is damaged."""
+        out = b""
+        while not out:
+            raw = self.left or self.stream.read(CHUNK)
+            if not raw:
+                if self.inflate and not self.inflate.eof and self.begun:
+                    raise EOFError("an archive that ends inside a member")
+                return False
+            if self.inflate is None:
+                out = raw
+                continue
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+            out, self.begun = self.inflate.decompress(raw, CHUNK), True
+            self.left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.begun = not self.inflate.eof
+        self.data, self.at = self.data[self.at :] + out, 0
+        return True
+
+    begun = False
+
+    def head(self) -> bytes | None:
+        """Bytes up to the next empty line, blank ones before it left out; None at the end."""
+        while True:
+            while self.data[self.at : self.at + 2] == b"\r\n":
+                self.at += 2
+            end = self.data.find(b"\r\n\r\n", self.at)
+            if end >= 0:
+                found, self.at = self.data[self.at : end + 4], end + 4
+                return found
+            if len(self.data) - self.at > LONGEST_HEAD:
+                raise EOFError("a header without an end")
+            if not self.more():
+                if self.data[self.at :].strip():
+                    raise EOFError("an archive that ends inside a header")
+                return None
+
+    def take(self, size: int, keep: bool) -> bytes | None:
+        """The next bytes, or None where they are not to be kept; never more than a part of those is held."""
+        parts = []
+        while size > 0:
+            here = self.data[self.at : self.at + size]
+            self.at += len(here)
+            size -= len(here)
+            if keep:
+                parts.append(here)
+            if size > 0 and not self.more():
+                raise EOFError("an archive that ends inside a record")
+        return b"".join(parts) if keep else None
+
+
+def foreign_records(stream, wanted, payload: bool):
+    """Rows of any archive, read from its beginning: headers first, unwanted payloads inflated and dropped.
+
+    Records of every type and id are rows.  The payload of a record with an HTTP
+    message is what stands behind the message's header, of others the whole
+    block.  Where an archive is damaged, one row of the type ``broken`` tells
+    so, with the header's values if there was one, and ends it.
+    """
+    source, row = Inflated(stream), None
+    try:
+        while True:
+            row = None
+            if (text := source.head()) is None:
+                return
+            found = headers(text)
+            row = values(found[0])
+            size = int(found[0]["content-length"])
+            keep = payload and wanted(row)
+            block = source.take(size, keep)
+            if keep:
+                message = found[0].get("content-type", "").startswith("application/http")
+                at = block.find(b"\r\n\r\n") if message else -4
+                body = block[at + 4 :] if not message or at >= 0 else b""
+                row["payload"] = None if row["record_type"] == "revisit" else body
+                if row["payload_bytes"] is None and row["payload"] is not None:
+                    row["payload_bytes"] = len(body)
+            if wanted(row):
+                yield row
+    except (EOFError, zlib.error, ValueError, KeyError, IndexError, UnicodeDecodeError):
+        broken = (row or values({})) | {"record_type": "broken"} | ({"payload": None} if payload else {})
+        if wanted(broken):
+            yield broken
+
+
 def records(stream, wanted, payload: bool):
     """Rows of an open archive: headers first, payloads only of wanted records.
 
-    Members must carry the ``sl`` field, as those of :func:`packed` do.
+    Where members carry the ``sl`` field, as those of :func:`packed` do, unwanted
+    payloads are sought over; other archives are read by :func:`foreign_records`.
     """
-    at = 0
+    start, at = stream.read(24), 0
+    stream.seek(0)
+    if start[3:4] != b"\x04" or start[10:14] != b"\x0c\x00sl":
+        yield from foreign_records(stream, wanted, payload)
+        return
     while len(start := stream.read(24)) >= 18:
         flags, extra, name, _, size, _ = struct.unpack("<3xB6xH2sHII", start[:24].ljust(24, b"\0"))
         if not (flags == 4 and extra == 12 and name == b"sl"):
-            raise ValueError("an archive member without its packed length")
+            stream.seek(at)
+            yield from foreign_records(_From(stream, at), wanted, payload)
+            return
         body = stream.read(min(HEAD, size - 24))
         inflate = zlib.decompressobj(-15)
         data = inflate.decompress(body, HEAD)
@@ -148,6 +273,20 @@ def records(stream, wanted, payload: bool):
         stream.seek(at)
 
 
+class _From:
+    """A stream whose beginning is some place of another."""
+
+    def __init__(self, stream, first: int):
+        self.stream, self.first = stream, first
+        stream.seek(first)
+
+    def read(self, size: int) -> bytes:
+        return self.stream.read(size)
+
+    def seek(self, place: int) -> None:
+        self.stream.seek(self.first + place)
+
+
 @dataclass
 class Archive(InputPartition):
     path: str
@@ -184,7 +323,7 @@ class WarcReader(DataSourceReader):
             with system.open_input_stream(path) as stream:
                 names += json.loads(stream.read())
         if not done:
-            names = [i.base_name for i in found if i.base_name.endswith(".warc.gz")]
+            names = [i.base_name for i in found if i.base_name.endswith((".warc.gz", ".warc"))]
         return [Archive(name) for name in sorted(names)]
 
     def read(self, partition):
@@ -268,9 +407,14 @@ def _ready(spark: SparkSession) -> None:
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records below a folder; without ``payload`` all payloads stay packed."""
+    """Records below a folder, of archives written here or anywhere else; without ``payload`` all payloads stay packed.
+
+    Besides the columns of RECORD, ``record_id`` and ``date`` as the records give
+    them; ids of pages are null in records that name no page.  See ``foreign_records``
+    for damaged archives.
+    """
     _ready(spark)
-    columns = RECORD if payload else RECORD.rpartition(",")[0]
+    columns = f"record_id string, date string, {RECORD if payload else RECORD.rpartition(',')[0]}"
     return spark.read.format("warc").schema(columns).load(path)
 
 
