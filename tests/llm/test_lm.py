@@ -29,6 +29,16 @@ def test_marginal_is_the_sum_over_all_segmentations():
         assert lattice.word(word) == pytest.approx(want, abs=1e-9)
 
 
+def test_words_of_one_length_at_a_time_equal_single_words():
+    pieces = lm.vocabulary(PATH)
+    scores = {pieces.id_to_piece(n): -3.0 - n % 97 / 10 for n in range(300, 32_000) if "▁" not in pieces.id_to_piece(n)[1:]}
+    lattice = lm.Lattice(scores, [-7.0 - b % 5 for b in range(256)], -2.0)
+    words = sorted({w for r in sample("documents")[:60] for w in lm.words_of((r[1] or "").encode())})
+    words += ["", "a", "é", "日本", "\U0001f600x", "\x00", "x" * 48, "y" * 49, "z" * 3000]
+    assert len(words) > 500
+    assert lattice.words(words) == pytest.approx([lattice.word(w) for w in words], rel=1e-11)
+
+
 def test_scores_equal_plain_code(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 50)
     texts = [r[1][:3000] for r in sample("documents")] + [None, "", "a a a", "a a a", "x" * 5000, "Ünï <s> \t \x85"]

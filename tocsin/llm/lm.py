@@ -18,6 +18,7 @@ import math
 import os
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from tocsin.llm.shared import SLICE, arrow_mapped, least_power, mapped, stored
 FREQUENT, LONGEST, COUNTED = 65_536, 48, 150_000
 # A blank in the vocabulary's spelling, and how byte pieces are written.
 BLANK, BYTE = "▁", "<0x{:02X}>"
+FACTOR = np.uint64(0x9E3779B97F4A7C15)  # of substring hashes
 END = "\n"  # stands for a document's end among words, which have no line ends
 
 _loaded: dict[str, object] = {}
@@ -70,6 +72,71 @@ class Lattice:
             forward.append(top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top)
         return forward[-1] / math.log(10)
 
+    def _tables(self) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.uint64]:
+        """For each length of a piece, the sorted hashes of its pieces and their scores; no two pieces share a hash."""
+        if self._made is None:
+            by_length: dict[int, list[str]] = {}
+            for piece in self.scores:
+                by_length.setdefault(len(piece), []).append(piece)
+            factor = FACTOR
+            while self._made is None:
+                tables = {}
+                for size, pieces in by_length.items():
+                    grid, hashes = codes(pieces), np.zeros(len(pieces), np.uint64)
+                    for k in range(size):
+                        hashes = (hashes + grid[:, k]) * factor
+                    order = np.argsort(hashes)
+                    tables[size] = hashes[order], np.array([self.scores[pieces[n]] for n in order])
+                if all((np.diff(h) != 0).all() for h, _ in tables.values()):
+                    self._made = tables, factor
+                factor += np.uint64(2)
+        return self._made
+
+    _made = None
+
+    def equally_long(self, words: list[str]) -> np.ndarray:
+        """``word`` of words of one length: the recursion runs over all of them at a time.
+
+        Pieces are looked up by 64-bit hashes of all substrings.
+        """
+        tables, factor = self._tables()
+        grid = codes([BLANK + w for w in words])
+        size = grid.shape[1]
+        known, place = np.unique(grid, return_inverse=True)
+        spelt = np.array([sum(self.other[b] for b in chr(int(c) - 1).encode()) for c in known])[place].reshape(grid.shape)
+        found, hashes = [], np.zeros((len(words), size), np.uint64)
+        for length in range(1, min(self.longest, size) + 1):
+            hashes = (hashes[:, : size - length + 1] + grid[:, length - 1 :]) * factor
+            if length in tables:
+                table, scores = tables[length]
+                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+                here = table[at] == hashes
+                if here.any():
+                    found.append((length, np.where(here, scores[at], -np.inf)))
+        forward = np.zeros((len(words), size + 1))
+        for stop in range(1, size + 1):
+            terms = [forward[:, stop - 1] + spelt[:, stop - 1]]
+            terms += [forward[:, stop - n] + scores[:, stop - n] for n, scores in found if n <= stop]
+            forward[:, stop] = np.logaddexp.reduce(np.array(terms), axis=0)
+        return forward[:, size] / math.log(10)
+
+    def words(self, words: list[str]) -> list[float]:
+        """``word`` of each of some words; long ones go one by one."""
+        out = np.zeros(len(words))
+        by_length: dict[int, list[int]] = {}
+        for n, word in enumerate(words):
+            by_length.setdefault(min(len(word), LONGEST + 1), []).append(n)
+        for size, own in by_length.items():
+            some = [words[n] for n in own]
+            out[own] = self.equally_long(some) if size <= LONGEST else [self.word(w) for w in some]
+        return out.tolist()
+
+
+def codes(texts: list[str]) -> np.ndarray:
+    """Code points, from 1, of texts of one length."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    return points.reshape(len(texts), -1)
+
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """word, c (in rows with ``training``) and n (in all rows); the end of a document is a word.
@@ -146,12 +213,17 @@ def lexicon(counts: DataFrame, lattice: Lattice) -> DataFrame:
     """word, c, n and lp, the word's marginal log10 probability."""
     sent = counts.sparkSession.sparkContext.broadcast(lattice)
 
-    def make():
+    def run(batches):
         lattice = sent.value
         end = lattice.end / math.log(10)
-        return lambda word, c, n: [(word, c, n, end if word == END else lattice.word(word))]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                words = part.column(0).to_pylist()
+                lp = [end if w == END else p for w, p in zip(words, lattice.words(words))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lp, pa.float64())], ["word", "c", "n", "lp"])
 
-    return mapped(counts.select("word", "c", "n"), "word string, c long, n long, lp double", make)
+    return arrow_mapped(counts.select("word", "c", "n"), "word string, c long, n long, lp double", run)
 
 
 def scored(documents: DataFrame, path: str) -> DataFrame:
