@@ -142,9 +142,9 @@ LINE_WINDOW = "incident_id % 6 + 1"
 
 # (command with {u} for the user id, command type)
 CATALOGUE = [
-    ("kubectl rollout restart deployment/web-{u} -n prod", "kubectl"),
+    ("kubectl rollout restart statefulset/q{u}", "kubectl"),
     ("kubectl scale deployment/web-{u} --replicas=3", "kubectl"),
-    ("kubectl describe pod web-{u}", "kubectl"),
+    ("kubectl describe node n{u}", "kubectl"),
     ("kubectl rollout status deployment/web-{u}", "kubectl"),
     ("kubectl getx pods", "kubectl"),
     ("kubectl delete ns team-{u}", "kubectl"),
@@ -158,7 +158,7 @@ CATALOGUE = [
     ("RM   -RF /srv/{u}", "shell"),
     ("rm -fr /srv/{u}", "shell"),
     ("mkfs.xfs /dev/sd{u}", "shell"),
-    ("dd  if=/dev/urandom of=/dev/sd{u}", "shell"),
+    ("dd  if=image{u} of=copy{u}", "shell"),
     ("sudo shutdown -r +{u}", "shell"),
     ("systemctl status worker-{u} && reboot", "shell"),
     ("init 0", "shell"),
@@ -170,14 +170,14 @@ CATALOGUE = [
     ("iptables -F", "shell"),
     ("ufw disable", "shell"),
     ("bash /srv/{u}/repair.sh", "shell"),
-    ("SELECT count(*) FROM sessions_{u}", "sql"),
+    ("SELECT max(a) FROM t{u}", "sql"),
     ("select 1", "sql"),
     ("EXPLAIN SELECT * FROM t{u}", "sql"),
     ("DROP TABLE t{u}", "sql"),
     ("drop schema s{u}", "sql"),
     ("TRUNCATE t{u}", "sql"),
-    ("DELETE FROM users_{u}", "sql"),
-    ("DELETE FROM users_{u} WHERE id = 1", "sql"),
+    ("DELETE FROM t{u}_old", "sql"),
+    ("DELETE FROM t{u} WHERE a = 1", "sql"),
     ("DELETE FROM t WHERE id = {u}", "sql"),
     ("UPDATE t SET a = {u}", "sql"),
     ("GET /status/{u}", "http"),

@@ -757,15 +757,15 @@ def stream_late_answers(spark, folder):
     def minutes(n: Column) -> Column:
         return F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(60 * ROUND) * n)
 
-    # The file's folder tells the round; two last rounds of a single answer each only move the clock on.
+    # The file's folder tells the round; a last round of a single answer only moves the clock on.
     late = F.regexp_extract("path", r"late=(\d+)", 1).cast("int")
     for number, rows in enumerate(
-        [attempts.where("incident_id % 3 = 0"), attempts.where("incident_id % 3 > 0"), _tick(attempts), _tick(attempts)]
+        [attempts.where("incident_id % 3 = 0"), attempts.where("incident_id % 3 > 0"), _tick(attempts)]
     ):
         place = number if number < 2 else number + 5
         rows.write.json(f"{answered}/late={place}")
         running = start_late_triage(
-            request_sources.stream_requests(spark, asked, 2),
+            request_sources.stream_requests(spark, asked, 4),
             stream_attempts(spark, f"{answered}/*"),
             RULES,
             output,
