@@ -25,6 +25,36 @@ def test_kernel_is_the_cosine_of_ngram_sets():
     assert (sets[0] * sets[1]).sum() == len(plain[0] & plain[1])
 
 
+def test_margins_equal_kernel_ridge_regression_in_plain_code(spark):
+    """With every row a landmark and all n-grams kept, the fit is the exact kernel ridge regression of weighted rows."""
+    texts = ["the cat and the dog", "a dog sees", "one more thing", "der hund und die katze", "ein mensch", "le chat noir", "les chiens sont la"]
+    langs = ["en", "en", "en", "de", "de", "fr", "fr"]
+    rows = list(zip(range(7), texts, langs))
+    model = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=30)
+    names = ["de", "en", "fr"]
+    assert model.languages == names and len(model.landmarks) == 7
+
+    def grams(text):
+        return {text.encode()[k : k + n] for n in (1, 2, 3) for k in range(len(text.encode()) - n + 1)}
+
+    def kernel(a, b):
+        return len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+
+    # A language's rows weigh as much as those of any other.
+    weigh = np.array([7 / 3 / langs.count(g) for g in langs])
+    gram = np.array([[kernel(a, b) for b in texts] for a in texts])
+    wanted = np.array([[1.0 if g == name else -1.0 for name in names] for g in langs])
+    dual = np.linalg.solve(gram + langid.RIDGE * np.diag(1 / weigh), wanted)
+    some = [*texts, "the dog", "katze und hund", "chat"]
+    margins = np.array([[kernel(a, b) for b in texts] for a in some]) @ dual
+    sets = langid.presence(model, some).astype(float)
+    # N-grams that no labelled row has are not in a model's sets; the kernel's length counts them here.
+    lengths = np.array([[np.sqrt(len(grams(t)))] for t in some])
+    assert np.allclose((sets @ model.landmarks.T / lengths) @ model.weights, margins, atol=1e-4)
+    share = model.scores(sets)
+    assert (share.argmax(axis=1)[:7] == wanted.argmax(axis=1)).all() and np.allclose(share.sum(axis=1), 1)
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score string"
     rows = [(n, t, g, "x") for n, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)]

@@ -35,6 +35,41 @@ def test_forest_isolates_what_is_rare():
     assert (quality.Forest(np.ones((5, 3))).scores(np.ones((2, 3))) > 0).all()
 
 
+def walked(tree, row):
+    """The leaf that a row reaches, its depth, and the path length that the tree gives there, step by step."""
+    feature, split, child, length = (c.tolist() for c in tree)
+    at, depth = 0, 0
+    while feature[at] >= 0:
+        at, depth = child[at] + (1 if row[feature[at]] >= split[at] else 0), depth + 1
+    return at, depth, length[at]
+
+
+def unsuccessful(n):
+    """Mean path length of an unsuccessful search among n rows, by the usual estimate of the harmonic number."""
+    if n < 2:
+        return 0.0
+    return 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+
+def test_scores_equal_path_lengths_walked_row_by_row():
+    pick = np.random.default_rng(8)
+    rows = np.round(pick.normal(0, 2, (150, 4)), 1)
+    rows[100:110] = rows[0]
+    forest = quality.Forest(rows, trees=12, size=150)
+    lengths = np.zeros(len(rows))
+    for tree in forest.trees:
+        reached = [walked(tree, row) for row in rows]
+        inside = {leaf: sum(r[0] == leaf for r in reached) for leaf, _, _ in reached}
+        for leaf, depth, length in reached:
+            # A tree of all rows: a leaf stands for the rows that reach it.
+            assert depth <= forest.depth and abs(length - depth - unsuccessful(inside[leaf])) < 1e-12
+        # Rows that are alone before the depth is used up are told apart; equal rows share a leaf.
+        assert len({reached[n][0] for n in (0, *range(100, 110))}) == 1
+        lengths += [length for *_, length in reached]
+    want = 2 ** (-lengths / 12 / unsuccessful(150))
+    assert np.allclose(forest.scores(rows), want, rtol=1e-12)
+
+
 def test_good_rows_stay_and_bad_rows_go(spark):
     folder = "/root/testdata/sf0.01"
     found = {r.doc_id: r for r in op6_quality(spark, folder).collect()}
