@@ -16,6 +16,7 @@ from tocsin.sources import ranges
 from tocsin.sources.requests import log_files, read_requests, scan_log_files, scan_log_lines, stream_requests
 from tocsin.sources.sinks import write_escalations, write_report_texts, write_reports
 from tocsin.streaming import triage as triage_stream
+from tocsin.streaming import answers as late
 from tocsin.streaming.answers import start_late_triage, stream_attempts
 from tocsin.streaming.triage import committed, start_triage
 
@@ -351,6 +352,55 @@ def test_answers_may_come_later_and_dead_letters_wait(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, batch))
 
 
+def test_waiting_ids_are_settled_by_one_aggregate(spark):
+    """Times in milliseconds; the wait is 40, the latest clock 100."""
+    some, all_four = (1, "s", None, None, None, None, None, None), (1, "s", 2, "d", 3, "r", 1, "p")
+    before = spark.createDataFrame(
+        [
+            ("last answer", ["a"], False, 120, *all_four[:6], None, None),
+            ("asked again", [], True, 120, *all_four),
+            ("waits", ["b", "c"], False, 99, *some),
+            ("dead", ["b", "c"], False, 98, *some),
+            ("orphan", [], False, 98, *some),
+            ("told", [], True, 98, *all_four),
+            ("first request", [], False, 98, *some),
+        ],
+        late.STATE,
+    )
+    events = spark.createDataFrame(
+        [
+            ("last answer", "answer", 90, "postmortem", 2, "p2"),
+            ("last answer", "answer", 90, "severity", 1, "again"),
+            ("asked again", "open", 90, None, None, "new"),
+            ("first request", "open", 90, None, None, "f"),
+            ("answers", "answer", 70, "severity", 2, "s2"),
+            ("answers", "answer", 80, "severity", 1, "s1"),
+            ("line", "rejected", 90, None, None, "no"),
+            ("calm", "quiet", 90, None, None, "yes"),
+        ],
+        "incident_id string, kind string, ms long, agent string, attempt int, body string",
+    ).withColumn("clock", F.timestamp_millis("ms")).drop("ms")
+    met = late.settled(before, events, 40, 100)
+    got = {r.incident_id: r for r in met.collect()}
+    ended = {k: r.outcome for k, r in got.items() if r.outcome}
+    assert ended == {"last answer": "complete", "asked again": "complete", "dead": "dead", "orphan": "orphan"}
+    assert (got["last answer"].severity, got["last answer"].postmortem_attempt) == ("s", 2)
+    assert (got["answers"].severity, got["answers"].deadline, got["first request"].deadline) == ("s1", 110, 130)
+    out = sorted((r.outcome, r.incident_id, r.incident or "") for r in late.outcomes_of(events, met).collect())
+    assert out == [
+        ("complete", "asked again", "new"),
+        ("complete", "last answer", "a"),
+        ("dead", "dead", "b"),
+        ("dead", "dead", "c"),
+        ("orphan", "orphan", ""),
+        ("quiet", "calm", "yes"),
+        ("rejected", "line", "no"),
+    ]
+    left = {r.incident_id: r for r in late.waiting(met).collect()}
+    assert set(left) == {"last answer", "asked again", "waits", "first request", "answers"}
+    assert left["last answer"].done and left["last answer"].incidents == [] and not left["waits"].done
+
+
 def test_keys_are_stable(spark):
     frame = requests(spark).withColumn("k", reports.request_key())
     first, again = ({r.request_id: r.k for r in f.collect()} for f in (frame, frame.repartition(5)))

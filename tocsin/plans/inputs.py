@@ -383,9 +383,12 @@ def commands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
+    return answers_of(table(spark, folder, "events"))
+
+
+def answers_of(source: DataFrame) -> DataFrame:
     """The answer text is made once per row, as if it were stored."""
     columns = answer_columns(SPARK)
-    source = table(spark, folder, "events")
     for step in ANSWER_STEPS:
         source = computed_once(source, {name: F.expr(columns.pop(name)) for name in step})
     return _select(source, columns)

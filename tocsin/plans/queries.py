@@ -143,6 +143,17 @@ def quarantine_requests(spark, folder):
     )
 
 
+# Bytes of the table of dumps for each file that a stream finds, and the least number of files.
+FILE_BYTES, LEAST_FILES = 16 << 20, 4
+
+
+def _stream_files(spark, folder) -> int:
+    """How many files a stream of requests has: their number grows with the table, not their size."""
+    files = inputs.table(spark, folder, "documents").select("_metadata.file_path", "_metadata.file_size").distinct()
+    n_bytes = files.agg(F.sum("file_size").alias("n_bytes")).first().n_bytes or 0
+    return max(LEAST_FILES, -(-n_bytes // FILE_BYTES))
+
+
 def _request_files(spark, folder, n_files: int | None = None) -> str:
     """The requests as JSON lines, where all executors can read them."""
     path = shared_folder(spark, "requests")
@@ -745,14 +756,18 @@ def stream_quarantine(spark, folder):
 
 # Minutes between the rounds in which attempts arrive, and that a request waits for its answers.
 ROUND, WAIT = 10, 40
+# More files than a round has, so that it is one batch.
+ROUND_FILES = 100_000
 
 
 @query
 def stream_late_answers(spark, folder):
     """What becomes of every request when answers come in later files, with a restart after every round."""
     output, answered = shared_folder(spark, "stream"), shared_folder(spark, "answers")
-    asked = _request_files(spark, folder, 4)
-    attempts = inputs.answers(spark, folder)
+    n_files = _stream_files(spark, folder)
+    asked = _request_files(spark, folder, n_files)
+    # However few row groups the table has, all tasks share the making of answers.
+    attempts = inputs.answers_of(inputs.table(spark, folder, "events").hint("rebalance"))
 
     def minutes(n: Column) -> Column:
         return F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(60 * ROUND) * n)
@@ -765,8 +780,8 @@ def stream_late_answers(spark, folder):
         place = number if number < 2 else number + 5
         rows.write.json(f"{answered}/late={place}")
         running = start_late_triage(
-            request_sources.stream_requests(spark, asked, 4),
-            stream_attempts(spark, f"{answered}/*"),
+            request_sources.stream_requests(spark, asked, n_files),
+            stream_attempts(spark, f"{answered}/*", ROUND_FILES),
             RULES,
             output,
             f"{output}/checkpoint",

@@ -1,86 +1,123 @@
 """Triage of a stream of requests whose answers arrive later, in any order, as a stream of their own.
 
-Requests and attempts meet in a state keyed by the request's id.  An incident
-whose four agents have answered becomes a report at once; one that waits longer
-than allowed becomes a dead letter, which a timer of its state decides, so a
-restart in between changes nothing.  Answers to no request come out when their
+Requests and attempts meet in a table of what waits, keyed by the request's id.
+Every batch joins its rows to that of the batch before, in one aggregate, and
+writes its own below the checkpoint, so a restart in between changes nothing and
+no state is held in memory.  An incident whose four agents have answered becomes
+a report at once; one that waits longer than allowed, by the latest clock of the
+batches so far, becomes a dead letter.  Answers to no request come out when their
 own wait is over.  Lines that are no requests, and dumps without an anchor, pass
-through in the same batch.  Payloads and answers against the rules never reach
-the state.
+through in the same batch and never reach that table, nor do payloads and
+answers against the rules.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tocsin import schemas
-from tocsin.operators.answers import ATTEMPTS, CHAIN, UNAVAILABLE, USAGE, first_missing, read_answers
+from tocsin.operators.answers import ATTEMPTS, CHAIN, UNAVAILABLE, USAGE, first_missing, is_complete, read_answers
 from tocsin.operators.governance import Rules
 from tocsin.operators.reports import all_reports, escalations, has_anchor
 from tocsin.operators.validation import ANSWERS
 from tocsin.plans.triage import intake_of
 from tocsin.streaming import triage
 
-# What a row of the state's input is, and what comes out.
+# What an event is, and what comes out.
 REJECTED, QUIET, OPEN, ANSWER = "rejected", "quiet", "open", "answer"
 COMPLETE, DEAD, ORPHAN = "complete", "dead", "orphan"
 ORPHANS = "orphans"
-EVENT = "incident_id string, kind string, clock timestamp, agent string, attempt int, body string"
-OUTCOME = "incident_id string, outcome string, incident string, " + ", ".join(f"{a} string" for a in CHAIN)
-STATE = "incidents array<string>, done boolean, deadline long, " + ", ".join(f"{a}_attempt int, {a} string" for a in CHAIN)
-
-
-def settled(wait_ms: int):
-    """The function of the state: rows of one id in, outcomes out."""
-    agents, fields, columns = list(CHAIN), 2, [c.split()[0] for c in OUTCOME.split(", ")]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        incidents, done, deadline, *answers = state.get if state.exists else ([], False, None, *[None] * 8)
-        incidents, answers, out = list(incidents or []), list(answers), []
-
-        def told(outcome: str, incident: str | None, found: bool) -> tuple:
-            return (key[0], outcome, incident, *(answers[1::fields] if found else [None] * len(agents)))
-
-        if state.hasTimedOut:
-            out += [told(DEAD, incident, True) for incident in incidents]
-            if not incidents and not done:
-                out.append(told(ORPHAN, None, True))
-            state.remove()
-        else:
-            kept = state.exists
-            for frame in frames:
-                for kind, clock, agent, attempt, body in zip(*(frame[c] for c in ("kind", "clock", "agent", "attempt", "body"))):
-                    if kind in (REJECTED, QUIET):
-                        out.append(told(kind, body, False))
-                        continue
-                    kept = True
-                    if kind == OPEN:
-                        if not incidents and not done:
-                            deadline = None  # the wait counts from the request
-                        incidents.append(body)
-                    else:
-                        place = fields * agents.index(agent)
-                        if answers[place] is None or attempt < answers[place]:
-                            answers[place : place + fields] = int(attempt), body
-                    if deadline is None:
-                        deadline = int(pd.Timestamp(clock).timestamp() * 1000) + wait_ms
-            if incidents and None not in answers:
-                out += [told(COMPLETE, incident, True) for incident in incidents]
-                incidents, done = [], True
-            if kept:
-                state.update((incidents, done, deadline, *answers))
-                state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs()) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-
-    return run
+# Columns of the answers of what waits, and the tables that a batch leaves to the next one.
+ANSWERED = [c for a in CHAIN for c in (f"{a}_attempt", a)]
+STATE = "incident_id string, incidents array<string>, done boolean, deadline long, " + ", ".join(
+    f"{a}_attempt int, {a} string" for a in CHAIN
+)
+EVENTS, SETTLED, MOMENT = "events", "settled", "moment"
+
+
+def waiting(before: DataFrame) -> DataFrame:
+    """What the batch after it takes over from a batch's settled table."""
+    complete = F.coalesce(F.col("outcome") == COMPLETE, F.lit(False))
+    return before.filter(~F.col("over")).select(
+        "incident_id",
+        F.when(~complete, F.col("incidents")).otherwise(F.array().cast("array<string>")).alias("incidents"),
+        (F.col("done") | complete).alias("done"),
+        "deadline",
+        *ANSWERED,
+    )
+
+
+def settled(before: DataFrame, events: DataFrame, wait_ms: int, moment: int | None) -> DataFrame:
+    """A row per id that waits or has an event: its state, its ``outcome`` if it has one, and whether its wait is ``over``.
+
+    ``before`` is what waited, ``moment`` the latest clock so far, in milliseconds.
+    A wait counts from the request, or where there is none from the first answer.
+    """
+    clock = F.coalesce(F.unix_millis("clock"), F.lit(moment)) + wait_ms
+    asked = F.col("kind") == OPEN
+    fixed = (F.size("incidents") > 0) | F.col("done")
+
+    def answer(agent: str, attempt: str, body: str, later: int) -> Column:
+        return F.struct(F.col(attempt).alias("attempt"), F.lit(later).alias("later"), F.col(body).alias("body"))
+
+    old = before.select(
+        "incident_id",
+        "incidents",
+        "done",
+        F.when(fixed, F.col("deadline")).alias("fixed"),
+        F.lit(None).cast("long").alias("asked"),
+        F.when(~fixed, F.col("deadline")).alias("answered"),
+        *(F.when(F.col(a).isNotNull(), answer(a, f"{a}_attempt", a, 0)).alias(a) for a in CHAIN),
+    )
+    new = events.filter(F.col("kind").isin(OPEN, ANSWER)).select(
+        "incident_id",
+        F.when(asked, F.array("body")).otherwise(F.array().cast("array<string>")).alias("incidents"),
+        F.lit(False).alias("done"),
+        F.lit(None).cast("long").alias("fixed"),
+        F.when(asked, clock).alias("asked"),
+        F.when(~asked, clock).alias("answered"),
+        *(F.when(F.col("agent") == a, answer(a, "attempt", "body", 1)).alias(a) for a in CHAIN),
+    )
+    # Of answers to the same attempt the one that was there before counts.
+    met = old.unionByName(new).groupBy("incident_id").agg(
+        F.flatten(F.collect_list("incidents")).alias("incidents"),
+        F.bool_or("done").alias("done"),
+        F.coalesce(*(F.min(c) for c in ("fixed", "asked", "answered"))).alias("deadline"),
+        *(F.min(a).alias(a) for a in CHAIN),
+    )
+    state = met.select(
+        "incident_id",
+        "incidents",
+        "done",
+        "deadline",
+        *(F.col(f"{a}.{part}").alias(n) for a in CHAIN for part, n in (("attempt", f"{a}_attempt"), ("body", a))),
+    )
+    found = F.size("incidents") > 0
+    over = F.coalesce(F.col("deadline") + 1 < F.lit(moment), F.lit(False))
+    outcome = (
+        F.when(found & is_complete(), COMPLETE)
+        .when(found & over, DEAD)
+        .when(over & ~F.col("done"), ORPHAN)
+    )
+    return state.select("*", over.alias("over"), outcome.alias("outcome"))
+
+
+def outcomes_of(events: DataFrame, met: DataFrame) -> DataFrame:
+    """What a batch settles: lines that need no answers, and the incidents of ids with an outcome."""
+    passed = events.filter(F.col("kind").isin(REJECTED, QUIET)).select(
+        "incident_id",
+        F.col("kind").alias("outcome"),
+        F.col("body").alias("incident"),
+        *(F.lit(None).cast("string").alias(a) for a in CHAIN),
+    )
+    ended = met.filter(F.col("outcome").isNotNull())
+    return passed.unionByName(
+        ended.select("incident_id", "outcome", F.explode_outer("incidents").alias("incident"), *CHAIN)
+    )
 
 
 def events_of(requests: DataFrame, attempts: DataFrame, clock: tuple[Column, Column], limit: int) -> DataFrame:
@@ -136,16 +173,24 @@ def start_late_triage(
     """
     wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
     clock = clock or (F.current_timestamp(), F.current_timestamp())
-    events = events_of(requests, attempts, clock, limit).withWatermark("clock", "0 seconds")
-    outcomes = events.groupBy("incident_id").applyInPandasWithState(
-        settled(wait_ms), OUTCOME, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    events = events_of(requests, attempts, clock, limit)
     body = intake_schema(requests)
     answers = {a: chain_schema(attempts, a) for a in CHAIN}
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        tables = triage.BatchTables(batch.sparkSession, output, number)
-        settled_rows = tables.write(batch, "outcomes")
+        spark = batch.sparkSession
+        tables = triage.BatchTables(spark, output, number)
+        # Two sets of tables take turns: a batch that is run again finds what the one before it left.
+        own, last = (triage.BatchTables(spark, f"{checkpoint}/waiting", n % 2) for n in (number, number - 1))
+        arrived = own.write(batch, EVENTS)
+        latest = arrived.select(F.unix_millis("clock").alias("moment"))
+        before = spark.createDataFrame([], STATE)
+        if number:
+            latest = latest.unionByName(last.read(MOMENT, latest.schema))
+            before = waiting(last.read(SETTLED, settled(before, arrived, wait_ms, 0).schema))
+        moment = own.write(latest.agg(F.max("moment").alias("moment")), MOMENT).first().moment
+        met = own.write(settled(before, arrived, wait_ms, moment), SETTLED)
+        settled_rows = tables.write(outcomes_of(arrived, met), "outcomes")
         read = settled_rows.withColumn("incident", F.from_json("incident", body))
         read = read.withColumns({a: F.from_json(a, kind) for a, kind in answers.items()})
         quarantine = read.filter(F.col("outcome") == REJECTED).select("incident.*").select(*schemas.REJECTED)
@@ -165,7 +210,7 @@ def start_late_triage(
         tables.write(settled_rows.filter(F.col("outcome") == ORPHAN).select("incident_id", *CHAIN), ORPHANS)
         tables.commit(rows=settled_rows.count(), rejected=quarantine.count(), reports=reports.count())
 
-    writer = outcomes.writeStream.outputMode("append").foreachBatch(write_batch)
+    writer = events.writeStream.foreachBatch(write_batch)
     return triage.triggered(writer.option("checkpointLocation", checkpoint), every).start()
 
 

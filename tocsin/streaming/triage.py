@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tocsin import schemas
@@ -31,9 +32,14 @@ class BatchTables:
 
     def write(self, rows: DataFrame, kind: str) -> DataFrame:
         """Replace the batch's table of a kind; returns it as read back, so that nothing is worked out twice."""
-        path = f"{self.output}/{kind}/batch={self.number}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        rows.write.mode("overwrite").parquet(self.path(kind))
+        return self.read(kind, rows.schema)
+
+    def path(self, kind: str) -> str:
+        return f"{self.output}/{kind}/batch={self.number}"
+
+    def read(self, kind: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(kind))
 
     def commit(self, **counts: int) -> None:
         columns = ", ".join(f"{name} long" for name in counts)
