@@ -11,7 +11,7 @@ from tocsin import schemas
 from tocsin.operators import answers, prompts, reports
 from tocsin.operators.governance import Rules
 from tocsin.operators.validation import accepted, check_requests, quarantined, with_default_window
-from tocsin.plans import inputs, triage
+from tocsin.plans import inputs, queries, triage
 from tocsin.sources import ranges
 from tocsin.sources.requests import log_files, read_requests, scan_log_files, scan_log_lines, stream_requests
 from tocsin.sources.sinks import write_escalations, write_report_texts, write_reports
@@ -401,6 +401,21 @@ def test_waiting_ids_are_settled_by_one_aggregate(spark):
     assert left["last answer"].done and left["last answer"].incidents == [] and not left["waits"].done
 
 
+def test_files_of_a_stream_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "documents.parquet")
+    rows = [(n, f"line {n}", "web", "en") for n in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    frame.repartition(3).write.parquet(source)
+    size = sum(p.stat().st_size for p in (tmp_path / "documents.parquet").glob("*.parquet"))
+    assert queries._stream_files(spark, str(tmp_path)) == queries.LEAST_FILES
+    monkeypatch.setattr(queries, "FILE_BYTES", -(-size // 9))
+    n_files = queries._stream_files(spark, str(tmp_path))
+    assert n_files == 9
+    written = queries._request_files(spark, str(tmp_path), n_files)
+    counts = spark.read.text(written).groupBy(F.input_file_name()).count().collect()
+    assert len(counts) == 9 and sum(r[1] for r in counts) == 900 and max(r[1] for r in counts) <= 110
+
+
 def test_keys_are_stable(spark):
     frame = requests(spark).withColumn("k", reports.request_key())
     first, again = ({r.request_id: r.k for r in f.collect()} for f in (frame, frame.repartition(5)))

@@ -712,7 +712,8 @@ def stream_triage(spark, folder):
     output = shared_folder(spark, "stream")
     chain_path = f"{output}/chains"
     _chains(spark, folder).write.parquet(chain_path)
-    arriving = request_sources.stream_requests(spark, _request_files(spark, folder, 4), 2)
+    n_files = _stream_files(spark, folder)
+    arriving = request_sources.stream_requests(spark, _request_files(spark, folder, n_files), -(-n_files // 2))
     running = start_triage(
         arriving, spark.read.parquet(chain_path), RULES, output, f"{output}/checkpoint"
     )
@@ -741,10 +742,11 @@ def stream_quarantine(spark, folder):
     """Lines of a stream by their reasons, with their keys; accepted ones are those with a report or a dead letter."""
     output, source = shared_folder(spark, "stream"), shared_folder(spark, "lines")
     lines = _flawed_lines(spark, folder)
-    lines.unionAll(lines).repartition(4).write.text(source)
+    n_files = _stream_files(spark, folder)
+    lines.unionAll(lines).repartition(n_files).write.text(source)
     none = spark.createDataFrame([], _chains(spark, folder).schema)
     running = start_triage(
-        request_sources.stream_requests(spark, source, 2), none, RULES, output, f"{output}/checkpoint"
+        request_sources.stream_requests(spark, source, -(-n_files // 2)), none, RULES, output, f"{output}/checkpoint"
     )
     running.awaitTermination()
     rejected = committed(spark, output, QUARANTINE).select(_joined("errors"), F.col("request_key").alias("key"))
