@@ -416,6 +416,30 @@ def test_files_of_a_stream_grow_in_number_not_in_size(spark, tmp_path, monkeypat
     assert len(counts) == 9 and sum(r[1] for r in counts) == 900 and max(r[1] for r in counts) <= 110
 
 
+def test_a_reader_hands_on_lines_in_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    class Given:
+        sparkSession = spark
+
+        def repartition(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    path = tmp_path / "lines"
+    path.write_bytes((b"x" * 9_999 + b"\n") * 1_500)
+
+    def rows_of(file, row):
+        for line in ranges.lines_of(file, 0, row["stop"], 1 << 20):
+            yield row["path"], *line, None
+
+    run = ranges._in_tasks(Given(), 1, ranges.LINE, rows_of)
+    made = list(run([pa.RecordBatch.from_pylist([{"path": str(path), "stop": 15_000_000}])]))
+    assert sum(b.num_rows for b in made) == 1_500 and max(b.nbytes for b in made) < 3 << 20
+
+
 def test_keys_are_stable(spark):
     frame = requests(spark).withColumn("k", reports.request_key())
     first, again = ({r.request_id: r.k for r in f.collect()} for f in (frame, frame.repartition(5)))

@@ -20,9 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tocsin.session import ship
 
 # Bytes of a range, of one read, and of the longest line that is handed on.
-RANGE, CHUNK, LONGEST = 64 << 20, 4 << 20, 64 << 20
+RANGE, CHUNK, LONGEST = 64 << 20, 1 << 20, 64 << 20
 # Bytes of lines in one batch, and lines in one batch.
-BATCH, MANY = 16 << 20, 10_000
+BATCH, MANY = 2 << 20, 10_000
 
 # What the file source says of a file; the content is left out, so it is not read.
 LISTED = ["path", "length", "modificationTime"]
